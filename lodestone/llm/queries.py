@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize, table
-from .similar_vectors import most_similar, similar_pairs
+from .near_duplicates import near_duplicate_groups, similar_ids
+from .similar_vectors import most_similar
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +27,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("space", F.least("rowid", "other").alias("rowid_a"), F.greatest("rowid", "other").alias("rowid_b")).distinct()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks whose sets of three-word sequences have a similarity of 0.5 or more."""
+    return similar_ids(table(spark, sf_dir, "chunks"), "id", "content", words=3, threshold=0.5)
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups that the pairs of p4_found form, one row per chunk."""
+    return near_duplicate_groups(table(spark, sf_dir, "chunks"), "id", "content", words=3, threshold=0.5)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
 }
 ORACLES: dict[str, str] = {}
