@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize, table
+from .mixing import mix, shares
 from .near_duplicates import near_duplicate_groups, similar_ids
+from .packing import fills, pack
 from .similar_vectors import most_similar
+from .splitting import split_oversized
+from .tokens import token_counts
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,10 +41,50 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "chunks"), "id", "content", words=3, threshold=0.5)
 
 
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every chunk above 500 code points."""
+    return split_oversized(table(spark, sf_dir, "chunks"), "id", "content", "start_line")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pieces(spark, sf_dir).where("piece = 0").select("id", "kind")
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a container of each kind."""
+    counted = materialize(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "tokens")
+    return pack(counted, table(spark, sf_dir, "containers")).withColumnRenamed("id", "doc_id")
+
+
+def p6_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fills(p6_packed(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
+def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture with their repeats."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share that each source reaches in it."""
+    return shares(materialize(p7_mixed(spark, sf_dir), "mixed"), table(spark, sf_dir, "mix_targets"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+    "p6_packed": p6_packed,
+    "p6_fills": p6_fills,
+    "p7_mixed": p7_mixed,
+    "p7_shares": p7_shares,
+}
+ORACLES: dict[str, str] = {
+    "p5_found": """
+SELECT DISTINCT id, CASE WHEN regexp_matches(content, '[^ \\t\\r\\n]{501,}') THEN 'hard' ELSE 'boundary' END AS kind
+FROM chunks WHERE length(content) > 500
+""",
 }
-ORACLES: dict[str, str] = {}
