@@ -8,6 +8,7 @@ from ..session import materialize, table
 from .mixing import mix, shares
 from .near_duplicates import near_duplicate_groups, similar_ids
 from .packing import fills, pack
+from .scanned_text import noise_places, paragraphs
 from .similar_vectors import most_similar
 from .splitting import split_oversized
 from .tokens import token_counts
@@ -31,6 +32,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("space", F.least("rowid", "other").alias("rowid_a"), F.greatest("rowid", "other").alias("rowid_b")).distinct()
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noise_places(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "files"))
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired paragraphs of all .pdf files."""
+    return paragraphs(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "files"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks whose sets of three-word sequences have a similarity of 0.5 or more."""
     return similar_ids(table(spark, sf_dir, "chunks"), "id", "content", words=3, threshold=0.5)
@@ -73,6 +83,8 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
+    "p3_found": p3_found,
+    "p3_paragraphs": p3_paragraphs,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p5_found": p5_found,
