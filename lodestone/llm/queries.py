@@ -8,6 +8,7 @@ from ..session import materialize, table
 from .mixing import mix, shares
 from .near_duplicates import near_duplicate_groups, similar_ids
 from .packing import fills, pack
+from .personal_data import masked, personal_places
 from .scanned_text import noise_places, paragraphs
 from .similar_vectors import most_similar
 from .splitting import split_oversized
@@ -80,6 +81,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(materialize(p7_mixed(spark, sf_dir), "mixed"), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = personal_places(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "given_names"))
+    return places.select(F.col("id").alias("doc_id"), F.col("start_char").cast("long").alias("start_char"), "pii_type")
+
+
+def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a typed placeholder for each value."""
+    return masked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "given_names")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
@@ -93,6 +104,8 @@ QUERIES = {
     "p6_fills": p6_fills,
     "p7_mixed": p7_mixed,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_masked": p8_masked,
 }
 ORACLES: dict[str, str] = {
     "p5_found": """
