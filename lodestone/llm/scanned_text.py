@@ -23,6 +23,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -36,7 +37,7 @@ PAIRS = {"ri": "n", "cl": "d", "ii": "u", "rn": "m", "vv": "w"}
 _CLASS = str.maketrans(CLASSES)
 MARKS = "-¬­‐"
 _WORD = re.compile(rf"[^\W_]+(?:[-@|][^\W_]+)*")
-_CUT = re.compile(rf"\S+[{MARKS}][ \t\r]*(?:\n\s*\S+|$)")
+_END = re.compile(rf"[{MARKS}][ \t\r]*(?:\n\s*|$)")
 LEAST_SHARE = 2e-6
 
 
@@ -44,6 +45,22 @@ def skeleton(word: str) -> str:
     return word.translate(_CLASS)
 
 
+def whole_words(text: str) -> list[str]:
+    """The words of a text in lower case, without those that a line end cuts in two."""
+    text = text.lower()
+    if not _END.search(text):
+        return _WORD.findall(text)
+    out, at = [], 0
+    for m in _END.finditer(text):
+        if m.start() < at:
+            continue
+        k = max(text.rfind(" ", at, m.start()), text.rfind("\n", at, m.start()), at)
+        out += _WORD.findall(text, at, k)
+        after = re.compile(r"\S*").match(text, m.end())
+        at = after.end()
+    return out + _WORD.findall(text, at)
+
+
 def readings(word: str) -> list[str]:
     """The word itself and the word with one pair of glyphs read as the letter it looks like."""
     out = [word]
@@ -73,43 +90,46 @@ class Lexicon:
         self.prefix_forms: dict[str, list[str]] = defaultdict(list)
         for p in self.prefixes:
             self.prefix_forms[skeleton(p)].append(p)
+        self.memo: dict[str, tuple[list[str], str | None]] = {}
 
     def compound(self, word: str) -> bool:
         return any(word[:c] in self.prefixes and word[c:] in self.counts for c in range(2, len(word) - 3))
 
+    def _choices(self, word: str) -> tuple[list[str], str | None]:
+        """(frequent forms the word may stand for, the compound it may stand for), kept for each word."""
+        if (known := self.memo.get(word)) is not None:
+            return known
+        forms, compound = [], None
+        if len(word) > 1 and not word.isdigit():
+            own, alien, reads = self.counts.get(word, 0), not word.isalpha(), readings(word)
+            least = 2 * own + 1 if alien else max(20 * own, 1)
+            forms = list(dict.fromkeys(f for r in reads for f in self.forms.get(skeleton(r), ()) if f != word and self.counts[f] >= least))
+            if not forms and (alien or not own) and len(word) > 4 and (alien or not self.compound(word)):
+                best = 0
+                for r in reads:
+                    for cut in range(2, len(r) - 3):
+                        heads = self.prefix_forms.get(skeleton(r[:cut]), ())
+                        for form in self.forms.get(skeleton(r[cut:]), ()) if heads else ():
+                            for head in heads:
+                                if self.counts[form] > best and head + form != word:
+                                    compound, best = head + form, self.counts[form]
+        if len(self.memo) > 500_000:
+            self.memo.clear()
+        self.memo[word] = forms, compound
+        return forms, compound
+
     def right_form(self, word: str, before: str, after: str) -> str | None:
         """The form that a lower-case word was misread from, or None where it seems right."""
-        if len(word) < 2 or word.isdigit():
-            return None
-        own = self.counts.get(word, 0)
-        alien = not word.isalpha()
+        forms, compound = self._choices(word)
+        if not forms:
+            return compound
+        own, alien = self.counts.get(word, 0), not word.isalpha()
+        against = self.pairs.get((before, word), 0) + self.pairs.get((word, after), 0)
         best, best_score = None, 0.0
-        for read in readings(word):
-            for form in self.forms.get(skeleton(read), ()):
-                if form == word:
-                    continue
-                n = self.counts[form]
-                support = self.pairs.get((before, form), 0) + self.pairs.get((form, after), 0)
-                against = self.pairs.get((before, word), 0) + self.pairs.get((word, after), 0)
-                if alien:
-                    ok = n > 2 * own
-                else:
-                    ok = n >= 20 * own and (support > against or own == 0 or (support == against and n >= 200 * own))
-                score = n * (1 + support)
-                if ok and score > best_score:
-                    best, best_score = form, score
-        if best or (own and not alien) or len(word) < 5:
-            return best
-        if not alien and self.compound(word):
-            return None
-        for read in readings(word):
-            for cut in range(2, len(read) - 3):
-                heads = self.prefix_forms.get(skeleton(read[:cut]))
-                if heads:
-                    for form in self.forms.get(skeleton(read[cut:]), ()):
-                        for head in heads:
-                            if self.counts[form] > best_score and head + form != word:
-                                best, best_score = head + form, self.counts[form]
+        for form in forms:
+            n, support = self.counts[form], self.pairs.get((before, form), 0) + self.pairs.get((form, after), 0)
+            if (alien or support > against or own == 0 or (support == against and n >= 200 * own)) and n * (1 + support) > best_score:
+                best, best_score = form, n * (1 + support)
         return best
 
 
@@ -126,15 +146,14 @@ def build_lexicon(texts: DataFrame, text_col: str) -> Lexicon:
         counter: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
+            for w in [w for w in counter if "-" in w]:
+                for part in w.split("-"):
+                    counter[part] += counter[w]
             return pa.RecordBatch.from_arrays([pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], names=["w", "n"])
 
         for b in source:
             for text in b.column(0).to_pylist():
-                found = _WORD.findall(_CUT.sub("\n", text.lower()))
-                counter.update(found)
-                for w in found:
-                    if "-" in w:
-                        counter.update(w.split("-"))
+                counter.update(whole_words(text))
             if len(counter) > 400_000:
                 yield out()
                 counter.clear()
@@ -143,24 +162,30 @@ def build_lexicon(texts: DataFrame, text_col: str) -> Lexicon:
     counted = materialize(rows.mapInArrow(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     total = counted.agg(F.sum("n")).first()[0] or 0
     counts = {r.w: r.n for r in _frequent(counted, total).toLocalIterator()}
-    common = texts.sparkSession.sparkContext.broadcast({w for w, n in counts.items() if n >= 50 * LEAST_SHARE * total})
+    names = sorted(w for w, n in counts.items() if n >= 50 * LEAST_SHARE * total)  # at most 1 / (50 * LEAST_SHARE)
+    common = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
 
     def neighbours(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counter = common.value, Counter()
+        place, held, size = common.value, [], 0
+
+        def out() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["pair", "n"])
+
         for b in source:
             for text in b.column(0).to_pylist():
-                found = _WORD.findall(_CUT.sub("\n", text.lower()))
-                counter.update(p for p in zip(found, found[1:]) if p[0] in known and p[1] in known)
-            if len(counter) > 400_000:
-                yield batch(counter)
-                counter.clear()
-        yield batch(counter)
-
-    def batch(counter: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in counter], pa.string()), pa.array([b for _, b in counter], pa.string()), pa.array(list(counter.values()), pa.int64())], names=["a", "b", "n"])
+                ids = np.array([place.get(w, -1) for w in whole_words(text)], np.int64)
+                held.append((ids[:-1] * len(place) + ids[1:])[(ids[:-1] >= 0) & (ids[1:] >= 0)])
+                size += len(ids)
+            if size > 2_000_000:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
-    met = rows.mapInArrow(neighbours, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return Lexicon(counts, {(r.a, r.b): r.n for r in _frequent(met, total).toLocalIterator()})
+    met = rows.mapInArrow(neighbours, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = {(names[r.pair // len(names)], names[r.pair % len(names)]): r.n for r in _frequent(met, total).toLocalIterator()} if names else {}
+    return Lexicon(counts, pairs)
 
 
 def scanned_lines(chunks: DataFrame, files: DataFrame, suffix: str = ".pdf") -> DataFrame:
@@ -182,9 +207,24 @@ TITLE_NUMBER = rf"^{DIGITS}\s{{2,}}|\s{{2,}}{DIGITS}$|^(?:[0-9]{{1,4}})\s*[|·
 
 def furniture(lines: DataFrame) -> DataFrame:
     """(id, line_no, noise) of headers and page numbers."""
-    short = lines.select("file_id", "chunk_index", "id", "line_no", F.trim(F.regexp_replace("line", r"[\r\t ]+", " ")).alias("s"), F.trim(F.regexp_replace("line", "[\r\t]", "  ")).alias("raw")).where("length(s) between 1 and 90")
-    styled = short.where(F.col("s").rlike(STYLED) & F.col("s").rlike("[0-9lIOS]"))
-    numbers = short.where((F.col("s").rlike(BARE) & F.col("s").rlike("[0-9]")) | F.col("s").rlike(ROMAN))
+    short = (
+        lines.where("length(line) <= 120")
+        .select("file_id", "chunk_index", "id", "line_no", F.trim(F.regexp_replace("line", r"[\r\t ]+", " ")).alias("s"), F.trim(F.regexp_replace("line", "[\r\t]", "  ")).alias("raw"))
+        .where("length(s) between 1 and 80")
+        .withColumn("styled", (F.length("s") <= 30) & F.col("s").rlike("[0-9lIOS]") & F.col("s").rlike(STYLED))
+        .withColumn("number", (F.length("s") <= 10) & ((F.col("s").rlike(BARE) & F.col("s").rlike("[0-9]")) | F.col("s").rlike(ROMAN)))
+        .withColumn("open", ~F.substring("s", -1, 1).isin(*".;:!?,") & (F.length("s") >= 6) & ~F.col("styled") & ~F.col("number"))
+        .where("styled or number or open")
+        .withColumn("t", F.when(F.col("open"), F.regexp_replace(F.trim(F.regexp_replace("raw", TITLE_NUMBER, "")), r"\s+", " ")))
+        .withColumn("words", F.split("t", r"[ .]"))
+        .withColumn("small", F.size(F.filter("words", lambda w: w.rlike(r"^\p{Ll}"))))
+        # titles: every word starts with a capital or a glyph that isn't a letter, or all but one do
+        .withColumn("title", F.coalesce(F.col("open") & (F.length("t") >= 6) & (F.col("small") <= F.when(F.size("words") >= 3, 1).otherwise(0)) & F.col("t").rlike(r"\p{L}{3}") & ~F.col("t").rlike(r"^[^,]*\p{L} [0-9]+, [0-9]"), F.lit(False)))
+        .where("styled or number or title")
+        .select("file_id", "chunk_index", "id", "line_no", "s", "t", "styled", "number", "title")
+    )
+    short = materialize(short, "short")  # the few lines that all below is about
+    styled, numbers = short.where("styled"), short.where("number")
     digits = F.translate("s", "lIO", "110")
     roman = lambda c, n: (F.length("s") - F.length(F.regexp_replace(F.lower("s"), c, ""))) * n
     low = F.lower("s")
@@ -195,16 +235,7 @@ def furniture(lines: DataFrame) -> DataFrame:
     joined = numbers.join(near, ["file_id", "roman", "v"], "left").where(F.col("c2").isNull() | (F.abs(F.col("c2") - F.col("chunk_index")) <= 12))
     supported = joined.groupBy("id", "line_no").agg(F.count("c2").alias("n"))
     sequence = numbers.join(supported, ["id", "line_no"], "left").where((F.coalesce("n", F.lit(0)) > 0) | F.when(F.col("roman"), F.col("v") <= 50).otherwise(F.col("v") < 1000))
-    # titles: every word starts with a capital or a glyph that isn't a letter, or all but one do
-    titled = (
-        short.withColumn("t", F.trim(F.regexp_replace("raw", TITLE_NUMBER, "")))
-        .withColumn("t", F.regexp_replace("t", r"\s+", " "))
-        .withColumn("words", F.split("t", r"[ .]"))
-        .where((F.length("t") >= 6) & ~F.col("t").rlike(r"[.;:!?]$") & ~F.col("s").rlike(STYLED) & F.col("t").rlike(r"\p{L}{3}"))
-        .withColumn("small", F.size(F.filter("words", lambda w: w.rlike(r"^\p{Ll}"))))
-        .where((F.col("small") <= F.when(F.size("words") >= 3, 1).otherwise(0)) & ~F.col("t").rlike(r"^[^,]*\p{L} [0-9]+, [0-9]"))
-        .withColumn("key", F.lower(F.regexp_replace("t", r"[0-9]+", "0")))
-    )
+    titled = short.where("title").withColumn("key", F.lower(F.regexp_replace("t", r"[0-9]+", "0")))
     times = titled.groupBy("file_id", "key").agg(F.count(F.lit(1)).alias("n"))
     pieces = times.select("file_id", "key", F.explode(F.array_distinct(F.filter(F.split("key", r"[ .,]"), lambda w: F.length(w) >= 3))).alias("w"))
     other = pieces.withColumnRenamed("key", "key2")
