@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .operators.incremental import VersionedTarget, new_chunks, replay_runs
+from .embed import HashEmbedder, embed_column
+from .functions.paths import DEFAULT_MB, MB_BY_TYPE, MEDIA_EXTENSIONS, TEXT_EXTENSIONS, GitignoreRule, base_name, classify, extension, gitignored, hidden_or_ignored, matches_any, size_limit, too_large
+from .functions.text import clean_extracted, clean_text, elapsed, file_uri, label, page_marked, pre_tokens, snippet, space_out_cjk
+from .functions.tokenizer import WordPiece, encode_column
+from .functions.vectors import l2_normalize, score
+from .operators.chunking import fixed_chunks, token_chunks
+from .operators.incremental import VersionedTarget, latest_sighting, new_chunks, replay_runs
+from .operators.knn import diversify, join_chunks, join_media, mean_vectors, nearest, nearest_batch, post_filter
+from .operators.store import missing_files, replace_children, unchanged, upsert_files
+from .plans.index import run_stats
 from .session import scratch_path, table
 
 
@@ -45,5 +54,349 @@ SELECT 'chunk', CAST(8 AS INTEGER), path, chunk_index FROM c
 WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.path = c.path AND h.content_hash = c.content_hash)
 """
 
-QUERIES = {"p2_found": p2_found}
-ORACLES = {"p2_found": P2_FOUND_SQL}
+# -- search ------------------------------------------------------------------------------------
+
+DIRECTORY = "/home"
+
+
+def _query_vector(spark: SparkSession, sf_dir: str, name: str) -> list[float]:
+    """The vector of the smallest id that has one: a query whose nearest vector is known."""
+    usable = table(spark, sf_dir, name).where(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
+    return usable.agg(F.min_by("embedding", "rowid")).first()[0]
+
+
+def _model(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The model most rows were embedded with."""
+    return table(spark, sf_dir, name).where("embedding_model is not null").groupBy("embedding_model").count().orderBy(F.desc("count"), "embedding_model").first()[0]
+
+
+def _pool(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "vec_chunks"), _query_vector(spark, sf_dir, "vec_chunks"))
+
+
+def _candidates(spark, sf_dir, restrict=None):
+    found = join_chunks(_pool(spark, sf_dir), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "files"))
+    return post_filter(found, _model(spark, sf_dir, "chunks"), restrict)
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c in ("score", "distance") else F.col(c) for c in columns])
+
+
+def knn_pool(spark, sf_dir):
+    """The 200 nearest vectors of a query."""
+    return _rounded(_pool(spark, sf_dir).withColumn("score", score(F.col("distance"))), "rowid", "distance", "score")
+
+
+def knn_post_filter(spark, sf_dir):
+    """The pool with chunk and file, only the current model: filtered after the limit."""
+    return _rounded(_candidates(spark, sf_dir), "rowid", "path", "chunk_index", "start_line", "end_line", "score")
+
+
+def knn_restrict(spark, sf_dir):
+    """The same, only below a directory."""
+    return _rounded(_candidates(spark, sf_dir, DIRECTORY), "rowid", "path", "score")
+
+
+def knn_diversified(spark, sf_dir):
+    """Five results with two of a file at most, and how they are shown."""
+    rows = diversify(_candidates(spark, sf_dir))
+    return rows.select("rowid", label(F.col("path"), F.col("start_line"), F.col("end_line")).alias("label"), F.round("score", 6).alias("score"), snippet(F.col("content")).alias("snippet"))
+
+
+def media_search(spark, sf_dir):
+    """The five best images of the current model, not diversified."""
+    pool = nearest(table(spark, sf_dir, "vec_media"), _query_vector(spark, sf_dir, "vec_media"))
+    found = post_filter(join_media(pool, table(spark, sf_dir, "media_embeddings"), table(spark, sf_dir, "files")), _model(spark, sf_dir, "media_embeddings"))
+    return _rounded(found.orderBy("distance", "rowid").limit(5), "rowid", "path", "frame_index", "score")
+
+
+def knn_batch(spark, sf_dir):
+    """The ten nearest of every vector whose id is divisible by 50, against all."""
+    vectors = table(spark, sf_dir, "vec_chunks").where(F.exists("embedding", lambda x: x != 0))
+    found = nearest_batch(vectors, vectors.where("rowid % 50 = 0"))
+    return found.select("query_id", "rowid", F.round("distance", 6).alias("distance"), "rank")
+
+
+def orphan_vectors(spark, sf_dir):
+    """Vectors without a chunk: they take places in the pool and then drop out of the join."""
+    vectors = table(spark, sf_dir, "vec_chunks").select("rowid").distinct()
+    return vectors.join(table(spark, sf_dir, "chunks").select(F.col("id").alias("rowid")), "rowid", "left_anti")
+
+
+def stale_models(spark, sf_dir):
+    """Chunks by whether the current model made them."""
+    model = _model(spark, sf_dir, "chunks")
+    chunks = table(spark, sf_dir, "chunks").select("id", "embedding_model").distinct()
+    return chunks.groupBy(F.coalesce(F.col("embedding_model") == model, F.lit(False)).alias("is_current")).agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+def file_mean_vectors(spark, sf_dir):
+    """The mean vector of each file, of length 1, as rows (file_id, dim, value)."""
+    vectors = table(spark, sf_dir, "vec_chunks").where("embedding is not null").dropDuplicates(["rowid"])
+    of_file = table(spark, sf_dir, "chunks").select(F.col("id").alias("rowid"), "file_id").dropDuplicates(["rowid"])
+    # partial sums of whole vectors leave a task, not one row for each element
+    joined = vectors.join(of_file, "rowid")
+    means = mean_vectors(joined.select("file_id", "embedding"), "file_id", "embedding")
+    return means.select("file_id", F.posexplode(l2_normalize(F.col("mean"))).alias("dim", "value")).select("file_id", "dim", F.round("value", 6).alias("value"))
+
+
+# -- text --------------------------------------------------------------------------------------
+
+
+def chunk_fixed(spark, sf_dir):
+    """Chunks of 500 code points of every document."""
+    return fixed_chunks(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def chunk_hashes(spark, sf_dir):
+    """SHA-256 of the contents against the stored hashes."""
+    rows = table(spark, sf_dir, "chunks").select("id", "content", "content_hash").distinct()
+    digest = F.lower(F.sha2("content", 256))
+    return rows.select("id", digest.alias("sha256_hex"), (digest == F.lower(F.hex("content_hash"))).alias("is_stored"))
+
+
+def chunk_token_aware(spark, sf_dir):
+    """Chunks that also keep within 126 words."""
+    return token_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", _words, 126).withColumnRenamed("id", "doc_id")
+
+
+def _words(text: str) -> int:
+    return len(text.split())
+
+
+def snippets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", snippet(F.col("text")).alias("snippet"))
+
+
+def clean_text_lines(spark, sf_dir):
+    """Extracted text without trailing blanks and runs of empty lines."""
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", clean_extracted(F.col("text")).alias("text"))
+
+
+def page_marked_text(spark, sf_dir):
+    """The chunks of .pdf files as pages with their marks."""
+    pdf = table(spark, sf_dir, "files").where(F.lower("path").endswith(".pdf")).select(F.col("id").alias("file_id")).distinct()
+    chunks = table(spark, sf_dir, "chunks").where("content is not null").join(pdf, "file_id").dropDuplicates(["id"])
+    return chunks.select("id", page_marked(F.col("chunk_index") + 1, F.col("content")).alias("page"))
+
+
+def pre_token_counts(spark, sf_dir):
+    """Words and punctuation of the normalised text of every document."""
+    cleaned = F.lower(clean_text(space_out_cjk(F.col("text"))))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(pre_tokens(cleaned)).cast("long").alias("n_tokens"))
+
+
+def word_pieces(spark, sf_dir):
+    """Encodings of chunk contents with a small vocabulary of letters and frequent endings."""
+    tokens = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz0123456789.,-", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789"), "the", "and", "##ing", "##ed"]
+    tokenizer = WordPiece({t: i for i, t in enumerate(tokens)})
+    rows = table(spark, sf_dir, "chunks").where("content is not null").dropDuplicates(["id"])
+    return rows.select("id", encode_column(F.col("content"), tokenizer).alias("e")).select("id", F.aggregate("e.mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_ids"), F.slice("e.ids", 1, 8).alias("first_ids"))
+
+
+def hash_embedding_norms(spark, sf_dir):
+    """Documents embedded by the hashing embedder, with the length of their vectors."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return embed_column(rows, "text", HashEmbedder()).select("doc_id", F.round(norm, 4).alias("norm"))
+
+
+# -- files -------------------------------------------------------------------------------------
+
+
+def _paths(spark, sf_dir):
+    return table(spark, sf_dir, "files").select("path").distinct()
+
+
+def classify_files(spark, sf_dir):
+    return _paths(spark, sf_dir).select("path", extension(F.col("path")).alias("ext"), classify(F.col("path")).alias("kind"))
+
+
+def size_limits(spark, sf_dir):
+    """Sightings above the limit of their type."""
+    rows = table(spark, sf_dir, "file_scans").where("size_bytes is not null").select("path", "size_bytes").distinct()
+    return rows.select("path", "size_bytes", (size_limit(F.col("path"), 0, {"pdf": 0, "md": 1}) / 64).cast("long").alias("limit_bytes"), too_large(F.col("path"), F.col("size_bytes") * 64, default_mb=0, by_type={"pdf": 0, "md": 1}).alias("is_too_large"))
+
+
+def pruned_directories(spark, sf_dir):
+    """Files below a hidden directory or one of an ignored name."""
+    return _paths(spark, sf_dir).select("path", hidden_or_ignored(F.col("path"), ["engine", "s*r", "weird[name", "?esk"]).alias("is_pruned"))
+
+
+def ignored_names(spark, sf_dir):
+    return _paths(spark, sf_dir).select("path", matches_any(base_name(F.col("path")), ["*_1.*", "[a-c]*.md", ".env", "x["], False).alias("is_ignored"))
+
+
+GITIGNORE = "# comment\n*.log\nengine/\n/u0001/*\n*draft*\n!keep.md\n"
+
+
+def gitignored_files(spark, sf_dir):
+    """Files below /home against the rules of a .gitignore there."""
+    rows = _paths(spark, sf_dir).where(F.startswith("path", F.lit("/home/"))).withColumn("relative", F.expr("substring(path, 7)"))
+    return rows.select("path", gitignored(F.col("relative"), GitignoreRule.parse(GITIGNORE)).alias("is_ignored"))
+
+
+def marker_pruned(spark, sf_dir):
+    """Files below a directory that holds a marker file: here any README or a .toml."""
+    rows = _paths(spark, sf_dir).withColumn("dir", F.expr("left(path, char_length(path) - char_length(substring_index(path, '/', -1)) - 1)"))
+    marked = rows.where(extension(F.col("path")) == ".toml").select(F.col("dir").alias("above")).distinct()
+    parts = F.split("dir", "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    below = rows.select("path", F.explode(above).alias("above")).join(marked, "above").select("path").distinct()
+    return rows.select("path").join(below.withColumn("m", F.lit(True)), "path", "left").select("path", F.coalesce("m", F.lit(False)).alias("is_pruned"))
+
+
+def _last_seen(spark, sf_dir, run: int) -> DataFrame:
+    seen = table(spark, sf_dir, "file_scans").where((F.col("run_id") == run) & F.col("path").isNotNull())
+    return seen.groupBy("path").agg(F.max_by(F.struct("modified_at", "file_hash", "size_bytes"), F.struct("scanned_at", "scan_id")).alias("s")).select("path", "s.*")
+
+
+def unchanged_files(spark, sf_dir):
+    """What run 8 saw with the stored modification time."""
+    return unchanged(_last_seen(spark, sf_dir, 8).select("path", "modified_at"), table(spark, sf_dir, "files"))
+
+
+def upserted_files(spark, sf_dir):
+    """The files table after run 8, where it could read them."""
+    seen = _last_seen(spark, sf_dir, 8).where("file_hash is not null")
+    rows = upsert_files(table(spark, sf_dir, "files").distinct(), seen)
+    return rows.select("path", "modified_at", F.lower(F.hex("file_hash")).alias("file_hash"), "status", "last_error").distinct()
+
+
+def replaced_chunks(spark, sf_dir):
+    """Chunks per file after run 8's chunks took the place of those of the files it cut again."""
+    chunks = table(spark, sf_dir, "chunks").dropDuplicates(["id"]).select("file_id", "chunk_index", "content_hash")
+    files = table(spark, sf_dir, "files").select(F.col("id").alias("file_id"), "path").distinct()
+    new = latest_sighting(table(spark, sf_dir, "chunk_scans"), ["path", "chunk_index"], "content_hash", ["scanned_at", "scan_id"]).join(files, "path").select("file_id", "chunk_index", "content_hash")
+    return replace_children(chunks, new, new).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("chunk_index").alias("last_index"))
+
+
+def files_without_chunks(spark, sf_dir):
+    """Indexed files that have a row and no chunks."""
+    files = table(spark, sf_dir, "files").where("status = 'ok'").select("id", "path").distinct()
+    return files.join(table(spark, sf_dir, "chunks").select(F.col("file_id").alias("id")), "id", "left_anti").select("id", "path")
+
+
+def missing_from_run(spark, sf_dir):
+    """Stored files that run 7 didn't see."""
+    return missing_files(_paths(spark, sf_dir), _last_seen(spark, sf_dir, 7))
+
+
+def run_counters(spark, sf_dir):
+    """Outcomes of run 8 as one row of counters."""
+    seen = unchanged(_last_seen(spark, sf_dir, 8), table(spark, sf_dir, "files"))
+    kind = classify(F.col("path"))
+    outcome = (
+        F.when(kind == "none", "filtered").when(F.col("file_hash").isNull(), "unreadable").when(too_large(F.col("path"), F.col("size_bytes")), "too_large")
+        .when(F.col("unchanged"), "unchanged").when(kind == "media", "media_indexed").otherwise("indexed")
+    )
+    per_file = table(spark, sf_dir, "chunk_scans").where("content_hash is not null").groupBy("path").agg(F.count_distinct("chunk_index").alias("n_chunks"))
+    return run_stats(seen.select("path", outcome.alias("outcome")).join(per_file, "path", "left"))
+
+
+def file_uris(spark, sf_dir):
+    return _paths(spark, sf_dir).select("path", file_uri(F.col("path")).alias("uri"))
+
+
+def run_durations(spark, sf_dir):
+    runs = table(spark, sf_dir, "index_runs").where("finished_at is not null").distinct()
+    return runs.select("run_id", elapsed(F.expr("timestampdiff(SECOND, started_at, finished_at)")).alias("took"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        knn_pool, knn_post_filter, knn_restrict, knn_diversified, media_search, knn_batch, orphan_vectors, stale_models, file_mean_vectors, chunk_fixed, chunk_hashes, chunk_token_aware, snippets, clean_text_lines,
+        page_marked_text, pre_token_counts, word_pieces, hash_embedding_norms, classify_files, size_limits, pruned_directories, ignored_names, gitignored_files, marker_pruned, unchanged_files, upserted_files, replaced_chunks,
+        files_without_chunks, missing_from_run, run_counters, file_uris, run_durations, p2_found,
+    )
+}
+
+_KNN = """
+WITH v AS (SELECT DISTINCT rowid AS rid, embedding FROM {vec} WHERE embedding IS NOT NULL),
+q AS (SELECT embedding FROM v WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0 ORDER BY rid LIMIT 1),
+pool AS (SELECT v.rid, list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS distance FROM v, q ORDER BY 2, 1 LIMIT 200),
+m AS (SELECT embedding_model FROM {child} WHERE embedding_model IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+c AS (SELECT DISTINCT id, file_id, {columns}, embedding_model FROM {child} WHERE id IN (SELECT rid FROM pool)),
+f AS (SELECT DISTINCT id, path FROM files),
+found AS (SELECT p.rid, p.distance, 1 - p.distance * p.distance / 2 AS score, f.path, c.* EXCLUDE (id, file_id) FROM pool p JOIN c ON c.id = p.rid JOIN f ON f.id = c.file_id WHERE c.embedding_model = (SELECT embedding_model FROM m))
+"""
+_TEXT = _KNN.format(vec="vec_chunks", child="chunks", columns="chunk_index, start_line, end_line, content")
+_MEDIA = _KNN.format(vec="vec_media", child="media_embeddings", columns="frame_index")
+_SEEN8 = "seen AS (SELECT path, arg_max(struct_pack(modified_at, file_hash, size_bytes), (scanned_at, scan_id)) AS s FROM file_scans WHERE run_id = {run} AND path IS NOT NULL GROUP BY path)"
+_PATHS = "(SELECT DISTINCT path FROM files)"
+_NAME = "regexp_extract(path, '([^/]*)$', 1)"
+_EXT = f"lower(regexp_extract({_NAME}, '(\\.[^.]*)$', 1))"
+_KIND = f"""CASE WHEN regexp_full_match({_NAME}, '\\.DS_Store|\\.env|\\.env\\.[^/]*') THEN 'none' WHEN {_EXT} IN ({", ".join(repr(e) for e in TEXT_EXTENSIONS)}) THEN 'text' WHEN {_EXT} IN ({", ".join(repr(e) for e in MEDIA_EXTENSIONS)}) THEN 'media' ELSE 'none' END"""
+_MB = "CASE " + " ".join(f"WHEN {_EXT} = '.{k}' THEN {v}" for k, v in MB_BY_TYPE.items()) + f" ELSE {DEFAULT_MB} END"
+_DIRS = "list_filter(string_split(path, '/')[:-2], lambda x: x <> '')"
+_LABEL = "path || ':' || start_line || '-' || end_line"
+_FLAT = "trim(regexp_replace({0}, '[\\s\\x0B\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
+
+ORACLES = {
+    "p2_found": P2_FOUND_SQL,
+    "knn_pool": _TEXT + "SELECT rid AS rowid, round(distance, 6) AS distance, round(1 - distance * distance / 2, 6) AS score FROM pool",
+    "knn_post_filter": _TEXT + "SELECT rid AS rowid, path, chunk_index, start_line, end_line, round(score, 6) AS score FROM found",
+    "knn_restrict": _TEXT + f"SELECT rid AS rowid, path, round(score, 6) AS score FROM found WHERE path = '{DIRECTORY}' OR starts_with(path, '{DIRECTORY}/')",
+    "knn_diversified": _TEXT + f""", ranked AS (SELECT *, row_number() OVER (ORDER BY distance, rid) AS rk, count(*) OVER () AS n FROM found),
+capped AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rk) AS rif FROM ranked),
+phased AS (SELECT *, CASE WHEN n <= 5 OR rif <= 2 THEN 0 ELSE 1 END AS phase FROM capped),
+picked AS (SELECT * FROM phased ORDER BY phase, rk LIMIT 5)
+SELECT rid AS rowid, {_LABEL} AS label, round(score, 6) AS score,
+       CASE WHEN length({_FLAT.format('content')}) > 150 THEN left({_FLAT.format('content')}, 150) || '...' ELSE {_FLAT.format('content')} END AS snippet FROM picked""",
+    "media_search": _MEDIA + "SELECT rid AS rowid, path, frame_index, round(score, 6) AS score FROM found ORDER BY distance, rid LIMIT 5",
+    "knn_batch": """
+WITH v AS (SELECT DISTINCT rowid AS rid, CAST(embedding AS DOUBLE[]) AS e FROM vec_chunks WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.rid AS query_id, v.rid AS rowid, list_distance(q.e, v.e) AS distance FROM v AS q, v WHERE q.rid % 50 = 0 AND q.rid <> v.rid),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, rowid) AS INTEGER) AS rank FROM d)
+SELECT query_id, rowid, round(distance, 6) AS distance, rank FROM r WHERE rank <= 10""",
+    "orphan_vectors": "SELECT DISTINCT v.rowid AS rowid FROM vec_chunks v WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.id = v.rowid)",
+    "stale_models": """WITH m AS (SELECT embedding_model FROM chunks WHERE embedding_model IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT coalesce(c.embedding_model = m.embedding_model, false) AS is_current, count(*) AS n_chunks FROM (SELECT DISTINCT id, embedding_model FROM chunks) c, m GROUP BY 1""",
+    "file_mean_vectors": """
+WITH v AS (SELECT DISTINCT rowid AS rid, embedding FROM vec_chunks WHERE embedding IS NOT NULL), c AS (SELECT DISTINCT id, file_id FROM chunks),
+u AS (SELECT c.file_id, unnest(range(384)) AS dim, unnest(CAST(v.embedding AS DOUBLE[])) AS x FROM v JOIN c ON c.id = v.rid),
+a AS (SELECT file_id, CAST(dim AS INTEGER) AS dim, avg(x) AS value FROM u GROUP BY 1, 2),
+n AS (SELECT file_id, sqrt(sum(value * value)) AS norm FROM a GROUP BY 1)
+SELECT a.file_id, a.dim, round(CASE WHEN n.norm = 0 THEN a.value ELSE a.value / n.norm END, 6) AS value FROM a JOIN n USING (file_id)""",
+    "chunk_fixed": """
+WITH c AS (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 500.0) AS BIGINT))) AS k FROM documents WHERE length(text) > 0),
+p AS (SELECT doc_id, k, substring(text, k * 500 + 1, 500) AS content, length(substring(text, 1, k * 500)) - length(replace(substring(text, 1, k * 500), chr(10), '')) AS before FROM c)
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, content, CAST(1 + before AS INTEGER) AS start_line, CAST(1 + before + length(content) - length(replace(content, chr(10), '')) AS INTEGER) AS end_line FROM p""",
+    "chunk_hashes": "SELECT DISTINCT id, sha256(content) AS sha256_hex, sha256(content) = lower(hex(content_hash)) AS is_stored FROM chunks",
+    "snippets": f"SELECT doc_id, CASE WHEN length({_FLAT.format('text')}) > 150 THEN left({_FLAT.format('text')}, 150) || '...' ELSE {_FLAT.format('text')} END AS snippet FROM documents WHERE text IS NOT NULL",
+    "clean_text_lines": """WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: rtrim(x, ' ' || chr(9))) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: x <> '' OR i = 1 OR l[i - 1] <> ''), chr(10)) AS text FROM l""",
+    "page_marked_text": """WITH c AS (SELECT DISTINCT id, chunk_index, content FROM chunks WHERE content IS NOT NULL AND file_id IN (SELECT id FROM files WHERE lower(path) LIKE '%.pdf')),
+l AS (SELECT id, chunk_index, list_transform(string_split(content, chr(10)), lambda x: rtrim(x, ' ' || chr(9))) AS l FROM c)
+SELECT id, '--- page ' || (chunk_index + 1) || ' ---' || chr(10) || array_to_string(list_filter(l, lambda x, i: x <> '' OR i = 1 OR l[i - 1] <> ''), chr(10)) || chr(10) AS page FROM l""",
+    "classify_files": f"SELECT path, {_EXT} AS ext, {_KIND} AS kind FROM {_PATHS}",
+    "size_limits": f"""WITH s AS (SELECT DISTINCT path, size_bytes FROM file_scans WHERE size_bytes IS NOT NULL),
+l AS (SELECT path, size_bytes, CASE WHEN {_EXT} = '.md' THEN 16384 ELSE 0 END AS limit_bytes FROM s)
+SELECT path, size_bytes, CAST(limit_bytes AS BIGINT) AS limit_bytes, limit_bytes > 0 AND size_bytes > limit_bytes AS is_too_large FROM l""",
+    "pruned_directories": f"SELECT path, len(list_filter({_DIRS}, lambda d: starts_with(d, '.') OR d = 'engine' OR d = 'weird[name' OR regexp_full_match(d, 's[^/]*r|[^/]esk'))) > 0 AS is_pruned FROM {_PATHS}",
+    "ignored_names": f"SELECT path, regexp_full_match({_NAME}, '[^/]*_1\\.[^/]*|[a-c][^/]*\\.md|\\.env') AS is_ignored FROM {_PATHS}",
+    "gitignored_files": f"""SELECT path, regexp_matches({_NAME}, '\\.log$|draft') OR regexp_matches(substring(path, 7), '(^|/)engine/|^u0001/[^/]+(/|$)') OR regexp_full_match({_NAME}, '!keep\\.md')
+ OR len(list_filter({_DIRS}[2:], lambda d: regexp_matches(d, '\\.log$|draft|^!keep\\.md$'))) > 0 AS is_ignored FROM {_PATHS} WHERE starts_with(path, '/home/')""",
+    "marker_pruned": f"""WITH p AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM {_PATHS}), m AS (SELECT DISTINCT dir FROM p WHERE {_EXT} = '.toml')
+SELECT path, EXISTS (SELECT 1 FROM m WHERE p.dir = m.dir OR starts_with(p.dir, m.dir || '/')) AS is_pruned FROM p""",
+    "unchanged_files": f"""WITH {_SEEN8.format(run=8)}, f AS (SELECT path, max(modified_at) AS stored FROM files GROUP BY path)
+SELECT seen.path, s.modified_at AS modified_at, coalesce(f.stored = s.modified_at, false) AS unchanged FROM seen LEFT JOIN f USING (path)""",
+    "upserted_files": f"""WITH {_SEEN8.format(run=8)}, n AS (SELECT path, s FROM seen WHERE s.file_hash IS NOT NULL)
+SELECT path, s.modified_at AS modified_at, lower(hex(s.file_hash)) AS file_hash, 'ok' AS status, CAST(NULL AS VARCHAR) AS last_error FROM n
+UNION ALL SELECT DISTINCT path, modified_at, lower(hex(file_hash)), status, last_error FROM files WHERE path NOT IN (SELECT path FROM n)""",
+    "replaced_chunks": """WITH n AS (SELECT path, chunk_index, arg_max(content_hash, (scanned_at, scan_id)) AS h FROM chunk_scans WHERE content_hash IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT f.id AS file_id, n.chunk_index FROM n JOIN (SELECT DISTINCT id, path FROM files) f USING (path)),
+a AS (SELECT file_id, chunk_index FROM (SELECT DISTINCT id, file_id, chunk_index FROM chunks) WHERE file_id NOT IN (SELECT file_id FROM t) UNION ALL SELECT * FROM t)
+SELECT file_id, count(*) AS n_chunks, max(chunk_index) AS last_index FROM a GROUP BY 1""",
+    "files_without_chunks": "SELECT DISTINCT id, path FROM files WHERE status = 'ok' AND id NOT IN (SELECT file_id FROM chunks WHERE file_id IS NOT NULL)",
+    "missing_from_run": f"SELECT path FROM {_PATHS} WHERE path NOT IN (SELECT path FROM file_scans WHERE run_id = 7 AND path IS NOT NULL)",
+    "run_counters": f"""WITH {_SEEN8.format(run=8)}, f AS (SELECT path, max(modified_at) AS stored FROM files GROUP BY path),
+k AS (SELECT path, count(DISTINCT chunk_index) AS n FROM chunk_scans WHERE content_hash IS NOT NULL GROUP BY 1),
+o AS (SELECT path, CASE WHEN {_KIND} = 'none' THEN 'filtered' WHEN s.file_hash IS NULL THEN 'unreadable' WHEN s.size_bytes > ({_MB}) * 1048576 THEN 'too_large'
+ WHEN coalesce(stored = s.modified_at, false) THEN 'unchanged' WHEN {_KIND} = 'media' THEN 'media_indexed' ELSE 'indexed' END AS outcome, n FROM seen LEFT JOIN f USING (path) LEFT JOIN k USING (path))
+SELECT {", ".join(f"count(*) FILTER (outcome = '{x}') AS {x}" for x in ("indexed", "unchanged", "too_large", "filtered", "media_indexed", "media_filtered", "unreadable", "errors"))}, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks_embedded FROM o""",
+    "file_uris": f"SELECT path, 'file://' || array_to_string(list_transform(string_split(path, '/'), lambda x: url_encode(x)), '/') AS uri FROM {_PATHS}",
+    "run_durations": "SELECT DISTINCT run_id, CASE WHEN date_diff('second', started_at, finished_at) < 60 THEN printf('%4.1fs', CAST(date_diff('second', started_at, finished_at) AS DOUBLE)) ELSE printf('%dm%02ds', date_diff('second', started_at, finished_at) // 60, date_diff('second', started_at, finished_at) % 60) END AS took FROM index_runs WHERE finished_at IS NOT NULL",
+}
