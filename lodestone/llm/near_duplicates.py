@@ -7,8 +7,8 @@ the coordinates with <i, v> = 1, always four of them. Any two coordinates are or
 common v, as are the three of a line, so whichever two coordinates (or line) of a group
 differ, some mask hides them and the texts collide in its table. Hence every pair of texts whose
 signatures differ in at most 3 * groups - 1 coordinates collides in some table: one group then
-has at most two of them. At similarity 0.5 a group collides with probability 0.28 and eight
-groups with 0.93, at 0.6 with 0.994, at 0.7 and above with more than 0.9999.
+has at most two of them. At similarity 0.5 a group collides with probability 0.28 and twelve
+groups with 0.98, at 0.55 with 0.996, at 0.6 with 0.9996, at 0.7 and above with more than 0.999999.
 
 Candidates are then checked exactly, on the sets of their word sequences. Texts with the same words form one class and are handled once, so a
 group of copies costs as much as one text. Tables are buckets of key ranges; their number follows the table.
@@ -253,7 +253,7 @@ def text_classes(texts: DataFrame, id_col: str, text_col: str, words: int, sets:
     return rows.mapInArrow(classify, "class long, seqs array<int>" if sets else f"id {id_type}, class long")
 
 
-def similar_classes(texts: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, groups: int = 8) -> DataFrame:
+def similar_classes(texts: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, groups: int = 12) -> DataFrame:
     """(class_a, class_b, similarity) of all classes of different texts with at least this similarity."""
     pairs = materialize(candidate_pairs(texts, id_col, text_col, words, groups), "candidates")
     nodes = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
@@ -285,7 +285,7 @@ def class_members(texts: DataFrame, id_col: str, text_col: str, words: int) -> t
     return members, classes
 
 
-def similar_ids(texts: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, groups: int = 8) -> DataFrame:
+def similar_ids(texts: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, groups: int = 12) -> DataFrame:
     """Pairs (id_a, id_b), id_a < id_b. Classes of up to EXPAND copies are written out in full;
     of a larger class every copy is paired with the smallest id, which alone stands for it in pairs with other texts."""
     links = materialize(similar_classes(texts, id_col, text_col, words, threshold, groups).select("class_a", "class_b"), "links")
@@ -330,7 +330,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return named.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(named, "node", "left_anti"))
 
 
-def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, groups: int = 8) -> DataFrame:
+def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, groups: int = 12) -> DataFrame:
     """One row per text with a class: (id, group_id, n_links). group_id is the smallest id of the
     texts connected by links; n_links counts the other texts that a text's class is linked to, its copies not among them."""
     links = materialize(similar_classes(texts, id_col, text_col, words, threshold, groups).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")), "links")

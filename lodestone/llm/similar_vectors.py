@@ -9,12 +9,12 @@ vectors of these cells are the candidates and are reranked by their cosine.
 Placement. A cell is handled by one task. A vector is sent to its own cell once and, as a
 query, to each further cell it visits, in half precision. Within a cell all of it is matrix
 multiplication. A pair scored in a visited cell counts for both its vectors, which makes up for
-cells that only one of them visits. Cells above `max_cell` rows are cut into blocks, and every
+cells that only one of them visits. Large classes of equal vectors are handled before (_without_copies); other cells above `max_cell` rows are cut into blocks, and every
 pair of blocks is scored by a task of its own: no task gets more than 2 * max_cell rows of a
 cell and no pair is lost.
 
-Loss. A neighbour is missed only if neither vector visits the cell of the other; recall()
-measures it against brute force. Scores are cosines of half-precision components and differ from
+Loss. A neighbour is missed only if neither vector visits the cell of the other; the
+tests measure it against brute force. Scores are cosines of half-precision components and differ from
 the exact ones by less than 0.001.
 
 Nulls, vectors with all zeros, with a wrong width or with null elements take no part. Rows that
@@ -32,6 +32,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
+
 SAMPLE_ROWS = 20_000
 
 
@@ -107,20 +109,42 @@ def _top(ids: np.ndarray, others: np.ndarray, scores: np.ndarray, k: int) -> tup
     return part, np.take_along_axis(scores, part, 1)
 
 
-def most_similar(vectors: DataFrame, id_col: str, vec_col: str, width: int, k: int = 10, centroids: int = 64,
+def _without_copies(usable: DataFrame, k: int, limit: int) -> tuple[int, DataFrame, DataFrame | None]:
+    """(rows, rows to index, neighbours of the others). Of a class of more than `limit` equal vectors
+    only the k + 1 smallest ids are indexed: as ties go to the smaller id, no query can
+    have others of the class among its k. The others' neighbours are the first k of these. There are fewer classes
+    of this size than rows / limit, which bounds what is broadcast."""
+    tagged = usable.withColumn("h", F.xxhash64("vec"))
+    classes = tagged.groupBy("h").count()
+    most = classes.agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
+    rows = most["rows"] or 0
+    limit = max(limit, rows // 100_000)
+    if (most["most"] or 0) <= limit:
+        return rows, usable, None
+    heavy = tagged.join(F.broadcast(classes.where(F.col("count") > limit).select("h")), "h", "left_semi").select("id", "h").distinct()
+    parts = heavy.groupBy("h", F.pmod(F.xxhash64("id"), F.lit(1024)).alias("salt")).agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("ids"))
+    kept = materialize(parts.groupBy("h").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("kept")), "kept")
+    index = tagged.join(F.broadcast(kept), "h", "left").where(F.col("kept").isNull() | F.array_contains("kept", F.col("id"))).select("id", "vec")
+    others = heavy.join(F.broadcast(kept), "h").where(~F.array_contains("kept", F.col("id")))
+    return rows, index, others.select("id", F.explode(F.slice("kept", 1, k)).alias("other"), F.lit(1.0).alias("score"))
+
+
+def most_similar(vectors: DataFrame, id_col: str, vec_col: str, width: int, k: int = 10, centroids: int | None = None,
                  candidates: int = 1000, max_cell: int = 4096, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The k most similar other vectors of every vector: (id, other, score).
 
-    width: the length of a vector; rows of another width take no part. centroids: K of each half;
-    it should grow with the square root of the table (K * K cells of some dozens to hundreds of rows).
-    candidates: how many vectors a query visits at least. sample_rows: bound of the sample that
-    the codebooks are fitted on.
+    width: the length of a vector; rows of another width take no part. centroids: K of each half; by default it
+    grows with the square root of the table, from 64 to 1024. candidates: how many vectors a query visits at
+    least. sample_rows: bound of the sample that the codebooks are fitted on, 32 for each centroid at least.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     id_type = rows.schema["id"].dataType.simpleString()
     empty = spark.createDataFrame([], f"id {id_type}, other {id_type}, score double")
     usable = rows.where(F.col("id").isNotNull() & (F.size("vec") == width))
+    n, usable, copies = _without_copies(usable, k, max_cell)
+    centroids = centroids or min(1024, max(64, round((n / 75) ** 0.5)))
+    sample_rows = max(sample_rows, 32 * centroids)
     # the rows with the smallest hashes: a sample that doesn't depend on how the table is stored
     sample = usable.withColumn("h", F.xxhash64("id")).orderBy("h").limit(sample_rows).select("id", "vec").toArrow()
     parts = [_matrix(b, width)[1] for b in sample.to_batches()]
@@ -240,7 +264,7 @@ def most_similar(vectors: DataFrame, id_col: str, vec_col: str, width: int, k: i
     placed = usable.mapInArrow(place, f"cell long, block_a int, block_b int, mine int, id {id_type}, vec binary")
     found = placed.groupBy("cell", "block_a", "block_b").applyInArrow(score, f"id {id_type}, other {id_type}, score double")
     # at most k rows of a vector come from each cell it was scored in; both groupings use one shuffle
-    return (
+    result = (
         found.repartition("id")
         .groupBy("id", "other")
         .agg(F.max("score").alias("score"))
@@ -249,6 +273,7 @@ def most_similar(vectors: DataFrame, id_col: str, vec_col: str, width: int, k: i
         .select("id", F.explode("best").alias("b"))
         .select("id", F.col("b.other").alias("other"), (-F.col("b.s")).alias("score"))
     )
+    return result if copies is None else result.unionByName(copies)
 
 
 def similar_pairs(neighbours: DataFrame, least: float) -> DataFrame:
