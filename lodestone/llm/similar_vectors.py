@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
+from .sampling import hash_sample
 
 SAMPLE_ROWS = 20_000
 
@@ -145,10 +146,9 @@ def most_similar(vectors: DataFrame, id_col: str, vec_col: str, width: int, k: i
     n, usable, copies = _without_copies(usable, k, max_cell)
     centroids = centroids or min(1024, max(64, round((n / 75) ** 0.5)))
     sample_rows = max(sample_rows, 32 * centroids)
-    # the rows with the smallest hashes: a sample that doesn't depend on how the table is stored
-    sample = usable.withColumn("h", F.xxhash64("id")).orderBy("h").limit(sample_rows).select("id", "vec").toArrow()
+    sample = hash_sample(usable, "id", n, sample_rows).toArrow()
     parts = [_matrix(b, width)[1] for b in sample.to_batches()]
-    points = np.concatenate(parts) if parts else np.zeros((0, width), np.float32)
+    points = (np.concatenate(parts) if parts else np.zeros((0, width), np.float32))[:sample_rows]
     if not len(points):
         return empty
     cut = width // 2
