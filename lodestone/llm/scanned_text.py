@@ -90,6 +90,7 @@ class Lexicon:
         self.prefix_forms: dict[str, list[str]] = defaultdict(list)
         for p in self.prefixes:
             self.prefix_forms[skeleton(p)].append(p)
+        self.heads = {w.split("-")[0] for w in counts if "-" in w}
         self.memo: dict[str, tuple[list[str], str | None]] = {}
 
     def compound(self, word: str) -> bool:
@@ -212,7 +213,7 @@ def furniture(lines: DataFrame) -> DataFrame:
         .select("file_id", "chunk_index", "id", "line_no", F.trim(F.regexp_replace("line", r"[\r\t ]+", " ")).alias("s"), F.trim(F.regexp_replace("line", "[\r\t]", "  ")).alias("raw"))
         .where("length(s) between 1 and 80")
         .withColumn("styled", (F.length("s") <= 30) & F.col("s").rlike("[0-9lIOS]") & F.col("s").rlike(STYLED))
-        .withColumn("number", (F.length("s") <= 10) & ((F.col("s").rlike(BARE) & F.col("s").rlike("[0-9]")) | F.col("s").rlike(ROMAN)))
+        .withColumn("number", (F.length("s") <= 10) & (F.col("s").rlike(BARE) | F.col("s").rlike(ROMAN)))
         .withColumn("open", ~F.substring("s", -1, 1).isin(*".;:!?,") & (F.length("s") >= 6) & ~F.col("styled") & ~F.col("number"))
         .where("styled or number or open")
         .withColumn("t", F.when(F.col("open"), F.regexp_replace(F.trim(F.regexp_replace("raw", TITLE_NUMBER, "")), r"\s+", " ")))
@@ -229,12 +230,13 @@ def furniture(lines: DataFrame) -> DataFrame:
     roman = lambda c, n: (F.length("s") - F.length(F.regexp_replace(F.lower("s"), c, ""))) * n
     low = F.lower("s")
     minus = F.when(low.contains("iv") | low.contains("ix"), 2).otherwise(0) + F.when(low.contains("xl") | low.contains("xc"), 20).otherwise(0)
-    value = F.when(F.col("s").rlike(BARE) & F.col("s").rlike("[0-9]"), digits.try_cast("int")).otherwise(roman("i", 1) + roman("v", 5) + roman("x", 10) + roman("l", 50) + roman("c", 100) - minus)
-    numbers = numbers.withColumn("v", value).withColumn("roman", ~(F.col("s").rlike("[0-9]"))).where(F.col("v").isNotNull())
+    plain = F.col("s").rlike("[0-9]")
+    value = F.when(F.col("s").rlike(BARE) & (plain | ~F.col("s").rlike(ROMAN)), digits.try_cast("int")).otherwise(roman("i", 1) + roman("v", 5) + roman("x", 10) + roman("l", 50) + roman("c", 100) - minus)
+    numbers = numbers.withColumn("v", value).withColumn("roman", ~plain & F.col("s").rlike(ROMAN)).where(F.col("v").isNotNull())
     near = numbers.select("file_id", "roman", F.col("chunk_index").alias("c2"), F.explode(F.array(F.col("v") - 1, F.col("v") + 1)).alias("v")).distinct()
     joined = numbers.join(near, ["file_id", "roman", "v"], "left").where(F.col("c2").isNull() | (F.abs(F.col("c2") - F.col("chunk_index")) <= 12))
     supported = joined.groupBy("id", "line_no").agg(F.count("c2").alias("n"))
-    sequence = numbers.join(supported, ["id", "line_no"], "left").where((F.coalesce("n", F.lit(0)) > 0) | F.when(F.col("roman"), F.col("v") <= 50).otherwise(F.col("v") < 1000))
+    sequence = numbers.join(supported, ["id", "line_no"], "left").where((F.coalesce("n", F.lit(0)) > 0) | F.when(F.col("roman"), F.col("v") <= 50).otherwise(plain & (F.col("v") < 1000)))
     titled = short.where("title").withColumn("key", F.lower(F.regexp_replace("t", r"[0-9]+", "0")))
     times = titled.groupBy("file_id", "key").agg(F.count(F.lit(1)).alias("n"))
     pieces = times.select("file_id", "key", F.explode(F.array_distinct(F.filter(F.split("key", r"[ .,]"), lambda w: F.length(w) >= 3))).alias("w"))
@@ -271,9 +273,12 @@ def mend_line(line: str, before: str | None, after: str | None, lexicon: Lexicon
     neighbouring body lines. Where the line before was cut, its first word is dropped, as that line has it."""
     noises: set[str] = set()
     line = line.rstrip("\r")
-    cut = _cut_in_two(line) if after is not None else None
-    rest = _first_word(after) if cut else ""
+    cut = _cut_in_two(line)
+    rest = _first_word(after) if cut and after is not None else ""
     if cut and not rest:
+        # the text ends here: only the first part of a known compound keeps its mark
+        if not (cut[1] in "-‐" and cut[0].lower() in lexicon.heads) and cut[0].isalpha():
+            noises.add("hyphen")
         cut = None
     came = _cut_in_two(before) if before is not None else None
     came_word = _first_word(line) if came else ""
