@@ -69,3 +69,8 @@ def elapsed(seconds: Column) -> Column:
     """'12.3s' under a minute, else '2m05s'."""
     whole = F.floor(seconds).cast("long")
     return F.when(seconds < 60, F.format_string("%4.1fs", seconds.cast("double"))).otherwise(F.format_string("%dm%02ds", F.floor(whole / 60).cast("long"), F.pmod(whole, F.lit(60)).cast("long")))
+
+
+def hyperlink(path: Column, shown: Column) -> Column:
+    """The text as a terminal link (OSC 8) to the file."""
+    return F.concat(F.lit("\x1b]8;;"), file_uri(path), F.lit("\x1b\\"), shown, F.lit("\x1b]8;;\x1b\\"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .embed import HashEmbedder, embed_column
-from .functions.paths import DEFAULT_MB, MB_BY_TYPE, MEDIA_EXTENSIONS, TEXT_EXTENSIONS, GitignoreRule, base_name, classify, extension, gitignored, hidden_or_ignored, matches_any, size_limit, too_large
+from .functions.paths import DEFAULT_MB, MB_BY_TYPE, MEDIA_EXTENSIONS, TEXT_EXTENSIONS, GitignoreRule, base_name, classify, directories, extension, gitignored, hidden_or_ignored, matches_any, size_limit, too_large
 from .functions.text import clean_extracted, clean_text, elapsed, file_uri, label, page_marked, pre_tokens, snippet, space_out_cjk
 from .functions.tokenizer import WordPiece, encode_column
 from .functions.vectors import l2_normalize, score
@@ -151,9 +151,9 @@ def chunk_fixed(spark, sf_dir):
 
 def chunk_hashes(spark, sf_dir):
     """SHA-256 of the contents against the stored hashes."""
-    rows = table(spark, sf_dir, "chunks").select("id", "content", "content_hash").distinct()
     digest = F.lower(F.sha2("content", 256))
-    return rows.select("id", digest.alias("sha256_hex"), (digest == F.lower(F.hex("content_hash"))).alias("is_stored"))
+    # distinct after the digest: contents aren't shuffled
+    return table(spark, sf_dir, "chunks").select("id", digest.alias("sha256_hex"), (digest == F.lower(F.hex("content_hash"))).alias("is_stored")).distinct()
 
 
 def chunk_token_aware(spark, sf_dir):
@@ -191,8 +191,9 @@ def word_pieces(spark, sf_dir):
     """Encodings of chunk contents with a small vocabulary of letters and frequent endings."""
     tokens = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz0123456789.,-", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789"), "the", "and", "##ing", "##ed"]
     tokenizer = WordPiece({t: i for i, t in enumerate(tokens)})
-    rows = table(spark, sf_dir, "chunks").where("content is not null").dropDuplicates(["id"])
-    return rows.select("id", encode_column(F.col("content"), tokenizer).alias("e")).select("id", F.aggregate("e.mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_ids"), F.slice("e.ids", 1, 8).alias("first_ids"))
+    rows = table(spark, sf_dir, "chunks").where("content is not null")
+    encoded = rows.select("id", encode_column(F.col("content"), tokenizer).alias("e"))
+    return encoded.select("id", F.aggregate("e.mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_ids"), F.slice("e.ids", 1, 8).alias("first_ids")).distinct()
 
 
 def hash_embedding_norms(spark, sf_dir):
@@ -304,12 +305,50 @@ def run_durations(spark, sf_dir):
     return runs.select("run_id", elapsed(F.expr("timestampdiff(SECOND, started_at, finished_at)")).alias("took"))
 
 
+def vectors_to_delete(spark, sf_dir):
+    """Vectors of the chunks of files that run 8 cut again: what a re-index deletes."""
+    touched = table(spark, sf_dir, "files").join(table(spark, sf_dir, "chunk_scans").select("path").distinct(), "path", "left_semi").select(F.col("id").alias("file_id"))
+    chunks = table(spark, sf_dir, "chunks").join(touched.distinct(), "file_id", "left_semi").select(F.col("id").alias("rowid"))
+    return table(spark, sf_dir, "vec_chunks").select("rowid").distinct().join(chunks, "rowid", "left_semi")
+
+
+def todo_files(spark, sf_dir):
+    """Files of run 8 whose stored modification time differs: contents of the others are never read."""
+    stored = table(spark, sf_dir, "files").select("path", "modified_at").distinct()
+    return _last_seen(spark, sf_dir, 8).select("path", "modified_at").join(stored, ["path", "modified_at"], "left_anti")
+
+
+def file_errors(spark, sf_dir):
+    """Errors by status: how many files, and the first in the order of paths."""
+    files = table(spark, sf_dir, "files").select("id", "path", "status", "last_error").distinct()
+    return files.groupBy("status").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("last_error") != "").alias("n_errors"), F.min(F.when(F.col("last_error") != "", F.concat_ws(": ", "path", "last_error"))).alias("first_error"))
+
+
+def path_parts(spark, sf_dir):
+    """Base names, directories and depth of all documents with a path."""
+    rows = table(spark, sf_dir, "documents").where("path is not null")
+    return rows.select("doc_id", base_name(F.col("path")).alias("name"), F.array_join(directories(F.col("path")), "/").alias("directory"), F.size(directories(F.col("path"))).cast("long").alias("depth"))
+
+
+def json_jobs(spark, sf_dir):
+    """Image files as JSON jobs and read back again."""
+    rows = _paths(spark, sf_dir).where(classify(F.col("path")) == "media")
+    job = F.to_json(F.struct(F.lit("image").alias("kind"), F.col("path").alias("payload")))
+    return rows.select("path", F.from_json(job, "kind string, payload string").alias("j")).select("path", "j.kind", "j.payload")
+
+
+def folder_sizes(spark, sf_dir):
+    """Documents and characters by folder, with subtotals; one folder holds a tenth of the rows, and sums leave each task before the shuffle."""
+    rows = table(spark, sf_dir, "documents").select("folder", F.lower(F.trim("source")).alias("source"), F.char_length("text").cast("long").alias("n"))
+    return rows.rollup("source", "folder").agg(F.count(F.lit(1)).alias("n_documents"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_chars"), F.grouping_id().cast("long").alias("level"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         knn_pool, knn_post_filter, knn_restrict, knn_diversified, media_search, knn_batch, orphan_vectors, stale_models, file_mean_vectors, chunk_fixed, chunk_hashes, chunk_token_aware, snippets, clean_text_lines,
         page_marked_text, pre_token_counts, word_pieces, hash_embedding_norms, classify_files, size_limits, pruned_directories, ignored_names, gitignored_files, marker_pruned, unchanged_files, upserted_files, replaced_chunks,
-        files_without_chunks, missing_from_run, run_counters, file_uris, run_durations, p2_found,
+        files_without_chunks, missing_from_run, run_counters, file_uris, run_durations, vectors_to_delete, todo_files, file_errors, path_parts, json_jobs, folder_sizes, p2_found,
     )
 }
 
@@ -399,4 +438,13 @@ o AS (SELECT path, CASE WHEN {_KIND} = 'none' THEN 'filtered' WHEN s.file_hash I
 SELECT {", ".join(f"count(*) FILTER (outcome = '{x}') AS {x}" for x in ("indexed", "unchanged", "too_large", "filtered", "media_indexed", "media_filtered", "unreadable", "errors"))}, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks_embedded FROM o""",
     "file_uris": f"SELECT path, 'file://' || array_to_string(list_transform(string_split(path, '/'), lambda x: url_encode(x)), '/') AS uri FROM {_PATHS}",
     "run_durations": "SELECT DISTINCT run_id, CASE WHEN date_diff('second', started_at, finished_at) < 60 THEN printf('%4.1fs', CAST(date_diff('second', started_at, finished_at) AS DOUBLE)) ELSE printf('%dm%02ds', date_diff('second', started_at, finished_at) // 60, date_diff('second', started_at, finished_at) % 60) END AS took FROM index_runs WHERE finished_at IS NOT NULL",
+    "vectors_to_delete": "SELECT DISTINCT v.rowid AS rowid FROM vec_chunks v WHERE v.rowid IN (SELECT id FROM chunks WHERE file_id IN (SELECT id FROM files WHERE path IN (SELECT path FROM chunk_scans)))",
+    "todo_files": f"""WITH {_SEEN8.format(run=8)} SELECT path, s.modified_at AS modified_at FROM seen
+WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.path = seen.path AND f.modified_at = seen.s.modified_at)""",
+    "file_errors": """SELECT status, count(*) AS n_files, count(*) FILTER (last_error <> '') AS n_errors, min(path || ': ' || last_error) FILTER (last_error <> '') AS first_error
+FROM (SELECT DISTINCT id, path, status, last_error FROM files) GROUP BY status""",
+    "path_parts": f"SELECT doc_id, {_NAME} AS name, array_to_string({_DIRS}, '/') AS directory, len({_DIRS}) AS depth FROM documents WHERE path IS NOT NULL",
+    "json_jobs": f"SELECT path, 'image' AS kind, path AS payload FROM {_PATHS} WHERE {_KIND} = 'media'",
+    "folder_sizes": """SELECT lower(trim(source)) AS source, folder, count(*) AS n_documents, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS n_chars, CAST(grouping(lower(trim(source)), folder) AS BIGINT) AS level
+FROM documents GROUP BY ROLLUP (lower(trim(source)), folder)""",
 }

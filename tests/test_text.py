@@ -40,6 +40,7 @@ def test_expressions(spark):
     s = df.select(tx.snippet(F.col("t"))).first()[0]
     assert s.startswith("a b c") and len(s) == 153
     assert df.select(tx.file_uri(F.lit("/a b/ü.txt"))).first()[0] == "file:///a%20b/%C3%BC.txt"
+    assert df.select(tx.hyperlink(F.lit("/a"), F.lit("a:1-2"))).first()[0] == "\x1b]8;;file:///a\x1b\\a:1-2\x1b]8;;\x1b\\"
     assert df.select(tx.elapsed(F.lit(12.34))).first()[0] == "12.3s" and df.select(tx.elapsed(F.lit(125))).first()[0] == "2m05s"
     assert df.select(tx.page_marked(F.lit(2), F.lit("a  \n\n\nb"))).first()[0] == "--- page 2 ---\na\n\nb\n"
     assert df.select(tx.strip_accents(F.lit("Café"))).first()[0] == "Cafe"
