@@ -13,6 +13,10 @@ groups with 0.98, at 0.55 with 0.996, at 0.6 with 0.9996, at 0.7 and above with
 Candidates are then checked exactly, on the sets of their word sequences. Texts with the same words form one class and are handled once, so a
 group of copies costs as much as one text. Tables are buckets of key ranges; their number follows the table.
 
+A key shared by more than CROWD classes isn't written out in pairs. Its classes are joined exactly
+instead, on the rarest part of their sequences: of two sets above the threshold each has one of its
+n - ceil(threshold * n) + 1 rarest sequences among those of the other, whatever the order of rareness.
+
 Nulls and texts with fewer words than a sequence take no part. Repeated rows of an id count once.
 An empty table gives empty results. Extra columns are not read.
 """
@@ -34,6 +38,7 @@ U64 = np.uint64
 _WORD_LIMIT = 0x32400
 MASKS = [[i for i in range(7) if bin((i + 1) & v).count("1") % 2] for v in range(1, 8)]
 EXPAND = 20
+CROWD = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -135,8 +140,9 @@ def table_keys(signature: np.ndarray, groups: int) -> np.ndarray:
     return keys
 
 
-def candidate_pairs(texts: DataFrame, id_col: str, text_col: str, words: int, groups: int, tables_in: int = 50_000) -> DataFrame:
-    """Distinct pairs (class_a, class_b) of classes that collide in a table.
+def candidate_pairs(texts: DataFrame, id_col: str, text_col: str, words: int, groups: int, crowd: int = CROWD, tables_in: int = 50_000) -> DataFrame:
+    """Distinct pairs (class_a, class_b) of classes that collide in a table; of a key that more than
+    `crowd` classes share, each class with itself.
 
     An entry takes ten bytes: seven of the class and three of the key, of which the bucket holds
     the rest. Entries of a bucket travel as one value per input batch.
@@ -195,6 +201,11 @@ def candidate_pairs(texts: DataFrame, id_col: str, text_col: str, words: int, gr
             key, cls = key[new], cls[new]
             at = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
             size = np.diff(at)
+            large = np.flatnonzero(size > crowd)
+            if len(large):
+                c = np.unique(np.concatenate([cls[at[g] : at[g + 1]] for g in large]))
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(c)], names=["class_a", "class_b"])
+                size = np.where(size > crowd, 1, size)
             # the pairs at distance d in the sorted group, for all groups at once
             for d in range(1, int(size.max(initial=1))):
                 starts, counts = at[:-1][size > d], size[size > d] - d
@@ -253,9 +264,27 @@ def text_classes(texts: DataFrame, id_col: str, text_col: str, words: int, sets:
     return rows.mapInArrow(classify, "class long, seqs array<int>" if sets else f"id {id_type}, class long")
 
 
-def similar_classes(texts: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, groups: int = 12) -> DataFrame:
+def rare_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (class_a, class_b) of (class, seqs) that share one of their rarest sequences: all pairs above the
+    threshold are among them. Sequences that only one set has leave no pair."""
+    each = sets.select("class", F.size("seqs").alias("n"), F.explode("seqs").alias("seq"))
+    counted = each.join(each.groupBy("seq").agg(F.count(F.lit(1)).alias("sets")), "seq")
+    ordered = counted.groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "seq"))).alias("o"))
+    first = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    prefix = ordered.select("class", "n", F.explode(F.filter(first, lambda x: x["sets"] > 1)).alias("x")).select("class", "n", "x.seq")
+    other = prefix.select(F.col("class").alias("class_b"), F.col("n").alias("n_b"), "seq")
+    sizes = (F.col("n") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n"))
+    return prefix.join(other, "seq").where((F.col("class") < F.col("class_b")) & sizes).select(F.col("class").alias("class_a"), "class_b").distinct()
+
+
+def similar_classes(texts: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, groups: int = 12, crowd: int = CROWD) -> DataFrame:
     """(class_a, class_b, similarity) of all classes of different texts with at least this similarity."""
-    pairs = materialize(candidate_pairs(texts, id_col, text_col, words, groups), "candidates")
+    met = materialize(candidate_pairs(texts, id_col, text_col, words, groups, crowd), "candidates")
+    pairs = met.where("class_a <> class_b")
+    crowded = met.where("class_a = class_b").select(F.col("class_a").alias("class"))
+    if not crowded.isEmpty():
+        sets = text_classes(texts, id_col, text_col, words, sets=True).join(crowded, "class", "left_semi").dropDuplicates(["class"])
+        pairs = materialize(pairs.unionByName(rare_pairs(materialize(sets, "crowded"), threshold)).distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
     # of a class at most one row a task gets here
     sets = text_classes(texts, id_col, text_col, words, sets=True).join(nodes, "class", "left_semi").dropDuplicates(["class"])

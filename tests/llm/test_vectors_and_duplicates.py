@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.near_duplicates import MASKS, connected_components, near_duplicate_groups, shingles, similar_ids, signatures
+from lodestone.llm.near_duplicates import MASKS, connected_components, near_duplicate_groups, shingles, similar_classes, similar_ids, signatures, text_classes
 from lodestone.llm.similar_vectors import most_similar, similar_pairs, traverse
 
 VECS = "rowid long, embedding array<float>, cell int, id string"
@@ -134,6 +134,23 @@ def test_pairs_and_groups_against_brute_force(spark):
     assert near_duplicate_groups(df.limit(0), "id", "content").count() == 0 and similar_ids(df.limit(0), "id", "content").count() == 0
 
 
+def test_crowded_keys_are_joined_exactly(spark):
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(40)]
+    rows = []
+    for i in range(60):
+        words = base[:]
+        for _ in range(rng.randint(0, 8)):
+            words[rng.randrange(40)] = f"x{rng.randrange(1000)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "id long, content string")
+    want = jaccard_pairs(rows, 3, 0.5)
+    links = similar_classes(df, "id", "content", 3, 0.5, crowd=5)
+    ids = {r["class"]: r.id for r in text_classes(df, "id", "content", 3).collect()}
+    got = {tuple(sorted((ids[r.class_a], ids[r.class_b]))) for r in links.collect()}
+    assert {p for p in want if p[0] in ids.values() and p[1] in ids.values()} == got
+
+
 def test_many_copies_are_linked_to_the_first(spark):
     text = "one two three four five six seven"
     df = spark.createDataFrame([(i, text) for i in range(40)] + [(99, text + " eight"), (98, text.upper())], "id long, content string")
