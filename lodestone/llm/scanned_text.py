@@ -203,13 +203,15 @@ DIGITS = "[0-9lIOoSsB]{1,4}"
 STYLED = rf"(?i)^(?:-{{2,}}\s*(?:page|seite|página|pagina)\s+{DIGITS}\s*-{{2,}}|(?:page|seite|página|pagina|pag\.|pág\.|p\.|s\.)\s*{DIGITS}(?:\s*(?:/|of|von|de|sur)\s*{DIGITS})?|[-–—~•|·*]+\s*{DIGITS}\s*[-–—~•|·*]+|[\[(<]\s*{DIGITS}\s*[\])>]|{DIGITS}\s*/\s*{DIGITS})$"
 ROMAN = r"(?i)^(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$"
 BARE = r"^[0-9lIO]{1,4}$"
+SMALL_WORDS = r"(?:^|[ .])\p{Ll}[^ .]*[ .](?:.*[ .])?\p{Ll}"
 TITLE_NUMBER = rf"^{DIGITS}\s{{2,}}|\s{{2,}}{DIGITS}$|^(?:[0-9]{{1,4}})\s*[|·–-]\s+|\s+[|·–-]\s*(?:[0-9]{{1,4}})$"
 
 
 def furniture(lines: DataFrame) -> DataFrame:
     """(id, line_no, noise) of headers and page numbers."""
     short = (
-        lines.where("length(line) <= 120")
+        # body text shows itself by its second word in small letters, before anything else is worked out
+        lines.where((F.length("line") <= 120) & ((F.length(F.trim("line")) <= 30) | ~F.col("line").rlike(SMALL_WORDS)))
         .select("file_id", "chunk_index", "id", "line_no", F.trim(F.regexp_replace("line", r"[\r\t ]+", " ")).alias("s"), F.trim(F.regexp_replace("line", "[\r\t]", "  ")).alias("raw"))
         .where("length(s) between 1 and 80")
         .withColumn("styled", (F.length("s") <= 30) & F.col("s").rlike("[0-9lIOS]") & F.col("s").rlike(STYLED))
