@@ -9,7 +9,9 @@ vectors of these cells are the candidates and are reranked by their cosine.
 Placement. A cell is handled by one task. A vector is sent to its own cell once and, as a
 query, to each further cell it visits, in half precision. Within a cell all of it is matrix
 multiplication. A pair scored in a visited cell counts for both its vectors, which makes up for
-cells that only one of them visits. Large classes of equal vectors are handled before (_without_copies); other cells above `max_cell` rows are cut into blocks, and every
+cells that only one of them visits. Large classes of equal vectors are handled before (_without_copies). A
+cell above max_cell * hot_blocks rows gets a codebook of its own, fitted on the rows of the sample in it, whose cells
+are visited in the order of their distance in its place. Cells still above `max_cell` rows are cut into blocks, and every
 pair of blocks is scored by a task of its own: no task gets more than 2 * max_cell rows of a
 cell and no pair is lost.
 
@@ -93,9 +95,38 @@ def _matrix(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     return ids.take(keep).to_numpy()[ok], (x[ok] / norm[ok, None]).astype(np.float32)
 
 
-def _nearest_cells(x: np.ndarray, codebooks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _nearest_cells(x: np.ndarray, codebooks, inner: dict[int, tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances of both halves, and the cell of each row. inner: of a hot cell the number of its first
+    inner cell and their centroids."""
     d1, d2 = half_distances(x, codebooks)
-    return d1, d2, d1.argmin(1) * d2.shape[1] + d2.argmin(1)
+    home = d1.argmin(1) * d2.shape[1] + d2.argmin(1)
+    for cell, (first, centroids) in inner.items():
+        at = np.flatnonzero(home == cell)
+        if len(at):
+            home[at] = first + _inner_distances(x[at], centroids).argmin(1)
+    return d1, d2, home
+
+
+def _inner_distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return (centroids**2).sum(1) - 2 * x @ centroids.T
+
+
+def _visits(x: np.ndarray, d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, inner: dict, candidates: int) -> list[int]:
+    """The cells of traverse(), a hot one replaced by its inner cells, the nearest first, as far as they are needed."""
+    out: list[int] = []
+    for cell in traverse(d1, d2, sizes, candidates):
+        if cell not in inner:
+            out.append(cell)
+            continue
+        first, centroids = inner[cell]
+        got = 0
+        for sub in np.argsort(_inner_distances(x[None], centroids)[0], kind="stable"):
+            if sizes[first + sub]:
+                out.append(int(first + sub))
+                got += int(sizes[first + sub])
+            if got >= candidates:
+                break
+    return out
 
 
 def _top(ids: np.ndarray, others: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +162,7 @@ def _without_copies(usable: DataFrame, k: int, limit: int) -> tuple[int, DataFra
 
 
 def most_similar(vectors: DataFrame, id_col: str, vec_col: str, width: int, k: int = 10, centroids: int | None = None,
-                 candidates: int = 1000, max_cell: int = 4096, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+                 candidates: int = 1000, max_cell: int = 4096, sample_rows: int = SAMPLE_ROWS, hot_blocks: int = 16) -> DataFrame:
     """The k most similar other vectors of every vector: (id, other, score).
 
     width: the length of a vector; rows of another width take no part. centroids: K of each half; by default it
@@ -155,18 +186,34 @@ def most_similar(vectors: DataFrame, id_col: str, vec_col: str, width: int, k: i
     codebooks = (kmeans(points[:, :cut], centroids), kmeans(points[:, cut:], centroids))
     n_cells = len(codebooks[0]) * len(codebooks[1])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_cells, np.int64)
-        for b in batches:
-            _, x = _matrix(b, width)
-            if len(x):
-                total += np.bincount(_nearest_cells(x, codebooks)[2], minlength=n_cells)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
-
-    sizes = np.zeros(n_cells, np.int64)
-    for r in usable.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most K * K
-        sizes[r.cell] = r.n
+    def cell_sizes(inner: dict, total_cells: int) -> np.ndarray:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(total_cells, np.int64)
+            for b in batches:
+                _, x = _matrix(b, width)
+                if len(x):
+                    total += np.bincount(_nearest_cells(x, codebooks, inner)[2], minlength=total_cells)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+
+        out = np.zeros(total_cells, np.int64)
+        for r in usable.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # K * K rows at most
+            out[r.cell] = r.n
+        return out
+
+    sizes, inner, total_cells = cell_sizes({}, n_cells), {}, n_cells
+    hot = np.flatnonzero(sizes > max_cell * hot_blocks)
+    if len(hot):
+        where = _nearest_cells(points, codebooks, {})[2]
+        for cell in hot.tolist():
+            mine = points[where == cell]
+            wanted = min(len(mine) // 8, -(-4 * int(sizes[cell]) // max_cell))
+            if wanted > 1:
+                inner[cell] = (total_cells, kmeans(mine, wanted))
+                total_cells += len(inner[cell][1])
+        whole = sizes[list(inner)]
+        sizes = cell_sizes(inner, total_cells)
+        sizes[list(inner)] = whole  # what traverse() sees of a hot cell
     blocks = np.maximum(1, -(-sizes // max_cell))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +221,11 @@ def most_similar(vectors: DataFrame, id_col: str, vec_col: str, width: int, k: i
             ids, x = _matrix(b, width)
             if not len(ids):
                 continue
-            d1, d2, home = _nearest_cells(x, codebooks)
+            d1, d2, home = _nearest_cells(x, codebooks, inner)
             source, cell, block_a, block_b = [], [], [], []
             own = (pd.util.hash_array(ids) % np.uint64(1 << 30)).astype(np.int64) % blocks[home]
             for r in range(len(ids)):
-                for c in traverse(d1[r], d2[r], sizes, candidates) if sizes[home[r]] < candidates else (int(home[r]),):
+                for c in _visits(x[r], d1[r], d2[r], sizes, inner, candidates) if sizes[home[r]] < candidates else (int(home[r]),):
                     m = int(blocks[c])
                     if c == home[r]:
                         pairs = [(min(int(own[r]), o), max(int(own[r]), o)) for o in range(m)]

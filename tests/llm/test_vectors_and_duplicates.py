@@ -27,13 +27,13 @@ def test_traversal_is_in_order_and_complete():
     assert few == got[: len(few)] and sizes[few].sum() >= 4 > sizes[few[:-1]].sum()
 
 
-@pytest.mark.parametrize("max_cell", [4096, 40])
-def test_recall_against_brute_force(spark, max_cell):
+@pytest.mark.parametrize("max_cell, hot_blocks", [(4096, 16), (40, 16), (40, 1)])
+def test_recall_against_brute_force(spark, max_cell, hot_blocks):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 32))
     x = (centres[rng.integers(0, 12, 900)] + 0.6 * rng.normal(size=(900, 32))).astype(np.float32)
     got = {}
-    for r in most_similar(frame(spark, range(900), x), "rowid", "embedding", 32, k=5, centroids=8, candidates=300, max_cell=max_cell).collect():
+    for r in most_similar(frame(spark, range(900), x), "rowid", "embedding", 32, k=5, centroids=8, candidates=300, max_cell=max_cell, hot_blocks=hot_blocks).collect():
         got.setdefault(r.id, []).append((r.other, r.score))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
