@@ -203,6 +203,17 @@ def hash_embedding_norms(spark, sf_dir):
     return embed_column(rows, "text", HashEmbedder()).select("doc_id", F.round(norm, 4).alias("norm"))
 
 
+def index_documents(spark, sf_dir):
+    """Every document chunked within the budgets of the hashing embedder and embedded: chunks and the mean length of their vectors, by language."""
+    embedder = HashEmbedder()
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.lower(F.trim("lang")).alias("lang"))
+    cut = token_chunks(rows, "doc_id", "text", embedder.count_tokens, embedder.token_budget).withColumnRenamed("id", "doc_id")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    embedded = embed_column(cut, "content", embedder).select("doc_id", norm.alias("norm"))
+    per_document = embedded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("norm").alias("norm"))
+    return per_document.join(rows.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum("n").alias("n_chunks"), F.round(F.sum("norm") / F.sum("n"), 4).alias("mean_norm"))
+
+
 # -- files -------------------------------------------------------------------------------------
 
 
@@ -347,7 +358,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_pool, knn_post_filter, knn_restrict, knn_diversified, media_search, knn_batch, orphan_vectors, stale_models, file_mean_vectors, chunk_fixed, chunk_hashes, chunk_token_aware, snippets, clean_text_lines,
-        page_marked_text, pre_token_counts, word_pieces, hash_embedding_norms, classify_files, size_limits, pruned_directories, ignored_names, gitignored_files, marker_pruned, unchanged_files, upserted_files, replaced_chunks,
+        page_marked_text, pre_token_counts, word_pieces, hash_embedding_norms, index_documents, classify_files, size_limits, pruned_directories, ignored_names, gitignored_files, marker_pruned, unchanged_files, upserted_files, replaced_chunks,
         files_without_chunks, missing_from_run, run_counters, file_uris, run_durations, vectors_to_delete, todo_files, file_errors, path_parts, json_jobs, folder_sizes, p2_found,
     )
 }
