@@ -82,18 +82,20 @@ def run(args: list[str]) -> int:
     if command == "clean":
         if positional:
             raise UsageError("clean takes no arguments")
-        print("removed the index" if IndexStore(build_session(), "file://" + config.store.path).clean() else "nothing to clean")
+        print("removed the index" if IndexStore(build_session(), "file://" + config.db.path).clean() else "nothing to clean")
         return 0
     if command in ("index", "sync"):
         _known(flags, "recursive")
         if len(positional) > 1:
             raise UsageError(f"{command} takes one path at most")
         recursive = _flag_bool(flags, "recursive", True)
+        from .media import image_function
         from .plans.index import index_directory, summary
 
         spark = build_session()
         began = time.time()
-        stats = index_directory(spark, cfg.expand_home(positional[0]) if positional else ".", IndexStore(spark, "file://" + config.store.path), _embedder(config), _rules(config), recursive, remove_missing=command == "sync")
+        images = _media(config)
+        stats = index_directory(spark, cfg.expand_home(positional[0]) if positional else ".", IndexStore(spark, "file://" + config.db.path), _embedder(config), _rules(config), recursive, image_function(images) if images else None, command == "sync")
         print(summary(stats, time.time() - began))
         return 0
     _known(flags, "max", "media-max", "restrict")
@@ -103,8 +105,8 @@ def run(args: list[str]) -> int:
 
     restrict = flags.get("restrict")
     options = Options(_flag_int(flags, "max"), _flag_int(flags, "media-max"), 0, None if restrict is None else "." if restrict == "true" else cfg.expand_home(restrict))
-    store = IndexStore(build_session(), "file://" + config.store.path)
-    print(printed(search(store, positional[0], _embedder(config), options, defaults=(config.search.max_results, config.search.max_media_results, config.search.max_results_per_file))))
+    store = IndexStore(build_session(), "file://" + config.db.path)
+    print(printed(search(store, positional[0], _embedder(config), options, _media(config), (config.search.max_results, config.search.max_media_results, config.search.max_results_per_file))))
     return 0
 
 
@@ -137,7 +139,14 @@ def _rules(config: cfg.Config):
     from .sources.listing import Rules
 
     i = config.index
-    return Rules(i.ignore_dirs, i.ignore_patterns, i.marker_files, i.index_hidden_dirs, i.text_extensions, i.media_extensions, i.max_file_size_mb, i.max_file_size_mb_by_type)
+    return Rules(i.ignore_dirs, i.ignore_patterns, i.ignore_dir_markers, i.index_hidden_dirs, i.allowed_extensions, config.media.allowed_extensions, i.max_file_size_mb, i.max_file_size_mb_by_type)
+
+
+def _media(config: cfg.Config):
+    """The image encoder where its folder is there; otherwise images are left out."""
+    from .media import ClipEmbedder
+
+    return ClipEmbedder(config.media.model_dir) if config.media.model_dir and os.path.isdir(config.media.model_dir) else None
 
 
 if __name__ == "__main__":

@@ -7,10 +7,20 @@ import re
 from pyspark.sql import Column, functions as F
 
 # Default lists of the configuration.
-TEXT_EXTENSIONS = [".txt", ".md", ".markdown", ".rst", ".go", ".py", ".js", ".ts", ".jsx", ".tsx", ".java", ".c", ".h", ".cpp", ".hpp", ".rs", ".rb", ".php", ".sh", ".sql", ".html", ".css", ".json", ".yaml", ".yml", ".toml", ".xml", ".csv", ".log", ".ini", ".pdf", ".docx"]
+TEXT_EXTENSIONS = [
+    ".txt", ".md", ".markdown", ".rst", ".go", ".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".c", ".h", ".cpp", ".hpp", ".rs",
+    ".rb", ".php", ".sh", ".sql", ".html", ".css", ".scss", ".json", ".yaml", ".yml", ".toml", ".xml", ".swift", ".kt", ".pdf", ".docx",
+]
 MEDIA_EXTENSIONS = [".jpg", ".jpeg", ".png", ".heic", ".heif"]
 IGNORE_PATTERNS = [".DS_Store", ".env", ".env.*"]
-IGNORE_DIRS = ["node_modules", "vendor", "cmake-build-*", "*@v*"]
+IGNORE_DIRS = [
+    ".git", ".svn", ".hg", "node_modules", "vendor", "third_party", "_vendored", "Pods", "Carthage", "site-packages", ".venv", "venv",
+    "dist", "build", "out", "target", ".next", "cmake-build-*", "__pycache__", ".cache", "cache", ".gradle", ".m2", ".terraform",
+    ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "*.egg-info", "*@v*",
+]
+# What some systems add to the two lists.
+SYSTEM_DIRS = {"darwin": ["Library", "Applications"], "win32": ["AppData", "$Recycle.Bin"]}
+SYSTEM_PATTERNS = {"win32": ["Thumbs.db", "desktop.ini"]}
 MARKERS = ["pyvenv.cfg"]
 DEFAULT_MB = 2
 MB_BY_TYPE = {"pdf": 50, "docx": 25, "jpg": 50, "jpeg": 50, "png": 50, "heic": 50, "heif": 50}

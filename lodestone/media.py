@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from .schema import MEDIA_WIDTH
 
 # The files of a model folder, image size, colour statistics, and length of a text.
-MODEL_FILES = ("vision_model.onnx", "text_model.onnx", "tokenizer.json")
+MODEL_FILES = ("vision_model_q4f16.onnx", "text_model_q4f16.onnx", "tokenizer.json")
 SIDE, TOKENS = 224, 77
 MEAN = np.array([0.48145466, 0.4578275, 0.40821073], np.float32)
 STD = np.array([0.26862954, 0.26130258, 0.27577711], np.float32)
-DEFAULT_MODEL_ID = "clip-b32-q4"
+DEFAULT_MODEL_ID = "openai/clip-vit-base-patch32-q4f16-onnx"
 
 
 def missing_files(folder: str) -> list[str]:

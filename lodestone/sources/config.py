@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import tomllib
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
@@ -13,24 +14,25 @@ from ..functions import paths
 class EmbedderConfig:
     model_path: str = ""
     tokenizer_path: str = ""
-    batch_size: int = 32
+    ort_library_path: str = ""  # kept for old files; onnxruntime finds its library itself
+    batch_size: int = 0
 
 
 @dataclass
 class MediaConfig:
     model_dir: str = ""
+    allowed_extensions: list[str] = field(default_factory=list)
 
 
 @dataclass
 class IndexConfig:
-    text_extensions: list[str] = field(default_factory=list)
-    media_extensions: list[str] = field(default_factory=list)
     max_file_size_mb: int = 0
-    max_file_size_mb_by_type: dict[str, int] = field(default_factory=dict)
+    allowed_extensions: list[str] = field(default_factory=list)
     ignore_dirs: list[str] = field(default_factory=list)
     index_hidden_dirs: bool = False
-    marker_files: list[str] = field(default_factory=list)
+    ignore_dir_markers: list[str] = field(default_factory=list)
     ignore_patterns: list[str] = field(default_factory=list)
+    max_file_size_mb_by_type: dict[str, int] = field(default_factory=dict)
 
 
 @dataclass
@@ -42,7 +44,7 @@ class SearchConfig:
 
 @dataclass
 class StoreConfig:
-    path: str = "index"
+    path: str = ""
 
 
 @dataclass
@@ -50,13 +52,18 @@ class Config:
     embedder: EmbedderConfig = field(default_factory=EmbedderConfig)
     media: MediaConfig = field(default_factory=MediaConfig)
     index: IndexConfig = field(default_factory=IndexConfig)
+    db: StoreConfig = field(default_factory=StoreConfig)
     search: SearchConfig = field(default_factory=SearchConfig)
-    store: StoreConfig = field(default_factory=StoreConfig)
 
 
 def default() -> Config:
+    dirs = paths.IGNORE_DIRS + paths.SYSTEM_DIRS.get(sys.platform, [])
+    patterns = paths.IGNORE_PATTERNS + paths.SYSTEM_PATTERNS.get(sys.platform, [])
     return Config(
-        index=IndexConfig(list(paths.TEXT_EXTENSIONS), list(paths.MEDIA_EXTENSIONS), paths.DEFAULT_MB, dict(paths.MB_BY_TYPE), list(paths.IGNORE_DIRS), False, list(paths.MARKERS), list(paths.IGNORE_PATTERNS)),
+        embedder=EmbedderConfig(batch_size=32),
+        media=MediaConfig(allowed_extensions=list(paths.MEDIA_EXTENSIONS)),
+        index=IndexConfig(paths.DEFAULT_MB, list(paths.TEXT_EXTENSIONS), dirs, False, list(paths.MARKERS), patterns, dict(paths.MB_BY_TYPE)),
+        db=StoreConfig("index"),
         search=SearchConfig(5, 5, 2),
     )
 
@@ -107,8 +114,7 @@ def load(path: str, resolve: bool = True) -> Config:
     if not resolve:  # for editing: values stay as they are written
         return config
     base = os.path.dirname(os.path.abspath(path))
-    if config.store.path:
-        config.store.path = os.path.join(base, expand_home(config.store.path))
+    config.db.path = os.path.join(base, expand_home(config.db.path or "index"))
     for owner, name in ((config.embedder, "model_path"), (config.embedder, "tokenizer_path"), (config.media, "model_dir")):
         value = expand_home(getattr(owner, name))
         setattr(owner, name, os.path.join(base, value) if value else value)

@@ -42,7 +42,7 @@ def test_path_columns(spark):
 
 
 def test_scan(tmp_path):
-    for name in ("aaa/notes.txt", ".hidden/x.txt", ".dotfile.txt", "venv/pyvenv.cfg", "venv/lib.py", "node_modules/x.js", "build/y.txt", "src/build.txt", "src/z.log", "big.txt", "pic.png"):
+    for name in ("aaa/notes.txt", ".hidden/x.txt", "dist/bundle.js", ".dotfile.txt", "venv/pyvenv.cfg", "venv/lib.py", "node_modules/x.js", "build/y.txt", "src/build.txt", "src/z.log", "big.txt", "pic.png"):
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text("x")
@@ -140,7 +140,8 @@ def test_config(tmp_path):
     path = str(tmp_path / "c" / "config.toml")
     c = cfg.load(path)
     assert os.path.exists(path) and c.search.max_results == 5 and c.index.max_file_size_mb_by_type["pdf"] == 50
-    assert c.store.path == str(tmp_path / "c" / "index")
+    assert c.db.path == str(tmp_path / "c" / "index")
+    assert len(cfg.keys(c)) == 17
     for key in cfg.keys(c):
         cfg.get(c, key)
     cfg.set_value(c, "search.max_results", "9")
@@ -151,7 +152,7 @@ def test_config(tmp_path):
     with pytest.raises(KeyError):
         cfg.get(c, "no.such")
     cfg.save(c, path)
-    assert cfg.load(path).search.max_results == 9 and cfg.load(path).index.marker_files == ["pyvenv.cfg"]
+    assert cfg.load(path).search.max_results == 9 and cfg.load(path).index.ignore_dir_markers == ["pyvenv.cfg"]
     (tmp_path / "old.toml").write_text("[embedder]\nbatch_size = 4\n")
     assert cfg.load(str(tmp_path / "old.toml")).search.max_results == 0
     assert cfg.expand_home("~") == os.path.expanduser("~") and cfg.expand_home("~user/x") == "~user/x"

@@ -20,7 +20,7 @@ def test_padding_and_length():
 
 
 def test_missing_files(tmp_path):
-    with pytest.raises(FileNotFoundError, match="vision_model.onnx, text_model.onnx, tokenizer.json"):
+    with pytest.raises(FileNotFoundError, match="vision_model_q4f16.onnx, text_model_q4f16.onnx, tokenizer.json"):
         media.ClipEmbedder(str(tmp_path))
 
 
