@@ -31,9 +31,9 @@ from ..operators.incremental import salted_lookup
 from ..session import materialize
 
 BLOCK = 4096
-# Glyphs that scanners confuse. Single characters share a class; pairs stand for one letter.
+# Glyphs that scanners confuse. Single characters share a class; pairs stand for one letter, or one glyph for a pair.
 CLASSES = {"c": "e", "f": "t", "@": "a", "0": "o", "l": "i", "1": "i", "|": "i", "5": "s", "b": "h", "6": "h", "9": "g"}
-PAIRS = {"ri": "n", "cl": "d", "ii": "u", "rn": "m", "vv": "w"}
+PAIRS = {"ri": "n", "cl": "d", "ii": "u", "rn": "m", "vv": "w", "d": "cl", "m": "rn", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff"}
 _CLASS = str.maketrans(CLASSES)
 MARKS = "-¬­‐"
 _WORD = re.compile(rf"[^\W_]+(?:[-@|][^\W_]+)*")
@@ -62,7 +62,7 @@ def whole_words(text: str) -> list[str]:
 
 
 def readings(word: str) -> list[str]:
-    """The word itself and the word with one pair of glyphs read as the letter it looks like."""
+    """The word itself and the word with one pair of glyphs read as the letter it looks like, or the reverse."""
     out = [word]
     for pair, letter in PAIRS.items():
         at = word.find(pair)
