@@ -107,7 +107,23 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_masked": p8_masked,
 }
+_NEAREST = """
+WITH {0} AS (SELECT DISTINCT rowid AS rid, CAST(embedding AS DOUBLE[]) AS e FROM {1} WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0),
+{0}_d AS (SELECT a.rid AS rid, b.rid AS other, list_cosine_similarity(a.e, b.e) AS c FROM {0} a JOIN {0} b ON a.rid <> b.rid),
+{0}_r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY c DESC, other) AS k FROM {0}_d)
+SELECT DISTINCT '{0}' AS space, least(rid, other) AS rowid_a, greatest(rid, other) AS rowid_b FROM {0}_r WHERE k <= 10 AND c >= 0.8
+"""
+
 ORACLES: dict[str, str] = {
+    # all pairs, which is what the index saves; both agree on the small tables
+    "p1_found": f"SELECT * FROM ({_NEAREST.format('chunk', 'vec_chunks')}) UNION ALL SELECT * FROM ({_NEAREST.format('media', 'vec_media')})",
+    "p4_found": """
+WITH c AS (SELECT DISTINCT id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS w FROM chunks WHERE content IS NOT NULL),
+s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM c WHERE len(w) >= 3),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * k >= x.n + y.n - k
+""",
     "p5_found": """
 SELECT DISTINCT id, CASE WHEN regexp_matches(content, '[^ \\t\\r\\n]{501,}') THEN 'hard' ELSE 'boundary' END AS kind
 FROM chunks WHERE length(content) > 500
