@@ -283,6 +283,23 @@ def test_decoder_against_all_segmentations():
         assert abs(sum(weights[f[0]] for *_, f in got) - best) < 1e-9
 
 
+def test_marginals_against_all_segmentations():
+    rng = random.Random(4)
+    for _ in range(30):
+        spans = sorted(((s := rng.randrange(12), s + rng.randint(1, 5)) for _ in range(6)), key=lambda p: (p[1], p[0]))
+        scores = [rng.uniform(-2, 2) for _ in spans]
+        back = [sum(e <= s for _, e in spans[:i]) for i, (s, _) in enumerate(spans)]
+        total, each = 0.0, [0.0] * 6
+        for mask in range(1 << 6):
+            chosen = [k for k in range(6) if mask >> k & 1]
+            if all(spans[a][1] <= spans[b][0] for a, b in zip(chosen, chosen[1:])):
+                weight = np.exp(sum(scores[k] for k in chosen))
+                total += weight
+                for k in chosen:
+                    each[k] += weight
+        assert np.allclose(pii.marginals(scores, back), np.array(each) / total)
+
+
 def test_masked_table(spark):
     names = spark.createDataFrame([("Grace",), (None,)], "given_name string")
     long = "nothing here " * 20_000 + "a@b.example"
