@@ -12,10 +12,9 @@ from ..operators.chunking import token_chunks
 from ..operators.store import IndexStore, drop_orphans, missing_files, replace_children, unchanged, upsert_files
 from ..session import materialize
 from ..sources.extract import read_texts
-from ..sources.listing import Rules, scan
+from ..sources.listing import Rules, listing as list_tree
 
 log = logging.getLogger("lodestone")
-LISTING = "path string, kind string, size long, modified_at long, outcome string"
 
 
 def run_stats(outcomes: DataFrame) -> DataFrame:
@@ -30,7 +29,7 @@ def index_directory(spark: SparkSession, root: str, store: IndexStore, embedder:
     a file without text gets a row and no chunks. media: an optional function from a listing of media files to
     (path, embedding array<float>, error). remove_missing also drops stored files under the root that are gone."""
     rules = rules or Rules()
-    listing = spark.createDataFrame(scan(root, rules, recursive), LISTING)
+    listing = materialize(list_tree(spark, root, rules, recursive), "listing")  # every part of the run sees the same tree
     files = store.read("files")
     candidates = unchanged(listing.where("outcome = 'candidate'"), files)
     # written first, so that contents of unchanged files are never opened

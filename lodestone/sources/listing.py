@@ -1,10 +1,16 @@
-"""Directory scan on the driver: names and sizes only, contents are read by the tasks."""
+"""Directory scan: names and sizes only, contents are read later by the tasks."""
 
 from __future__ import annotations
 
 import os
 import re
+import stat
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import paths
 
@@ -48,46 +54,90 @@ def size_limit(name: str, rules: Rules) -> int:
     return rules.mb_by_type.get(extension(name)[1:], rules.default_mb) * 1024 * 1024
 
 
-def scan(root: str, rules: Rules, recursive: bool = True) -> list[tuple[str, str, int | None, int | None, str]]:
-    """(path, kind, size, modified_at, outcome) in lexical order. outcome: 'candidate', 'filtered', 'too_large' or
-    'unreadable'. A directory symlink isn't followed, a file symlink is. A missing or unreadable root is an error."""
+Row = tuple[str, str, int | None, int | None, str]
+
+
+def _folder(folder: str, root: str, rules: Rules, ignored: list[paths.GitignoreRule]) -> tuple[list[Row], list[str]]:
+    """(rows of the files of one folder, its folders that aren't pruned), in lexical order."""
+    rows: list[Row] = []
+    below: list[str] = []
+    try:
+        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError:
+        return [(folder, "none", None, None, "unreadable")], []
+    for e in entries:
+        relative = os.path.relpath(e.path, root).replace(os.sep, "/")
+        if e.is_dir(follow_symlinks=False):
+            pruned = (e.name.startswith(".") and not rules.index_hidden) or any(match(p, e.name, True) for p in rules.ignore_dirs)
+            if not pruned and not any(os.path.lexists(os.path.join(e.path, m)) for m in rules.markers) and not _gitignored(relative, True, ignored):
+                below.append(e.path)
+        elif (kind := classify(relative, rules, ignored)) == "none":
+            rows.append((e.path, kind, None, None, "filtered"))
+        else:
+            try:
+                st = os.stat(e.path)
+            except OSError:
+                rows.append((e.path, kind, None, None, "unreadable"))
+                continue
+            limit = size_limit(e.name, rules)
+            if stat.S_ISDIR(st.st_mode):
+                rows.append((e.path, "none", None, None, "filtered"))
+            else:
+                rows.append((e.path, kind, st.st_size, int(st.st_mtime), "too_large" if 0 < limit < st.st_size else "candidate"))
+    return rows, below
+
+
+def _start(root: str) -> tuple[str, list[paths.GitignoreRule]]:
     if not os.path.exists(root):
         raise FileNotFoundError(f"path does not exist: {root}")
     root = os.path.realpath(root)
-    os.scandir(root).close()
-    ignored: list[paths.GitignoreRule] = []
+    os.scandir(root).close()  # an unreadable root is an error, an unreadable folder below isn't
     try:
         with open(os.path.join(root, ".gitignore"), encoding="utf-8", errors="replace") as f:
-            ignored = paths.GitignoreRule.parse(f.read())
+            return root, paths.GitignoreRule.parse(f.read())
     except OSError:
-        pass
-    out: list[tuple] = []
-
-    def walk(folder: str) -> None:
-        try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
-        except OSError:
-            out.append((folder, "none", None, None, "unreadable"))
-            return
-        for e in entries:
-            relative = os.path.relpath(e.path, root).replace(os.sep, "/")
-            if e.is_dir(follow_symlinks=False):
-                pruned = not recursive or (e.name.startswith(".") and not rules.index_hidden) or any(match(p, e.name, True) for p in rules.ignore_dirs)
-                pruned = pruned or any(os.path.lexists(os.path.join(e.path, m)) for m in rules.markers) or _gitignored(relative, True, ignored)
-                if not pruned:
-                    walk(e.path)
-            elif (kind := classify(relative, rules, ignored)) == "none":
-                out.append((e.path, kind, None, None, "filtered"))
-            else:
-                try:
-                    st = os.stat(e.path)
-                    if os.path.isdir(e.path):
-                        out.append((e.path, "none", None, None, "filtered"))
-                        continue
-                    limit = size_limit(e.name, rules)
-                    out.append((e.path, kind, st.st_size, int(st.st_mtime), "too_large" if 0 < limit < st.st_size else "candidate"))
-                except OSError:
-                    out.append((e.path, kind, None, None, "unreadable"))
-
-    walk(root)
-    return out
+        return root, []
+
+
+def _walk(folder: str, root: str, rules: Rules, ignored: list[paths.GitignoreRule]) -> Iterator[Row]:
+    rows, below = _folder(folder, root, rules, ignored)
+    yield from rows
+    for b in below:
+        yield from _walk(b, root, rules, ignored)
+
+
+def scan(root: str, rules: Rules, recursive: bool = True) -> list[Row]:
+    """(path, kind, size, modified_at, outcome) of a tree. outcome: 'candidate', 'filtered', 'too_large' or 'unreadable'.
+    A directory symlink isn't followed, a file symlink is. A missing or unreadable root is an error."""
+    root, ignored = _start(root)
+    return list(_walk(root, root, rules, ignored)) if recursive else _folder(root, root, rules, ignored)[0]
+
+
+LISTING = "path string, kind string, size long, modified_at long, outcome string"
+
+
+def listing(spark: SparkSession, root: str, rules: Rules, recursive: bool = True, fan_out: int = 256) -> DataFrame:
+    """The same as a DataFrame. The driver walks from the top until `fan_out` folders wait; these are walked by
+    tasks, which see the same file system, so a large tree is listed in parallel and its names never meet in the driver."""
+    root, ignored = _start(root)
+    rows, waiting = _folder(root, root, rules, ignored)
+    waiting = waiting if recursive else []
+    while waiting and len(waiting) < fan_out:
+        found = [_folder(w, root, rules, ignored) for w in waiting]
+        rows += [r for f, _ in found for r in f]
+        waiting = [b for _, below in found for b in below]
+    top = spark.createDataFrame(rows, LISTING)
+    if not waiting:
+        return top
+
+    def walk(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        names = ["path", "kind", "size", "modified_at", "outcome"]
+        for b in source:
+            for folder in b.column(0).to_pylist():
+                below = _walk(folder, root, rules, ignored)
+                while part := list(islice(below, 5000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
+
+    folders = spark.createDataFrame([(w,) for w in waiting], "folder string").repartition(min(len(waiting), 4 * spark.sparkContext.defaultParallelism))
+    return top.unionByName(folders.mapInArrow(walk, LISTING))

@@ -13,7 +13,7 @@ from lodestone.plans.index import index_directory, summary
 from lodestone.plans.search import Options, printed, search
 from lodestone.sources import config as cfg
 from lodestone.sources.extract import docx_text, extract_text
-from lodestone.sources.listing import Rules, classify, match, scan, size_limit
+from lodestone.sources.listing import Rules, classify, listing, match, scan, size_limit
 
 
 def test_globs():
@@ -60,6 +60,18 @@ def test_scan(tmp_path):
         scan(str(tmp_path / "nowhere"), Rules())
 
 
+def test_listing_in_tasks(spark, tmp_path):
+    for k in range(6):
+        for j in range(3):
+            p = tmp_path / f"d{k}" / f"e{j}" / "x.md"
+            p.parent.mkdir(parents=True)
+            p.write_text("x" * k)
+    want = sorted(scan(str(tmp_path), Rules()))
+    for fan_out in (1, 5, 100):
+        assert sorted(tuple(r) for r in listing(spark, str(tmp_path), Rules(), fan_out=fan_out).collect()) == want
+    assert listing(spark, str(tmp_path), Rules(), recursive=False).count() == 0
+
+
 def docx(body: str, part="word/document.xml") -> bytes:
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
