@@ -13,6 +13,9 @@ from pyspark.sql import Column, functions as F
 CJK_RANGES = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F)]
 
 
+_ASCII = {o: None for o in (*range(32), 127)} | {ord(c): " " for c in "\t\n\r"}
+
+
 def _punctuation(c: str) -> bool:
     o = ord(c)
     return 33 <= o <= 47 or 58 <= o <= 64 or 91 <= o <= 96 or 123 <= o <= 126 or unicodedata.category(c).startswith("P")
@@ -29,6 +32,7 @@ class WordPiece:
             raise ValueError("max_length must leave room for a token between [CLS] and [SEP]")
         self.vocab, self.max_length, self.lowercase, self.clean, self.cjk, self.max_word = vocab, max_length, lowercase, clean, cjk, max_word
         self.strip = lowercase if strip_accents is None else strip_accents
+        self._known: dict[str, list[str]] = {}
 
     @classmethod
     def load(cls, path: str) -> "WordPiece":
@@ -46,7 +50,9 @@ class WordPiece:
     def normalize(self, text: str) -> str:
         if self.cjk:
             text = "".join(f" {c} " if any(a <= ord(c) <= b for a, b in CJK_RANGES) else c for c in text) if not text.isascii() else text
-        if self.clean:
+        if self.clean and text.isascii():
+            text = text.translate(_ASCII)
+        elif self.clean:
             kept = []
             for c in text:
                 if c in "\t\n\r" or unicodedata.category(c) == "Zs":
@@ -54,15 +60,20 @@ class WordPiece:
                 elif c not in "\0\ufffd" and unicodedata.category(c) != "Cc":
                     kept.append(c)
             text = "".join(kept)
-        if self.lowercase:
+        if self.lowercase and text.isascii():
+            text = text.lower()
+        elif self.lowercase:
             text = "".join(low if len(low := c.lower()) == 1 else low[0] for c in text)
-        if self.strip:
+        if self.strip and not text.isascii():
             text = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
         return text
 
     def words(self, text: str) -> list[str]:
         out: list[str] = []
         for run in text.split():
+            if run.isalnum():  # nothing to split off
+                out.append(run)
+                continue
             word = ""
             for c in run:
                 if _punctuation(c):
@@ -92,7 +103,15 @@ class WordPiece:
         return out
 
     def tokens(self, text: str) -> list[str]:
-        return [p for w in self.words(self.normalize(text)) for p in self.pieces(w)]
+        out: list[str] = []
+        for w in self.words(self.normalize(text)):
+            found = self._known.get(w)
+            if found is None:
+                if len(self._known) > 200_000:
+                    self._known.clear()
+                found = self._known[w] = self.pieces(w)
+            out += found
+        return out
 
     def count(self, text: str) -> int:
         return len(self.tokens(text))

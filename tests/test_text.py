@@ -82,6 +82,13 @@ def test_word_pieces(spark):
     assert WordPiece(VOCAB, max_word=3).tokens("search") == ["[UNK]"]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=127), max_size=40))
+def test_plain_text_is_normalised_as_any_other(text):
+    t = WordPiece(VOCAB)
+    assert t.normalize(text) + "  é"[1:].replace("é", "e") == t.normalize(text + " é")
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60))
 def test_count_is_the_number_of_tokens(text):
