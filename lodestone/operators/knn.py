@@ -46,9 +46,48 @@ def nearest(vectors: DataFrame, query: list[float], k: int = POOL, id_col: str =
     return found.groupBy("rowid").agg(F.min("distance").alias("distance")).orderBy("distance", "rowid").limit(k)
 
 
+def _block(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a block that can be among the k nearest of a query, sorted by id: repeated rows once and, of equal
+    vectors, the k + 1 smallest ids, as ties go to the smaller id and a query leaves out only its own."""
+    _, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_inverse=True)
+    same = same.ravel()
+    order = np.lexsort((ids, same))
+    order = order[np.r_[True, (ids[order][1:] != ids[order][:-1]) | (same[order][1:] != same[order][:-1])]]
+    first = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]])
+    place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    order = order[place <= k]
+    order = order[np.argsort(ids[order], kind="stable")]
+    return ids[order], x[order]
+
+
+def _nearest_of_block(qi: np.ndarray, q: np.ndarray, ti: np.ndarray, t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, position in the block, distance) of the k nearest ids of each query, ties to the smaller id. All that the
+    matrix product can't tell from the k-th is compared by exact distances. ti is sorted."""
+    norms = (q * q).sum(1)[:, None], (t * t).sum(1)[None, :]
+    d = norms[0] + norms[1] - 2 * q @ t.T
+    d[qi[:, None] == ti[None, :]] = np.inf
+    starts = np.flatnonzero(np.r_[True, ti[1:] != ti[:-1]])
+    of_id = d if len(starts) == len(ti) else np.minimum.reduceat(d, starts, axis=1)
+    kth = np.partition(of_id, k - 1, axis=1)[:, k - 1] if of_id.shape[1] > k else np.full(len(q), np.inf)
+    slack = 1e-12 * t.shape[1] * (norms[0].ravel() + norms[1].max(initial=0.0))
+    who, near = np.nonzero((d <= (kth + slack)[:, None]) & np.isfinite(d))
+    exact = np.empty(len(who))
+    for s in range(0, len(who), 1 << 14):
+        a, b = who[s : s + (1 << 14)], near[s : s + (1 << 14)]
+        exact[s : s + (1 << 14)] = np.sqrt(((q[a] - t[b]) ** 2).sum(1))
+    # of an id its smallest distance, then the first k of each query
+    order = np.lexsort((exact, ti[near], who))
+    order = order[np.r_[True, (who[order][1:] != who[order][:-1]) | (ti[near][order][1:] != ti[near][order][:-1])][: len(order)]]
+    order = order[np.lexsort((ti[near][order], exact[order], who[order]))]
+    first = np.flatnonzero(np.r_[True, who[order][1:] != who[order][:-1]][: len(order)])
+    order = order[np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)])) < k]
+    return who[order], near[order], exact[order]
+
+
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, width: int = 384, id_col: str = "rowid", vec_col: str = "embedding", rows: int = 4096) -> DataFrame:
-    """(query_id, rowid, distance, rank) of the k nearest other vectors of every query. Queries and table
-    meet in blocks of `rows` vectors; each pair of blocks is one matrix product and leaves at most k rows a query."""
+    """(query_id, rowid, distance, rank) of the k nearest other vectors of every query, ties to the smaller id; repeated
+    rows count once. Queries and table meet in blocks of `rows` vectors; each pair of blocks is one matrix product and
+    leaves at most k rows a query."""
 
     def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
@@ -60,16 +99,9 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, width: in
         for b in source:
             for qi, qv, ti, tv in zip(*(c.to_pylist() for c in b.columns)):
                 qi, ti = np.frombuffer(qi, np.int64), np.frombuffer(ti, np.int64)
-                q, t = np.frombuffer(qv, np.float32).reshape(-1, width).astype(np.float64), np.frombuffer(tv, np.float32).reshape(-1, width).astype(np.float64)
-                d = (q * q).sum(1)[:, None] + (t * t).sum(1)[None, :] - 2 * q @ t.T
-                d[qi[:, None] == ti[None, :]] = np.inf
-                n = min(k + 8, d.shape[1])
-                near = np.argpartition(d, n - 1, axis=1)[:, :n]
-                who = np.repeat(np.arange(len(qi)), n)
-                near = near.ravel()
-                ok = np.isfinite(d[who, near])
-                who, near = who[ok], near[ok]
-                exact = np.sqrt(((q[who] - t[near]) ** 2).sum(1))
+                ti, t = _block(ti, np.frombuffer(tv, np.float32).reshape(-1, width), k)
+                q = np.frombuffer(qv, np.float32).reshape(-1, width).astype(np.float64)
+                who, near, exact = _nearest_of_block(qi, q, ti, t.astype(np.float64), k)
                 yield pa.RecordBatch.from_arrays([pa.array(qi[who]), pa.array(ti[near]), pa.array(exact)], names=["query_id", "rowid", "distance"])
 
     blocks = vectors.select(F.col(id_col).cast("long"), vec_col).mapInArrow(pack, "ids binary, vecs binary")

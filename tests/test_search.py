@@ -79,6 +79,19 @@ def test_batch_against_numpy(spark):
         assert [got[q, k + 1] for k in range(5)] == list(np.argsort(d, kind="stable")[:5])
 
 
+def test_batch_with_equal_vectors_and_repeated_rows(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(30, 8)).astype(np.float32)
+    # 60 equal vectors, the smallest ids last; id 500 forty times, nearer to the query than all others
+    rows = [(i, x[1]) for i in range(160, 100, -1)] + [(500, x[0] * np.float32(1.001))] * 40 + [(i, x[i - 600]) for i in range(602, 630)] + [(50, x[0])]
+    df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in rows], VECS).coalesce(1)
+    for block in (16, 4096):
+        got = {(r.query_id, r["rank"]): r.rowid for r in nearest_batch(df, df.where("rowid in (50, 130)"), 12, 8, rows=block).collect()}
+        assert [got[130, k + 1] for k in range(12)] == list(range(101, 113))
+        d = sorted((float(((e.astype(float) - x[0]) ** 2).sum()), i) for i, e in {i: e for i, e in rows}.items() if i != 50)
+        assert [got[50, k + 1] for k in range(12)] == [i for _, i in d[:12]]
+
+
 def test_score_is_applied_to_any_distance(spark):
     df = spark.createDataFrame([("m", "/a", 1.0)], "embedding_model string, path string, distance double")
     assert post_filter(df, "m").first().score == 0.5
