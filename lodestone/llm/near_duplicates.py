@@ -38,6 +38,8 @@ U64 = np.uint64
 _WORD_LIMIT = 0x32400
 MASKS = [[i for i in range(7) if bin((i + 1) & v).count("1") % 2] for v in range(1, 8)]
 EXPAND = 20
+PIECE = 256
+PAIRS_IN = 4_000_000
 CROWD = 256
 
 
@@ -314,14 +316,17 @@ def class_members(texts: DataFrame, id_col: str, text_col: str, words: int) -> t
     return members, classes
 
 
-def similar_ids(texts: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, groups: int = 12) -> DataFrame:
-    """Pairs (id_a, id_b), id_a < id_b. Classes of up to EXPAND copies are written out in full;
+def similar_ids(texts: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, groups: int = 12, whole: bool = False) -> DataFrame:
+    """Pairs (id_a, id_b), id_a < id_b. whole: every pair. Otherwise classes of up to EXPAND copies are written out in full;
     of a larger class every copy is paired with the smallest id, which alone stands for it in pairs with other texts."""
     links = materialize(similar_classes(texts, id_col, text_col, words, threshold, groups).select("class_a", "class_b"), "links")
     members, classes = class_members(texts, id_col, text_col, words)
     several = materialize(classes.where(F.col("n") > 1), "copies")
+    large = several.where(F.col("n") > EXPAND)
+    if whole and not large.isEmpty():
+        return _all_pairs(links, members, classes, large)
     copies = several.select(F.explode("ids").alias("id_a"), "ids").select("id_a", F.explode("ids").alias("id_b"))
-    stars = salted_lookup(members, several.where(F.col("n") > EXPAND).select("class", F.col("first").alias("id_a")), "class", F.col("id"))
+    stars = salted_lookup(members, large.select("class", F.col("first").alias("id_a")), "class", F.col("id"))
     a = classes.select(F.col("class").alias("class_a"), F.col("ids").alias("ids_a"))
     b = classes.select(F.col("class").alias("class_b"), F.col("ids").alias("ids_b"))
     linked = links.join(a, "class_a").join(b, "class_b").select(F.explode("ids_a").alias("x"), "ids_b").select("x", F.explode("ids_b").alias("y"))
@@ -332,6 +337,26 @@ def similar_ids(texts: DataFrame, id_col: str, text_col: str, words: int = 5, th
     )
 
 
+def _all_pairs(links: DataFrame, members: DataFrame, classes: DataFrame, large: DataFrame) -> DataFrame:
+    """All pairs of ids within a class and across linked ones. A large class is cut into pieces of about PIECE ids, and
+    the pairs of two pieces are written out wherever they fall, so that no task gets all pairs of a class."""
+    sized = salted_lookup(members, large.select("class", "n"), "class", F.col("id"))
+    cut = sized.groupBy("class", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PIECE)).alias("piece")).agg(F.collect_set("id").alias("ids"))
+    small = classes.where(F.col("n") <= EXPAND).select("class", F.lit(0).cast("long").alias("piece"), "ids")
+    pieces = materialize(small.unionByName(cut), "pieces")
+    a, b = (pieces.select(*(F.col(c).alias(f"{c}_{side}") for c in pieces.columns)) for side in "ab")
+    within = a.join(b, F.col("class_a") == F.col("class_b")).where(F.col("piece_a") <= F.col("piece_b"))
+    across = links.join(a, "class_a").join(b, "class_b")
+    met = within.select("class_a", "piece_a", "ids_a", "class_b", "piece_b", "ids_b").unionByName(across.select("class_a", "piece_a", "ids_a", "class_b", "piece_b", "ids_b"))
+    most = large.agg(F.sum(F.col("n") * F.col("n"))).first()[0]
+    parts = min(20_000, max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), most // PAIRS_IN))
+    spread = met.repartition(parts, "class_a", "piece_a", "class_b", "piece_b")
+    pairs = spread.select("*", F.explode("ids_a").alias("x")).select("*", F.explode("ids_b").alias("y"))
+    # two ids of one piece meet twice
+    once = (F.col("class_a") != F.col("class_b")) | (F.col("piece_a") != F.col("piece_b")) | (F.col("x") < F.col("y"))
+    return pairs.where(once).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) of the undirected edges (a, b); a component's name is its smallest node.
     Large-star and small-star alternate until nothing changes; each round is written to the shared folder."""

@@ -44,7 +44,7 @@ def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks whose sets of three-word sequences have a similarity of 0.5 or more."""
-    return similar_ids(table(spark, sf_dir, "chunks"), "id", "content", words=3, threshold=0.5)
+    return similar_ids(table(spark, sf_dir, "chunks"), "id", "content", words=3, threshold=0.5, whole=True)
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

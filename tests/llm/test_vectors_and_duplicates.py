@@ -158,6 +158,19 @@ def test_many_copies_are_linked_to_the_first(spark):
     assert got == {(0, i) for i in range(1, 40)} | {(0, 98), (0, 99)}
 
 
+def test_all_pairs_of_large_classes(spark, tmp_path):
+    from lodestone.llm.queries import p4_found
+
+    text = "one two three four five six seven"
+    # 300 copies with other marks or case, 25 of a near duplicate, two rows repeated
+    rows = [(i, (text, text.upper(), text.replace(" ", ", "))[i % 3]) for i in range(300)] + [(400 + i, text + " eight" + "." * (i % 2)) for i in range(25)]
+    rows += [(500, "nine " + text), (501, "other words that nothing shares"), (502, "other words that nothing shares!")]
+    df = spark.createDataFrame(rows + rows[:2], "id long, content string")
+    df.write.parquet(str(tmp_path / "chunks.parquet"))
+    got = [(r.id_a, r.id_b) for r in p4_found(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == jaccard_pairs(rows, 3, 0.5)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)]
