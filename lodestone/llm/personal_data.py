@@ -11,9 +11,9 @@ segmentation, boundaries and types jointly, and in training the probability of e
 at most MAX_SPAN characters, so the work is linear in the text. Weights maximise the conditional likelihood.
 
 Training. Number and address types learn from generated lines with invented values and their decoys. Names
-learn from a bounded sample of the corpus: lines in which a listed given name is followed by a
-capitalised word are the labelled rows; the endings of these words, against those of all other
-capitalised words of the sample, tell surnames that no list has.
+learn from the corpus: where a listed given name is followed by a capitalised word, the endings of these words, against
+those of all other capitalised words, tell surnames that no list has, and words before such surnames tell given names.
+Both are counted over all documents; only the labelled lines that the weights are fitted on are a bounded sample.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
 from .sampling import hash_sample
 
 MAX_SPAN = 120
@@ -87,6 +88,10 @@ _PART = rf"(?:(?:O['’]|D['’])?{_WORD}(?:-(?:O['’])?{_WORD})*|[{UPPER}]\.)"
 _RUN = re.compile(rf"(?<![\w@.'’\-])(?:{PARTICLE})?{_PART}(?:,? (?:{PARTICLE})?{_PART})+(?![\w@]|['’](?!s\b))")
 _TITLED = re.compile(rf"(?<!\w)(?:{'|'.join([t.capitalize() for t in sorted(TITLES - {'m'}, key=len, reverse=True)] + ['MRS', 'MR', 'MS', 'DR', 'PROF', 'HERR', 'FRAU', 'MADAME', 'señora', 'señor', 'doña', 'don', 'monsieur', 'madame', 'sra', 'sr'])})\.? ((?:{PARTICLE})?{_PART})")
 _TOKEN = re.compile(r"\w+", re.UNICODE)
+_AFTER = re.compile(rf"(?<![\w\-])((?:{_WORD})(?:-{_WORD})*) (?:[{UPPER}]\. )?(?:{PARTICLE})?((?:O['’])?{_WORD}(?:-(?:O['’])?{_WORD})*)(?!\w)")
+_CAPITALISED = re.compile(rf"(?<!\w){_WORD}")
+_LEADING = re.compile(rf"(?<![\w\-]){_WORD}")
+_LEADS = re.compile(rf"(?<![\w\-])({_WORD})[.:]? (?=({_WORD})(?!\w))")
 _SPLIT = re.compile(rf"(,?) (?:{PARTICLE})?(?=[{UPPER}])")
 
 
@@ -99,6 +104,7 @@ class Model:
         self.endings: dict[str, float] = {}
         self.inferred: set[str] = set()
         self.callers: set[str] = set()
+        self.memo: dict[str, float] = {}
 
     # -- proposals -------------------------------------------------------------------------
 
@@ -181,10 +187,15 @@ class Model:
 
     def _surname(self, word: str) -> float:
         """Log odds of an ending, the greatest over the parts of a double name."""
+        if (known := self.memo.get(word)) is not None:
+            return known
         best = -9.0
         for p in re.split(r"[-'’]", word.lower()):
             if len(p) > 3:
                 best = max(best, self.endings.get(p[-4:], 0.0) if p[-4:] in self.endings else self.endings.get(p[-3:], -1.5) - 0.5)
+        if len(self.memo) > 500_000:
+            self.memo.clear()
+        self.memo[word] = best
         return best
 
     def _names(self, text: str, out: list) -> None:
@@ -200,8 +211,6 @@ class Model:
             bare = [re.sub(rf"^{PARTICLE}", "", w) for w in words]
             is_given = [self._given(w) for w in bare]
             odds = [self._surname(w) for w in bare]
-            if not any(is_given) and max(odds) <= 0:
-                continue
             for i in range(len(words)):
                 for j in range(i + 1, min(i + 4, len(words))):
                     commas = [pieces[q][2] for q in range(i, j)]
@@ -276,39 +285,55 @@ class Model:
 
     # -- training --------------------------------------------------------------------------
 
+    def count_endings(self, text: str, pos: Counter, neg: Counter) -> None:
+        """Endings of the words after listed given names, and of all other capitalised words."""
+        named = set()
+        for m in _AFTER.finditer(text):
+            if all(p.lower() in self.given for p in m[1].split("-")):
+                named.add(m.start(2))
+                for p in re.split(r"[-'’]", m[2].lower()):
+                    if len(p) > 3:
+                        pos[p[-4:]] += 1
+                        pos[p[-3:]] += 1
+        for m in _CAPITALISED.finditer(text):
+            if m.start() not in named and len(m.group()) > 3 and m.group().lower() not in self.given:
+                neg[m.group().lower()[-4:]] += 1
+                neg[m.group().lower()[-3:]] += 1
+
+    def learn_endings(self, pairs: dict[str, tuple[int, int]], pos: int, neg: int) -> None:
+        """pairs: both counts of each ending that stands after a listed given name; pos and neg: the totals."""
+        self.endings = {k: math.log((p + 0.1) / (pos + 1) * 4) - math.log((n + 0.5) / (neg + 1)) for k, (p, n) in pairs.items()}
+        self.memo.clear()
+
+    def count_leads(self, text: str, lead_in: Counter, lead_out: Counter, calls: Counter) -> None:
+        """Words before surnames, all of their places, and words before listed given names."""
+        lead_out.update(w.lower() for w in _LEADING.findall(text))
+        for m in _LEADS.finditer(text):
+            one, two = m[1].lower(), m[2].lower()
+            if two in self.given:
+                calls[one] += 1
+            elif one not in self.given and self._surname(m[2]) > 1:
+                lead_in[one] += 1
+
+    def learn_leads(self, words: dict[str, tuple[int, int, int]], least_calls: float) -> None:
+        """Words that call a name (titles, labels, weekdays) stand before listed given names; words before
+        surnames that don't, and stand there more often than elsewhere, are given names no list has."""
+        self.callers = {w for w, (_, _, n) in words.items() if n >= least_calls and w not in self.given} | TITLES
+        self.inferred = {w for w, (n, out, _) in words.items() if n >= 2 and n >= 0.3 * out and w not in self.callers and len(w) > 2 and self._surname(w) <= 1}
+
     def learn_names(self, texts: list[str]) -> list[tuple[str, set[tuple[int, int, str]]]]:
-        """Endings and leading words from the sample; labelled lines for training."""
-        after = re.compile(rf"(?<![\w\-])((?:{_WORD})(?:-{_WORD})*) (?:[{UPPER}]\. )?(?:{PARTICLE})?((?:O['’])?{_WORD}(?:-(?:O['’])?{_WORD})*)(?!\w)")
-        pos, neg = Counter(), Counter()
+        """All of this from texts at hand; labelled lines for training."""
+        pos, neg, lead_in, lead_out, calls = (Counter() for _ in range(5))
         for text in texts:
-            named = set()
-            for m in after.finditer(text):
-                if all(p.lower() in self.given for p in m[1].split("-")):
-                    named.add(m.start(2))
-                    for p in re.split(r"[-'’]", m[2].lower()):
-                        if len(p) > 3:
-                            pos[p[-4:]] += 1
-                            pos[p[-3:]] += 1
-            for m in re.finditer(rf"(?<!\w){_WORD}", text):
-                if m.start() not in named and len(m.group()) > 3 and m.group().lower() not in self.given:
-                    neg[m.group().lower()[-4:]] += 1
-                    neg[m.group().lower()[-3:]] += 1
-        total_p, total_n = sum(pos.values()) + 1, sum(neg.values()) + 1
-        self.endings = {k: math.log((pos[k] + 0.1) / total_p * 4) - math.log((neg[k] + 0.5) / total_n) for k in pos}
-        # words that call a name (titles, labels, weekdays) stand before listed given names; words
-        # before surnames that don't, and stand there more often than elsewhere, are given names no list has
-        lead_in, lead_out, calls = Counter(), Counter(), Counter()
+            self.count_endings(text, pos, neg)
+        self.learn_endings({k: (n, neg[k]) for k, n in pos.items()}, sum(pos.values()), sum(neg.values()))
         for text in texts:
-            words = Counter(w.lower() for w in re.findall(rf"(?<![\w\-]){_WORD}", text))
-            lead_out.update(words)
-            for m in re.finditer(rf"(?<![\w\-])({_WORD})[.:]? (?=({_WORD})(?!\w))", text):
-                one, two = m[1].lower(), m[2].lower()
-                if two in self.given:
-                    calls[one] += 1
-                elif self._surname(m[2]) > 1 and one not in self.given:
-                    lead_in[one] += 1
-        self.callers = {w for w, n in calls.items() if n >= 2 and w not in self.given} | TITLES
-        self.inferred = {w for w, n in lead_in.items() if n >= 2 and n >= 0.3 * lead_out[w] and w not in self.callers and len(w) > 2 and self._surname(w) <= 1}
+            self.count_leads(text, lead_in, lead_out, calls)
+        self.learn_leads({w: (lead_in[w], lead_out[w], calls[w]) for w in lead_in.keys() | calls.keys()}, 2)
+        return self.label(texts)
+
+    def label(self, texts: list[str]) -> list[tuple[str, set[tuple[int, int, str]]]]:
+        """Labelled lines for training."""
         lines = []
         for text in texts:
             for line in text.split("\n"):
@@ -424,18 +449,52 @@ def generated_lines(seed: int = 9) -> list[tuple[str, set, frozenset]]:
     return out
 
 
+def _counts(rows: DataFrame, model: Model, count, names: list[str]) -> DataFrame:
+    """(key, *names): what model.count(text, one counter for each name) counts over all texts, each task its own first."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = [Counter() for _ in names]
+
+        def out() -> pa.RecordBatch:
+            keys = list(set().union(*counters))
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counters)], names=["key", *names])
+
+        for b in source:
+            for text in b.column(0).to_pylist():
+                count(shared.value, text, *counters)
+                if sum(map(len, counters)) > 400_000:
+                    yield out()
+                    for c in counters:
+                        c.clear()
+        yield out()
+
+    counted = rows.select("text").mapInArrow(run, ", ".join(["key string", *(f"{n} long" for n in names)]))
+    return counted.groupBy("key").agg(*(F.sum(n).alias(n) for n in names))
+
+
 def fit(documents: DataFrame, id_col: str, text_col: str, given_names: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model fitted on generated lines and a sample of at most sample_docs documents."""
+    """A model whose surname endings, callers and given names are counted over all documents. Its weights are fitted on
+    generated lines and on a sample of at most sample_docs documents."""
     given = {r.given_name.lower() for r in given_names.where("given_name is not null").select("given_name").distinct().limit(100_000).collect()}
-    rows = documents.where(F.col(text_col).isNotNull() & (F.char_length(text_col) < 20_000)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = sorted(hash_sample(rows, "id", documents.count(), sample_docs).collect())[:sample_docs]
+    texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    total = documents.count()
+    sample = sorted(hash_sample(texts.where(F.char_length("text") < 20_000), "id", total, sample_docs).collect())[:sample_docs]
     model = Model(given)
-    names = model.learn_names([r.text for r in sample])
+    endings = materialize(_counts(texts, model, Model.count_endings, ["p", "n"]), "endings")
+    sums = endings.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
+    model.learn_endings({r.key: (r.p, r.n) for r in endings.where("p > 0").toLocalIterator()}, sums.p or 0, sums.n or 0)
+    # a word calls names from the same frequency on at any size
+    least_calls = max(2.0, 2.0 * total / SAMPLE_DOCS)
+    leads = _counts(texts, model, Model.count_leads, ["lead_in", "lead_out", "calls"]).where((F.col("calls") >= least_calls) | ((F.col("lead_in") >= 2) & (F.col("lead_in") >= 0.3 * F.col("lead_out"))))
+    model.learn_leads({r.key: (r.lead_in, r.lead_out, r.calls) for r in leads.toLocalIterator()}, least_calls)
+    names = model.label([r.text for r in sample])
     quiet = [x for x in names if not x[1]]
     random.Random(1).shuffle(quiet)
     named = [x for x in names if x[1]]
     lines = [(line, gold, frozenset(["name"])) for line, gold in [*named, *quiet[: 4 * len(named) + 500]]]
     model.train(lines + generated_lines())
+    model.memo.clear()
     return model
 
 

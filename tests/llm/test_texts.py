@@ -309,3 +309,15 @@ def test_masked_table(spark):
     places = pii.personal_places(df, "doc_id", "text", names).where("id = 4").collect()
     assert [(p.start_char, p.pii_type) for p in places] == [(260_000, "email")] * 2
     assert pii.masked(df.limit(0), "doc_id", "text", names.limit(0)).count() == 0
+
+
+def test_names_are_learnt_from_all_documents(spark):
+    rows = [(i, f"Anna Quibbert and Peter Quibbert came. Zorvald Quibbert left, case {i}.") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    given = spark.createDataFrame([("Anna",), ("Peter",)], "given_name string")
+    model = pii.fit(df, "doc_id", "text", given, sample_docs=1)
+    assert "zorvald" in model.inferred and model.endings["bert"] > 1
+    long = df.select("doc_id", F.concat("text", F.lit(" x" * 15_000)).alias("text"))
+    assert "zorvald" in pii.fit(long, "doc_id", "text", given).inferred
+    # neither list nor ending knows the words
+    assert (7, 16, "name") in [p[:3] for p in pii.Model(set()).proposals("We saw Xylo Qwrt today.", frozenset(["name"]))]
