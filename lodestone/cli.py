@@ -90,13 +90,15 @@ def run(args: list[str]) -> int:
             raise UsageError(f"{command} takes one path at most")
         recursive = _flag_bool(flags, "recursive", True)
         from .media import image_function
-        from .plans.index import index_directory, summary
+        from .plans.index import index_directory, saw_anything, summary
+        from .progress import Progress
 
         spark = build_session()
         began = time.time()
         images = _media(config)
-        stats = index_directory(spark, cfg.expand_home(positional[0]) if positional else ".", IndexStore(spark, "file://" + config.db.path), _embedder(config), _rules(config), recursive, image_function(images) if images else None, command == "sync")
-        print(summary(stats, time.time() - began))
+        with Progress(spark):
+            stats = index_directory(spark, cfg.expand_home(positional[0]) if positional else ".", IndexStore(spark, "file://" + config.db.path), _embedder(config), _rules(config), recursive, image_function(images) if images else None, command == "sync")
+        print(summary(stats, time.time() - began) if saw_anything(stats) else "no files found")
         return 0
     _known(flags, "max", "media-max", "restrict")
     if len(positional) != 1:
@@ -106,7 +108,7 @@ def run(args: list[str]) -> int:
     restrict = flags.get("restrict")
     options = Options(_flag_int(flags, "max"), _flag_int(flags, "media-max"), 0, None if restrict is None else "." if restrict == "true" else cfg.expand_home(restrict))
     store = IndexStore(build_session(), "file://" + config.db.path)
-    print(printed(search(store, positional[0], _embedder(config), options, _media(config), (config.search.max_results, config.search.max_media_results, config.search.max_results_per_file))))
+    print(printed(search(store, positional[0], _embedder(config), options, _media(config), (config.search.max_results, config.search.max_media_results, config.search.max_results_per_file)), links=sys.stdout.isatty()))
     return 0
 
 

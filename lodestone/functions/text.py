@@ -60,9 +60,11 @@ def strip_accents(text: pd.Series) -> pd.Series:
 
 
 def file_uri(path: Column) -> Column:
-    """file:// and the path with each segment percent-encoded."""
-    parts = F.transform(F.split(path, "/", -1), lambda s: F.replace(F.url_encode(s), F.lit("+"), F.lit("%20")))
-    return F.concat(F.lit("file://"), F.array_join(parts, "/"))
+    """file:// and the path, percent-encoded but for letters, digits, / - _ . ~ and $ & + , : ; = @, which a path may hold."""
+    out = F.url_encode(path)
+    for code, char in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("%24", "$"), ("%26", "&"), ("%2B", "+"), ("%2C", ","), ("%3A", ":"), ("%3B", ";"), ("%3D", "="), ("%40", "@"), ("*", "%2A")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return F.concat(F.lit("file://"), out)
 
 
 def elapsed(seconds: Column) -> Column:

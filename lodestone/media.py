@@ -130,7 +130,7 @@ def image_function(embedder: ClipEmbedder):
 
 
 def handle(job: dict, embedder: ClipEmbedder | None, dummy: bool = False) -> dict:
-    """One job {id, kind, payload} to {id, embedding, error}. Without a model: zeros in dummy mode, else an error."""
+    """One job {id, kind, payload} to {id, embedding, error}; a job without a kind is an image. Without a model: zeros in dummy mode, else an error."""
     out = {"id": job.get("id"), "embedding": None, "error": None}
     if embedder is None and not dummy:
         return out | {"error": "no model folder"}
@@ -139,7 +139,7 @@ def handle(job: dict, embedder: ClipEmbedder | None, dummy: bool = False) -> dic
     if not job.get("payload"):
         return out | {"error": "no payload"}
     try:
-        if job.get("kind") == "image":
+        if (job.get("kind") or "image") == "image":
             with open(job["payload"], "rb") as f:
                 return out | {"embedding": embedder.embed_images([f.read()])[0].tolist()}
         if job.get("kind") == "text":

@@ -1,69 +1,93 @@
-"""The index as versioned Parquet tables: upsert of files, replacement of their chunks, one swap per run.
+"""The index as versioned Parquet tables: upsert of files, replacement of their chunks, one new version a run.
 
-A version is a folder with one Parquet folder per table. The manifest that names the current version
-is renamed into place, so readers see a run as a whole or not at all.
+A run writes the new rows of the files it touched and the list of these files, nothing else. A manifest
+names the folders of all runs; a row counts if no later run touched its file. So a run costs what it changes, and
+readers see it as a whole or not at all. compact() merges the runs into one folder a table.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schema import TABLES
+from .manifests import Manifests
+
+OF_FILE, SEQ = "_file_id", "_seq"
+COMPACT_EVERY = 16
 
 
 class IndexStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _manifest(self) -> dict:
-        folder = self._path(f"{self.root}/_manifests")
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json")) if self._fs.exists(folder) else []
-        if not names:
-            return {"version": 0, "tables": {}}
-        stream = self._fs.open(self._path(f"{self.root}/_manifests/{names[-1]}"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        self._manifests = Manifests(spark, f"{self.root}/_manifests")
+
+    def manifest(self) -> dict:
+        """version; tables: the folders of each table; touched: the folders that list touched files."""
+        return self._manifests.last() or {"version": 0, "tables": {}, "touched": []}
 
     def exists(self) -> bool:
-        return self._manifest()["version"] > 0
+        return self.manifest()["version"] > 0
+
+    def _stored(self, table: str) -> T.StructType:
+        return T.StructType([*TABLES[table].fields, T.StructField(OF_FILE, T.LongType()), T.StructField(SEQ, T.LongType())])
+
+    def _current(self, table: str, manifest: dict) -> DataFrame | None:
+        folders = manifest["tables"].get(table)
+        if not folders:
+            return None
+        rows = self.spark.read.schema(self._stored(table)).parquet(*(f"{self.root}/{f}" for f in folders))
+        if not manifest["touched"]:
+            return rows
+        touched = self.spark.read.schema(f"{OF_FILE} long, {SEQ} long").parquet(*(f"{self.root}/{f}" for f in manifest["touched"]))
+        last = touched.groupBy(OF_FILE).agg(F.max(SEQ).alias("__last"))
+        return rows.join(last, OF_FILE, "left").where(F.col("__last").isNull() | (F.col(SEQ) >= F.col("__last"))).drop("__last")
 
     def read(self, table: str) -> DataFrame:
         """A table of the current version; an empty one before the first run."""
-        folder = self._manifest()["tables"].get(table)
-        if folder is None:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{folder}")
-
-    def publish(self, tables: dict[str, DataFrame]) -> int:
-        """Write the given tables and make them current together; tables not given stay. Fails if another run
-        published in between."""
-        manifest = self._manifest()
+        rows = self._current(table, self.manifest())
+        return self.spark.createDataFrame([], TABLES[table]) if rows is None else rows.select(TABLES[table].names)
+
+    def publish(self, touched: DataFrame, tables: dict[str, DataFrame]) -> int:
+        """Replace all rows of the touched files (file_id) in all tables by the rows given, in one step. files rows have
+        their own id, children a column file_id; vector rows, which are keyed by their chunk, need file_id besides. Fails if
+        another run published in between. Every COMPACT_EVERY runs the folders are merged after it."""
+        manifest = self.manifest()
         version = manifest["version"] + 1
-        folders = dict(manifest["tables"])
+        folders = {k: list(v) for k, v in manifest["tables"].items()}
         for name, df in tables.items():
-            folders[name] = f"data/{name}-{version}-{uuid.uuid4().hex[:12]}"
-            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]).write.parquet(f"{self.root}/{folders[name]}")
-        temp = self._path(f"{self.root}/_manifests/.{uuid.uuid4().hex}.tmp")
-        final = self._path(f"{self.root}/_manifests/{version:012d}.json")
-        out = self._fs.create(temp, True)
-        out.write(bytearray(json.dumps({"version": version, "tables": folders}).encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(temp, final):
-            self._fs.delete(temp, False)
-            raise RuntimeError(f"another run published version {version} first; repeat this one")
+            owner = F.col("id" if name == "files" else "file_id").cast("long").alias(OF_FILE)
+            fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]
+            folder = f"data/{name}-{version}-{uuid.uuid4().hex[:12]}"
+            df.select(*fields, owner, F.lit(version).cast("long").alias(SEQ)).write.parquet(f"{self.root}/{folder}")
+            folders.setdefault(name, []).append(folder)
+        mark = f"data/touched-{version}-{uuid.uuid4().hex[:12]}"
+        touched.select(F.col("file_id").cast("long").alias(OF_FILE), F.lit(version).cast("long").alias(SEQ)).distinct().write.parquet(f"{self.root}/{mark}")
+        self._manifests.put(version, {"version": version, "tables": folders, "touched": [*manifest["touched"], mark]})
+        if len(manifest["touched"]) + 1 >= COMPACT_EVERY:
+            self.compact()
+        return version
+
+    def compact(self) -> int:
+        """Merge all runs into one folder a table. Folders that neither this version nor the one before names are removed:
+        readers of the version before still find theirs."""
+        manifest = self.manifest()
+        version = manifest["version"] + 1
+        folders = {}
+        for name in manifest["tables"]:
+            folders[name] = [f"data/{name}-{version}-{uuid.uuid4().hex[:12]}"]
+            self._current(name, manifest).select(self._stored(name).names).write.parquet(f"{self.root}/{folders[name][0]}")
+        self._manifests.put(version, {"version": version, "tables": folders, "touched": []})
+        kept = {f for m in (manifest, {"tables": folders, "touched": []}) for part in (*m["tables"].values(), m["touched"]) for f in part}
+        for name in self._manifests.names(f"{self.root}/data"):
+            if f"data/{name}" not in kept:
+                self._manifests.remove(f"{self.root}/data/{name}")
         return version
 
     def clean(self) -> bool:
         """Remove the index; False if there was none."""
-        there = self._fs.exists(self._path(self.root))
-        return bool(there and self._fs.delete(self._path(self.root), True))
+        return self._manifests.remove(self.root)
 
 
 def file_ids(path: str = "path"):
@@ -71,14 +95,19 @@ def file_ids(path: str = "path"):
     return F.xxhash64(path).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
-def upsert_files(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of new replace those of old with the same path, which keep their id; others are added.
-    New rows are 'ok' without an error. Of repeated rows of new one stays."""
+def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows that new (path, modified_at, file_hash) gives the files table: a known path keeps its id; 'ok' without an
+    error. Of repeated rows of new one stays."""
     new = new.select("path", "modified_at", "file_hash").dropDuplicates(["path"])
     ids = old.groupBy("path").agg(F.min("id").alias("id"))
-    fresh = new.join(ids, "path", "left").select(
+    return new.join(ids, "path", "left").select(
         F.coalesce("id", file_ids()).alias("id"), "path", "modified_at", "file_hash", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("last_error")
     )
+
+
+def upsert_files(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of new replace those of old with the same path, which keep their id; others are added."""
+    fresh = changed_files(old, new)
     return old.join(new.select("path"), "path", "left_anti").select(fresh.columns).unionByName(fresh)
 
 
@@ -87,10 +116,6 @@ def replace_children(old: DataFrame, touched: DataFrame, new: DataFrame) -> Data
     return old.join(touched.select("file_id").distinct(), "file_id", "left_anti").select(old.columns).unionByName(new.select(old.columns))
 
 
-def drop_orphans(vectors: DataFrame, children: DataFrame) -> DataFrame:
-    return vectors.join(children.select(F.col("id").alias("rowid")), "rowid", "left_semi")
-
-
 def unchanged(listing: DataFrame, files: DataFrame) -> DataFrame:
     """The listing with a column unchanged: the stored modified_at of its path is the same."""
     stored = files.groupBy("path").agg(F.max(F.struct("modified_at")).getField("modified_at").alias("__stored"))
@@ -98,5 +123,12 @@ def unchanged(listing: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def missing_files(files: DataFrame, listing: DataFrame) -> DataFrame:
-    """Stored files that the listing no longer has."""
-    return files.join(listing.select("path").distinct(), "path", "left_anti")
+    """Stored files that the listing no longer has. What lies below a folder that couldn't be read isn't missing."""
+    gone = files.join(listing.select("path").distinct(), "path", "left_anti")
+    if "outcome" not in listing.columns:
+        return gone
+    blocked = listing.where("outcome = 'unreadable'").select(F.col("path").alias("__above")).distinct()
+    parts = F.split("path", "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    below = gone.select("path", F.explode(above).alias("__above")).join(blocked, "__above").select("path").distinct()
+    return gone.join(below, "path", "left_anti")

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..embed import Embedder, embed_column
 from ..operators.chunking import token_chunks
-from ..operators.store import IndexStore, drop_orphans, missing_files, replace_children, unchanged, upsert_files
-from ..session import materialize
+from ..operators.store import IndexStore, changed_files, missing_files, unchanged
+from ..session import discard, materialize
 from ..sources.extract import read_texts
 from ..sources.listing import Rules, listing as list_tree
 
@@ -27,67 +27,69 @@ def run_stats(outcomes: DataFrame) -> DataFrame:
 def index_directory(spark: SparkSession, root: str, store: IndexStore, embedder: Embedder, rules: Rules | None = None, recursive: bool = True, media=None, remove_missing: bool = False) -> dict[str, int]:
     """Counters of the run. A file that can't be read or extracted keeps its stored state and is tried again;
     a file without text gets a row and no chunks. media: an optional function from a listing of media files to
-    (path, embedding array<float>, error). remove_missing also drops stored files under the root that are gone."""
+    (path, embedding array<float>, error). remove_missing also drops stored files under the root that are gone, with
+    all they have in any table; what lies below an unreadable folder stays. Only rows of touched files are written."""
     rules = rules or Rules()
     listing = materialize(list_tree(spark, root, rules, recursive), "listing")  # every part of the run sees the same tree
     files = store.read("files")
-    candidates = unchanged(listing.where("outcome = 'candidate'"), files)
     # written first, so that contents of unchanged files are never opened
-    todo = materialize(candidates.where(~F.col("unchanged")), "todo")
+    todo = materialize(unchanged(listing.where("outcome = 'candidate'"), files).where(~F.col("unchanged")), "todo")
     texts = materialize(read_texts(todo.where("kind = 'text'").repartition(max(1, spark.sparkContext.defaultParallelism), "path")), "texts")
     good = texts.where("error is null")
-    new_files = good.select("path", "modified_at", "file_hash")
-    merged = materialize(upsert_files(files, new_files), "files")
-    touched = merged.join(new_files.select("path"), "path", "left_semi").select(F.col("id").alias("file_id"), "path")
-    cut = token_chunks(good.join(touched, "path"), "file_id", "text", embedder.count_tokens, embedder.token_budget)
+    fresh = materialize(changed_files(files, good), "files")
+    cut = token_chunks(good.join(fresh.select(F.col("id").alias("file_id"), "path"), "path"), "file_id", "text", embedder.count_tokens, embedder.token_budget)
     chunks = cut.select(
         file_ids_of("id", "chunk_index").alias("id"), F.col("id").alias("file_id"), "chunk_index", "content", F.unhex(F.sha2("content", 256)).alias("content_hash"), "start_line", "end_line", F.lit(embedder.model_id).alias("embedding_model")
     )
     embedded = materialize(embed_column(chunks, "content", embedder), "embedded")
-    all_chunks = replace_children(store.read("chunks"), touched, embedded.drop("embedding"))
-    tables = {"files": merged, "chunks": all_chunks}
-    held = drop_orphans(store.read("vec_chunks"), store.read("chunks").join(touched, "file_id", "left_anti"))
-    tables["vec_chunks"] = held.unionByName(embedded.select(F.col("id").alias("rowid"), "embedding"))
-    if remove_missing:
-        under = F.startswith(F.col("path"), F.lit(os.path.realpath(root).rstrip("/") + "/"))
-        gone = materialize(missing_files(merged.where(under), listing).select(F.col("id").alias("file_id")), "gone")
-        tables["files"] = merged.join(gone.withColumnRenamed("file_id", "id"), "id", "left_anti")
-        tables["chunks"] = materialize(all_chunks.join(gone, "file_id", "left_anti"), "chunks")
-        tables["vec_chunks"] = drop_orphans(tables["vec_chunks"], tables["chunks"])
+    scratch = [listing, todo, texts, fresh, embedded]
+    touched = fresh.select(F.col("id").alias("file_id"))
+    tables = {"files": fresh, "chunks": embedded.drop("embedding"), "vec_chunks": embedded.select(F.col("id").alias("rowid"), "embedding", "file_id")}
     pictures = todo.where("kind = 'media'").select("path", "modified_at")
     media_done = None
     if media is not None:
         media_done = materialize(media(pictures), "media")
-        tables |= media_tables(store, tables["files"], media_done, pictures)
-    store.publish(tables)
-    per_file = embedded.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_chunks")).join(touched, "file_id").select("path", "n_chunks")
+        rows = materialize(media_rows(files, media_done, pictures), "media_rows")
+        scratch += [media_done, rows]
+        shown = rows.select(F.col("file_id").alias("id"), "path", "modified_at", "file_hash", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("last_error"))
+        tables |= {"files": fresh.unionByName(shown), "media_embeddings": rows, "vec_media": rows.select(F.col("id").alias("rowid"), "embedding", "file_id")}
+        touched = touched.unionByName(rows.select("file_id"))
+    if remove_missing:
+        under = F.startswith(F.col("path"), F.lit(os.path.realpath(root).rstrip("/") + "/"))
+        touched = touched.unionByName(missing_files(files.where(under), listing).select(F.col("id").alias("file_id")))
+    touched = materialize(touched.distinct(), "touched")
+    scratch.append(touched)
+    if not touched.isEmpty():  # else there is nothing to publish
+        store.publish(touched, tables)
+    per_file = embedded.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_chunks")).join(fresh.select(F.col("id").alias("file_id"), "path"), "file_id").select("path", "n_chunks")
     outcomes = (
         listing.where("outcome != 'candidate'").select("path", "outcome")
-        .unionByName(candidates.where("unchanged").select("path", F.lit("unchanged").alias("outcome")))
+        # a file's stored time may have changed with this run, so what was unchanged is what wasn't to do
+        .unionByName(listing.where("outcome = 'candidate'").join(todo.select("path"), "path", "left_anti").select("path", F.lit("unchanged").alias("outcome")))
         .unionByName(texts.select("path", F.when(F.col("error").isNull(), "indexed").otherwise("errors").alias("outcome")))
         .unionByName(pictures.select("path", F.lit("media_filtered").alias("outcome")) if media_done is None else media_done.select("path", F.when(F.col("error").isNull(), "media_indexed").otherwise("errors").alias("outcome")))
         .join(per_file, "path", "left")
     )
     for r in texts.where("error is not null").select("path", "error").limit(20).collect():
         log.warning("%s: %s", r.path, r.error)
-    return run_stats(outcomes).first().asDict()
+    stats = run_stats(outcomes).first().asDict()
+    for df in scratch:
+        discard(df)
+    return stats
 
 
-def media_tables(store: IndexStore, files: DataFrame, done: DataFrame, pictures: DataFrame) -> dict[str, DataFrame]:
-    """Tables after embedding still images: done has (path, embedding, file_hash, model, error); frame 0 of each."""
+def media_rows(files: DataFrame, done: DataFrame, pictures: DataFrame) -> DataFrame:
+    """Rows of embedded still images: done has (path, embedding, file_hash, model, error); frame 0 of each, with what its file's row needs."""
     good = done.where("error is null").join(pictures, "path")
-    merged = materialize(upsert_files(files, good.select("path", "modified_at", "file_hash")), "files")
-    rows = good.join(merged.select("path", F.col("id").alias("file_id")), "path").select(
+    ids = changed_files(files, good.select("path", "modified_at", "file_hash")).select(F.col("id").alias("file_id"), "path")
+    return good.join(ids, "path").select(
         file_ids_of("file_id", F.lit(0)).alias("id"), "file_id", F.lit(0).alias("frame_index"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"),
-        F.col("file_hash").alias("content_hash"), F.col("model").alias("embedding_model"), "embedding")
-    rows = materialize(rows, "media_rows")
-    touched = rows.select("file_id")
-    kept = store.read("media_embeddings").join(touched, "file_id", "left_anti")
-    return {
-        "files": merged,
-        "media_embeddings": replace_children(store.read("media_embeddings"), touched, rows.drop("embedding")),
-        "vec_media": drop_orphans(store.read("vec_media"), kept).unionByName(rows.select(F.col("id").alias("rowid"), "embedding")),
-    }
+        F.col("file_hash").alias("content_hash"), F.col("model").alias("embedding_model"), "embedding", "path", "modified_at", "file_hash")
+
+
+def saw_anything(stats: dict[str, int]) -> bool:
+    """Whether the run met any file at all."""
+    return any(n for k, n in stats.items() if k != "chunks_embedded")
 
 
 def file_ids_of(*columns):

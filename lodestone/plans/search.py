@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from ..embed import Embedder
-from ..functions.text import label, snippet
+from ..functions.text import hyperlink, label, snippet
 from ..operators.knn import diversify, join_chunks, join_media, nearest, post_filter
 from ..operators.store import IndexStore
 from ..schema import MAX_PER_FILE, MAX_RESULTS, POOL
@@ -61,11 +61,12 @@ def search(store: IndexStore, query: str, embedder: Embedder, options: Options =
     return Results(texts, pictures)
 
 
-def printed(results: Results) -> str:
-    """Lines as the command line shows them; at most the few result rows are collected."""
-    rows = results.files.select(label(F.col("path"), F.col("start_line"), F.col("end_line")).alias("label"), "score", snippet(F.col("content")).alias("snippet")).collect()
+def printed(results: Results, links: bool = False) -> str:
+    """Lines as the command line shows them; at most the few result rows are collected. links: paths are links that terminals open."""
+    shown = lambda text: hyperlink(F.col("path"), text) if links else text
+    rows = results.files.select(shown(label(F.col("path"), F.col("start_line"), F.col("end_line"))).alias("label"), "score", snippet(F.col("content")).alias("snippet")).collect()
     out = [f"{r.label}  (score: {r.score:.2f})\n    {r.snippet}" for r in rows]
-    pictures = results.media.collect() if results.media is not None else []
+    pictures = results.media.select(shown(F.col("path")).alias("path"), "score").collect() if results.media is not None else []
     if pictures:
         out += ["media:", *(f"{r.path}  (score: {r.score:.2f})" for r in pictures)]
     return "\n".join(out) if out else "no results found"

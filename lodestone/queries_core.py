@@ -10,7 +10,7 @@ from .functions.text import clean_extracted, clean_text, elapsed, file_uri, labe
 from .functions.tokenizer import WordPiece, encode_column
 from .functions.vectors import l2_normalize, score
 from .operators.chunking import fixed_chunks, token_chunks
-from .operators.incremental import VersionedTarget, latest_sighting, new_chunks, replay_runs
+from .operators.incremental import VersionedTarget, chunk_target, latest_sighting, replay_chunks, replay_runs
 from .operators.knn import diversify, join_chunks, join_media, mean_vectors, nearest, nearest_batch, post_filter
 from .operators.store import missing_files, replace_children, unchanged, upsert_files
 from .plans.index import run_stats
@@ -22,16 +22,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = [(r.run_id, r.status) for r in table(spark, sf_dir, "index_runs").select("run_id", "status").distinct().collect()]  # eight rows
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("file_hash", T.BinaryType())])
     target = VersionedTarget(spark, scratch_path(spark, "p2"), schema, ["path"], "file_hash")
-    scans = table(spark, sf_dir, "file_scans").where(F.col("path").isNotNull())
     files = (
-        replay_runs(target, scans, runs, "run_id", ["scanned_at", "scan_id"])
+        replay_runs(target, table(spark, sf_dir, "file_scans").where(F.col("path").isNotNull()), runs, "run_id", ["scanned_at", "scan_id"])
         .where(F.col("run_id") > 1)
         .select(F.lit("file").alias("level"), F.col("run_id").cast("int").alias("run_id"), "path", F.lit(-1).alias("chunk_index"))
     )
-    chunks = new_chunks(table(spark, sf_dir, "chunk_scans"), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "files")).select(
-        F.lit("chunk").alias("level"), F.lit(8).alias("run_id"), "path", F.col("chunk_index").cast("int").alias("chunk_index")
-    )
-    return files.unionByName(chunks)
+    cut = replay_chunks(chunk_target(spark, scratch_path(spark, "p2-chunks")), table(spark, sf_dir, "chunk_scans"), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "files"), [r for r in runs if r[0] == 8])
+    return files.unionByName(cut.select(F.lit("chunk").alias("level"), "run_id", "path", F.col("chunk_index").cast("int").alias("chunk_index")))
 
 
 P2_FOUND_SQL = """
@@ -447,7 +444,7 @@ k AS (SELECT path, count(DISTINCT chunk_index) AS n FROM chunk_scans WHERE conte
 o AS (SELECT path, CASE WHEN {_KIND} = 'none' THEN 'filtered' WHEN s.file_hash IS NULL THEN 'unreadable' WHEN s.size_bytes > ({_MB}) * 1048576 THEN 'too_large'
  WHEN coalesce(stored = s.modified_at, false) THEN 'unchanged' WHEN {_KIND} = 'media' THEN 'media_indexed' ELSE 'indexed' END AS outcome, n FROM seen LEFT JOIN f USING (path) LEFT JOIN k USING (path))
 SELECT {", ".join(f"count(*) FILTER (outcome = '{x}') AS {x}" for x in ("indexed", "unchanged", "too_large", "filtered", "media_indexed", "media_filtered", "unreadable", "errors"))}, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks_embedded FROM o""",
-    "file_uris": f"SELECT path, 'file://' || array_to_string(list_transform(string_split(path, '/'), lambda x: url_encode(x)), '/') AS uri FROM {_PATHS}",
+    "file_uris": f"SELECT path, 'file://' || list_reduce(list_prepend(url_encode(path), ['%2F', '%24', '%26', '%2B', '%2C', '%3A', '%3B', '%3D', '%40']), lambda u, c: replace(u, c, url_decode(c))) AS uri FROM {_PATHS}",
     "run_durations": "SELECT DISTINCT run_id, CASE WHEN date_diff('second', started_at, finished_at) < 60 THEN printf('%4.1fs', CAST(date_diff('second', started_at, finished_at) AS DOUBLE)) ELSE printf('%dm%02ds', date_diff('second', started_at, finished_at) // 60, date_diff('second', started_at, finished_at) % 60) END AS took FROM index_runs WHERE finished_at IS NOT NULL",
     "vectors_to_delete": "SELECT DISTINCT v.rowid AS rowid FROM vec_chunks v WHERE v.rowid IN (SELECT id FROM chunks WHERE file_id IN (SELECT id FROM files WHERE path IN (SELECT path FROM chunk_scans)))",
     "todo_files": f"""WITH {_SEEN8.format(run=8)} SELECT path, s.modified_at AS modified_at FROM seen

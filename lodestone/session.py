@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -25,10 +26,12 @@ def build_session(master: str = "local[*]", app: str = "lodestone", **conf: str)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Only where it is unset, as in
-    tests on one machine, a temporary folder is made and set."""
+    """The folder all executors share (spark.checkpoint.dir). Only where it is unset and all runs on one
+    machine, a temporary folder is made and set; on a cluster an unset folder is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -47,7 +50,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+def materialize_parts(df: DataFrame, name: str, part: str) -> DataFrame:
+    """The same with a folder for each value of a column of few values: a filter on it reads these folders only."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(part).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what materialize() wrote for this frame, once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._lodestone_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 import os
 import re
 import stat
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import paths
+from ..session import materialize
 
 
 @dataclass
@@ -116,28 +118,37 @@ def scan(root: str, rules: Rules, recursive: bool = True) -> list[Row]:
 LISTING = "path string, kind string, size long, modified_at long, outcome string"
 
 
-def listing(spark: SparkSession, root: str, rules: Rules, recursive: bool = True, fan_out: int = 256) -> DataFrame:
-    """The same as a DataFrame. The driver walks from the top until `fan_out` folders wait; these are walked by
-    tasks, which see the same file system, so a large tree is listed in parallel and its names never meet in the driver."""
+def listing(spark: SparkSession, root: str, rules: Rules, recursive: bool = True, share: int = 2000) -> DataFrame:
+    """The same as a DataFrame. Level by level, tasks list the folders that wait: each walks
+    below its own until it has listed `share` of them and passes on the rest, so that one deep folder is shared by many tasks.
+    What a level finds is written to the shared folder; no names meet in the driver."""
     root, ignored = _start(root)
-    rows, waiting = _folder(root, root, rules, ignored)
-    waiting = waiting if recursive else []
-    while waiting and len(waiting) < fan_out:
-        found = [_folder(w, root, rules, ignored) for w in waiting]
-        rows += [r for f, _ in found for r in f]
-        waiting = [b for _, below in found for b in below]
-    top = spark.createDataFrame(rows, LISTING)
-    if not waiting:
-        return top
+    if not recursive:
+        return spark.createDataFrame(_folder(root, root, rules, ignored)[0], LISTING)
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    names = ["path", "kind", "size", "modified_at", "outcome"]
 
     def walk(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-        names = ["path", "kind", "size", "modified_at", "outcome"]
         for b in source:
-            for folder in b.column(0).to_pylist():
-                below = _walk(folder, root, rules, ignored)
-                while part := list(islice(below, 5000)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
-
-    folders = spark.createDataFrame([(w,) for w in waiting], "folder string").repartition(min(len(waiting), 4 * spark.sparkContext.defaultParallelism))
-    return top.unionByName(folders.mapInArrow(walk, LISTING))
+            mine, listed, out = deque(b.column(0).to_pylist()), 0, []
+            while mine and listed < share:
+                files, below = _folder(mine.popleft(), root, rules, ignored)
+                out += files
+                mine.extend(below)
+                listed += 1
+                if len(out) >= 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                    out = []
+            out += [(f, "folder", None, None, "waiting") for f in mine]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    spread = 4 * spark.sparkContext.defaultParallelism
+    todo, parts = spark.createDataFrame([(root,)], "path string"), []
+    while True:
+        level = materialize(todo.repartition(spread).mapInArrow(walk, LISTING), "level")
+        parts.append(level.where("outcome <> 'waiting'"))
+        todo = level.where("outcome = 'waiting'").select("path")
+        if todo.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, parts)

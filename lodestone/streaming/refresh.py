@@ -13,13 +13,17 @@ SCANS = T.StructType([
 
 
 def refresh_stream(spark: SparkSession, folder: str, target: VersionedTarget, checkpoint: str, schema: T.StructType = SCANS):
-    """Start a stream over the Parquet files of a folder. The epoch is the run: a batch repeated after a
-    failure finds its run published and adds nothing."""
+    """Start a stream over the Parquet files of a folder. A run is the query's id, which its checkpoint keeps, and the epoch: a
+    batch repeated after a failure finds its run published and adds nothing, and a new checkpoint on an old target,
+    or one that batch runs fill too, doesn't take up the runs of others."""
     scans = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
 
     def process(batch: DataFrame, epoch: int) -> None:
         seen = latest_sighting(batch.where(F.col("path").isNotNull()), target.keys, target.version, ["scanned_at", "scan_id"])
-        target.publish(epoch, target.pending(seen))
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not query:
+            raise RuntimeError("the micro-batch doesn't tell the id of its query")
+        target.publish(epoch, target.pending(seen), source=f"stream {query}")
 
     return scans.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -67,8 +67,8 @@ def test_listing_in_tasks(spark, tmp_path):
             p.parent.mkdir(parents=True)
             p.write_text("x" * k)
     want = sorted(scan(str(tmp_path), Rules()))
-    for fan_out in (1, 5, 100):
-        assert sorted(tuple(r) for r in listing(spark, str(tmp_path), Rules(), fan_out=fan_out).collect()) == want
+    for share in (1, 5, 100):
+        assert sorted(tuple(r) for r in listing(spark, str(tmp_path), Rules(), share=share).collect()) == want
     assert listing(spark, str(tmp_path), Rules(), recursive=False).count() == 0
 
 
@@ -79,6 +79,37 @@ def docx(body: str, part="word/document.xml") -> bytes:
     return raw.getvalue()
 
 
+def test_rules_of_the_scan_and_of_columns_agree(spark):
+    names = ["/r/a.txt", "/r/A.MD", "/r/.env", "/r/.DS_Store", "/r/b.JPG", "/r/noext", "/r/x.tar.gz", "/r/.gitignore", "/r/.env.local", "/r/c.Go", "/r/ü.txt", "/r/d.", "/r/e.heic"]
+    df = spark.createDataFrame([(n,) for n in names], "path string")
+    rows = df.select("path", paths.extension(F.col("path")).alias("e"), paths.classify(F.col("path")).alias("k"), paths.size_limit(F.col("path")).alias("s")).collect()
+    r = Rules()
+    from lodestone.sources.listing import extension
+
+    assert [(x.e, x.k, x.s) for x in rows] == [(extension(n[3:]), classify(n[3:], r, []), size_limit(n[3:], r)) for n in names]
+
+
+def test_progress(spark):
+    import io as text_io
+    import time
+
+    from lodestone.progress import Progress
+
+    class Terminal(text_io.StringIO):
+        def isatty(self):
+            return True
+
+    told, out = [], Terminal()
+    with Progress(spark, out, lambda *x: told.append(x), 0.01):
+        spark.range(1000).repartition(8).count()
+        time.sleep(0.1)
+    assert told and out.getvalue().endswith("\r\x1b[K")
+    plain = text_io.StringIO()
+    with Progress(spark, plain):
+        pass
+    assert plain.getvalue() == ""
+
+
 def test_docx():
     assert docx_text(docx("<w:p><w:r><w:t>One </w:t></w:r><w:r><w:t>two</w:t></w:r></w:p><w:p/><w:p/><w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t><w:br/><w:t>c</w:t></w:r></w:p>")) == "One two\n\na\tb\nc\n"
     assert extract_text("/x/Y.DOCX", docx("<w:p><w:r><w:t>x</w:t></w:r></w:p>")) == "x\n"
@@ -121,7 +152,7 @@ def test_index_and_search(spark, tmp_path):
     assert index_directory(spark, str(src), store, e)["indexed"] == 1
     assert store.read("chunks").count() == 2  # the deleted file is still there
     results = search(store, "alpha gone", e, Options(max=1))
-    assert "a.md:1-1  (score: 1.00)" in printed(results)
+    assert "a.md:1-1  (score: 1.00)" in printed(results) and "\x1b]8;;file:///" in printed(results, links=True)
     index_directory(spark, str(src), store, e, remove_missing=True)
     assert store.read("chunks").count() == 1 and store.read("vec_chunks").count() == 1
     assert printed(search(store, "x", e, Options(restrict="/nowhere"))) == "no results found"
@@ -139,6 +170,49 @@ def test_media_branch(spark, tmp_path):
     assert store.read("media_embeddings").first().frame_index == 0 and store.read("vec_media").count() == 1
 
 
+def test_an_image_that_is_gone_goes_everywhere(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "p.png").write_bytes(b"png")
+    store = IndexStore(spark, f"file://{tmp_path}/index")
+
+    def embed(listing):
+        return listing.select("path", F.array([F.lit(0.5)] * 4).cast("array<float>").alias("embedding"), F.lit(b"h").cast("binary").alias("file_hash"), F.lit("clip").alias("model"), F.lit(None).cast("string").alias("error"))
+
+    index_directory(spark, str(tmp_path / "src"), store, HashEmbedder(8), media=embed)
+    assert [store.read(t).count() for t in ("files", "media_embeddings", "vec_media")] == [1, 1, 1]
+    (tmp_path / "src" / "p.png").unlink()
+    index_directory(spark, str(tmp_path / "src"), store, HashEmbedder(8), media=embed, remove_missing=True)
+    assert [store.read(t).count() for t in ("files", "media_embeddings", "vec_media")] == [0, 0, 0]
+
+
+def test_a_run_writes_what_it_changes(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    for k in range(12):
+        (src / f"{k}.md").write_text(f"words of file {k}\n" * 30)
+    store, e = IndexStore(spark, f"file://{tmp_path}/index"), HashEmbedder(8)
+    index_directory(spark, str(src), store, e)
+    chunks = store.read("chunks").count()
+    (src / "3.md").write_text("changed")
+    os.utime(src / "3.md", (1, 1))
+    index_directory(spark, str(src), store, e)
+    added = store.manifest()["tables"]
+    rows = {t: spark.read.parquet(f"{store.root}/{f[-1]}").count() for t, f in added.items()}
+    assert rows == {"files": 1, "chunks": 1, "vec_chunks": 1} and len(added["files"]) == 2
+    assert store.read("files").count() == 12 and store.read("chunks").where("content = 'changed'").count() == 1
+    before = {t: sorted(map(str, store.read(t).collect())) for t in ("files", "chunks", "vec_chunks")}
+    assert len(before["chunks"]) == chunks - chunks // 12 + 1
+    store.compact()
+    assert {t: sorted(map(str, store.read(t).collect())) for t in before} == before and store.manifest()["touched"] == []
+    assert index_directory(spark, str(src), store, e)["unchanged"] == 12 and store.manifest()["version"] == 3  # nothing to publish
+
+
+def test_below_an_unreadable_folder_nothing_is_missing(spark):
+    files = spark.createDataFrame([(1, "/r/a/x"), (2, "/r/b/y"), (3, "/r/bb/z")], "id long, path string")
+    seen = spark.createDataFrame([("/r/b", "unreadable"), ("/r/a", "filtered")], "path string, outcome string")
+    assert sorted(r.path for r in missing_files(files, seen).collect()) == ["/r/a/x", "/r/bb/z"]
+
+
 def test_embedder():
     e = HashEmbedder(16)
     v = e.embed(["a b", "", "a b"])

@@ -3,7 +3,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from lodestone.operators.incremental import VersionedTarget, latest_sighting, new_chunks, replay_runs
+from lodestone.operators.incremental import VersionedTarget, chunk_target, latest_sighting, replay_chunks, replay_runs
+from lodestone.operators.manifests import Manifests
 from lodestone.streaming.refresh import changes_per_window, refresh_stream
 
 SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("file_hash", T.BinaryType())])
@@ -43,6 +44,8 @@ def test_a_repeated_run_does_nothing_and_a_lost_one_leaves_no_trace(spark, tmp_p
     assert t.pending(seen).count() == 0
     t.publish(1, seen)
     assert t.rows().count() == 1 and t.manifest()["version"] == 1
+    with pytest.raises(ValueError, match="other records"):  # late rows under the name of a published run
+        t.publish(1, latest_sighting(scans(spark, [(1, "late", "1", 0)]), ["path"], "file_hash", ["scanned_at"]))
 
 
 def test_two_runs_at_once(spark, tmp_path):
@@ -56,13 +59,57 @@ def test_two_runs_at_once(spark, tmp_path):
     assert a.rows().count() == 1
 
 
-def test_compact_keeps_the_state(spark, tmp_path):
+def run_rows(spark, run, *rows):
+    return latest_sighting(scans(spark, [(run, p, h, run) for p, h in rows]), ["path"], "file_hash", ["scanned_at"])
+
+
+def test_compact_keeps_state_runs_and_their_rows(spark, tmp_path):
     t = target(spark, tmp_path)
     for run, h in ((1, "1"), (2, "2")):
-        t.publish(run, t.pending(latest_sighting(scans(spark, [(run, "a", h, run), (run, "b", "1", run)]), ["path"], "file_hash", ["scanned_at"])))
+        t.publish(run, t.pending(run_rows(spark, run, ("a", h), ("b", "1"))))
     before = sorted(t.state().collect())
-    t.compact(2)
-    assert sorted(t.state().collect()) == before and t.rows().count() == 2
+    t.compact()
+    assert sorted(t.state().collect()) == before
+    assert sorted(r.path for r in t.rows([1]).collect()) == ["a", "b"] and [r.path for r in t.rows([2]).collect()] == ["a"]
+    t.publish(1, run_rows(spark, 1, ("a", "1"), ("b", "1")))  # a rerun after compact adds nothing
+    assert t.rows().count() == 3
+    t.publish(3, t.pending(run_rows(spark, 3, ("b", "9"))))
+    t.compact()
+    t.forget()
+    assert {r.path: bytes(r.file_hash) for r in t.state().collect()} == {"a": b"2", "b": b"9"}
+    t.publish(2, t.pending(run_rows(spark, 2, ("a", "2"))))  # known, though its folder is gone
+    assert len(t.manifest()["runs"]) == 3
+    with pytest.raises(ValueError, match="dropped"):
+        t.rows([1])
+
+
+def test_a_late_old_run_is_seen(spark, tmp_path):
+    t = target(spark, tmp_path)
+    t.publish(5, t.pending(run_rows(spark, 5, ("a", "5"))))
+    t.publish(3, t.pending(run_rows(spark, 3, ("a", "3"))))
+    assert bytes(t.state().first().file_hash) == b"3" and t.pending(run_rows(spark, 3, ("a", "3"))).count() == 0
+
+
+def test_a_crash_before_and_after_the_manifest(spark, tmp_path):
+    t, seen = target(spark, tmp_path), run_rows(spark, 1, ("a", "1"))
+    put, t._manifests.put = t._manifests.put, lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        t.publish(1, t.pending(seen))
+    assert t.rows().count() == 0 and t.pending(seen).count() == 1
+    t._manifests.put = lambda *x: (put(*x), (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        t.publish(1, t.pending(seen))
+    again = target(spark, tmp_path)
+    again.publish(1, again.pending(seen))
+    assert again.rows().count() == 1
+
+
+def test_a_number_is_taken_once(spark, tmp_path):
+    m = Manifests(spark, f"file://{tmp_path}/m")
+    m.put(1, {"x": 1})
+    with pytest.raises(RuntimeError, match="first"):
+        m.put(1, {"x": 2})
+    assert m.last() == {"x": 1} and m.names(m.folder) == ["000000000001.json"]
 
 
 def test_empty_tables_and_extra_columns(spark, tmp_path):
@@ -72,15 +119,18 @@ def test_empty_tables_and_extra_columns(spark, tmp_path):
     assert t.pending(wide).count() == 1
 
 
-def test_new_chunks(spark):
+def test_chunks_against_their_target(spark, tmp_path):
     files = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id long, path string")
     chunks = spark.createDataFrame([(1, b"x"), (1, b"x"), (1, b"y"), (2, None)], "file_id long, content_hash binary")
     seen = spark.createDataFrame(
-        [(1, "a", 0, b"x", at(0)), (2, "a", 1, b"z", at(0)), (3, "a", 1, b"y", at(1)), (4, "b", 0, b"x", at(0)), (5, "b", 1, None, at(0)), (6, "new", 0, b"x", at(0))],
-        "scan_id long, path string, chunk_index int, content_hash binary, scanned_at timestamp_ntz",
+        [(1, 8, "a", 0, b"x", at(0)), (2, 8, "a", 1, b"z", at(0)), (3, 8, "a", 1, b"y", at(1)), (4, 8, "b", 0, b"x", at(0)), (5, 8, "b", 1, None, at(0)), (6, 8, "new", 0, b"x", at(0)), (7, 9, "b", 5, b"x", at(2)), (8, 9, "b", 6, b"w", at(2))],
+        "scan_id long, run_id int, path string, chunk_index int, content_hash binary, scanned_at timestamp_ntz",
     )
-    assert sorted((r.path, r.chunk_index) for r in new_chunks(seen, chunks, files).collect()) == [("b", 0), ("new", 0)]
-    assert new_chunks(seen.limit(0), chunks.limit(0), files.limit(0)).count() == 0
+    t = chunk_target(spark, f"file://{tmp_path}/c")
+    got = replay_chunks(t, seen, chunks, files, [(8, "ok"), (9, "failed")])
+    assert sorted((r.run_id, r.path, r.chunk_index) for r in got.collect()) == [(8, "b", 0), (8, "new", 0), (9, "b", 6)]
+    assert sorted((r.path, bytes(r.content_hash)) for r in t.rows([8]).collect()) == [("b", b"x"), ("new", b"x")]
+    assert replay_chunks(chunk_target(spark, f"file://{tmp_path}/d"), seen.limit(0), chunks.limit(0), files.limit(0), [(8, "ok")]).count() == 0
 
 
 def test_stream(spark, tmp_path):
@@ -92,3 +142,13 @@ def test_stream(spark, tmp_path):
     refresh_stream(spark, folder, t, f"{tmp_path}/check").awaitTermination()
     assert sorted((r.path, bytes(r.file_hash)) for r in t.rows().collect()) == [("a", b"1"), ("a", b"2"), ("b", b"1")]
     assert changes_per_window(scans(spark, [(1, "a", "1", 0), (1, "b", "1", 0)])).first().n_scans == 2
+
+
+def test_a_new_checkpoint_and_batch_runs_on_one_target(spark, tmp_path):
+    t, folder = target(spark, tmp_path), f"{tmp_path}/in"
+    t.publish(0, t.pending(run_rows(spark, 0, ("z", "1"))))  # a batch run with the number of the first epoch
+    scans(spark, [(1, "a", "1", 0)]).write.parquet(folder)
+    refresh_stream(spark, folder, t, f"{tmp_path}/one").awaitTermination()
+    scans(spark, [(2, "b", "1", 5)]).write.mode("append").parquet(folder)
+    refresh_stream(spark, folder, t, f"{tmp_path}/two").awaitTermination()  # starts with epoch 0 again
+    assert sorted(r.path for r in t.rows().collect()) == ["a", "b", "z"]

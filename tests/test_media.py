@@ -37,4 +37,6 @@ def test_jobs(tmp_path):
     lines = ['{"id": "1", "kind": "text", "payload": "q"}', "", "no json", '{"id": "2", "kind": "image", "payload": "%s"}' % (tmp_path / "x.png"), '{"id": "3", "kind": "video", "payload": "x"}', '{"id": "4", "kind": "text"}', "[]"]
     got = [json.loads(x) for x in media.serve(lines, Fake())]
     assert [(g["id"], g["embedding"], bool(g["error"])) for g in got] == [("1", [1.0, 2.0], False), (None, None, True), ("2", None, True), ("3", None, True), ("4", None, True), (None, None, True)]
+    (tmp_path / "y.png").write_bytes(b"y")
+    assert media.handle({"id": "5", "payload": str(tmp_path / "y.png")}, Fake())["error"] == "not an image"  # without a kind it's an image
     assert len(media.handle({"id": "1"}, None, dummy=True)["embedding"]) == 512 and media.handle({"id": "1"}, None)["error"]

@@ -94,3 +94,9 @@ def test_plain_text_is_normalised_as_any_other(text):
 def test_count_is_the_number_of_tokens(text):
     t = WordPiece(VOCAB)
     assert t.count(text) == len(t.tokens(text)) and not re.search(r"\s", "".join(t.words(t.normalize(text))))
+
+
+def test_uris_by_hand(spark):
+    want = {"/a~b:c@d+e&f": "file:///a~b:c@d+e&f", "/x y/ü?#%2F.md": "file:///x%20y/%C3%BC%3F%23%252F.md", "/p(1)'!*[a],b;c=d$": "file:///p%281%29%27%21%2A%5Ba%5D,b;c=d$", "/-_.": "file:///-_."}
+    df = spark.createDataFrame([(p,) for p in want], "p string")
+    assert {r.p: r.u for r in df.select("p", tx.file_uri(F.col("p")).alias("u")).collect()} == want
