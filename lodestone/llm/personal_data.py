@@ -10,8 +10,8 @@ the summed scores of its spans, all else counting 0. Dynamic programming over th
 segmentation, boundaries and types jointly, and in training the probability of each span; a proposal spans
 at most MAX_SPAN characters, so the work is linear in the text. Weights maximise the conditional likelihood.
 
-Training. Number and address types learn from generated lines with invented values and their decoys. Names
-learn from the corpus: where a listed given name is followed by a capitalised word, the endings of these words, against
+Training. E-mail, number and address types learn from lines generated from published formats (personal_training), none
+of them from a table. Names learn from the corpus: where a listed given name is followed by a capitalised word, the endings of these words, against
 those of all other capitalised words, tell surnames that no list has, and words before such surnames tell given names.
 Both are counted over all documents; only the labelled lines that the weights are fitted on are a bounded sample.
 """
@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
+from .personal_training import GENERIC, REFERENCES, RESERVED, SUFFIXES, generated_lines
 from .sampling import hash_sample
 
 MAX_SPAN = 120
-SAMPLE_DOCS = 3_000
+SAMPLE_DOCS, SAMPLE_CHARS = 3_000, 20_000
 TYPES = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 
@@ -58,8 +59,9 @@ _SPOKEN_DOMAIN = re.compile(r"[\w-]+(?: (?:dot|DOT) [\w-]+)+")
 _HIDDEN_AT = ("[at]", "(at)", "{at}", "[ at ]", "( at )", "[@]", "(@)", "{@}")
 _NUMBER = re.compile(
     r"(?<![\w.@/\-])(?:"
-    r"(?P<intl>(?:\+|00(?=[1-9]))\d{1,3}[ .\-]?(?:\(0\)[ .\-]?)?\d(?:[ .\-/]?\d){6,11})"
-    r"|(?P<area>\(\d{2,5}\) ?\d{3}[ .\-]\d{3,4})"
+    r"(?P<intl>(?:\+|00(?=[1-9]))\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d(?:[ .\-/]?\d){5,11})"
+    r"|(?P<area>(?:1[ \-])?\(\d{2,5}\) ?\d{3}[ .\-]\d{3,4})"
+    r"|(?P<trunk1>1-\d{3}-\d{3}-\d{4}(?!\d))"
     r"|(?P<nanp>\d{3}[.\-]\d{3}[.\-]\d{4})"
     r"|(?P<nino>[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?!\w))"
     r"|(?P<insee>[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?!\d))"
@@ -70,14 +72,18 @@ _NUMBER = re.compile(
     r"|(?P<ssn>\d{3}[ \-]\d{2}[ \-]\d{4}(?!\d))"
     r"|(?P<tax>\d{2} \d{3} \d{3} \d{3}(?!\d))"
     r"|(?P<trunk>0[1-9]\d{0,3}[ /.\-]?\d(?:[ .\-/]?\d){5,8})"
-    r"|(?P<three>\d{3} \d{3} \d{3}(?! ?\d))"
+    r"|(?P<three>\d{3} \d{3} \d{3}(?! ?\d)|\d{3} \d{2} \d{2} \d{2}(?! ?\d))"
     r"|(?P<long>\d{9,11}(?!\d))"
     r")(?![\w]|[./:@\-]\d|-\w)"
 )
+_REFERENCES = frozenset(w.lower() for r in REFERENCES for w in r.split())
 _CAP = rf"[{UPPER}][\w'’]*"
-_ENGLISH = re.compile(rf"(?<![\w.\-/])\d{{1,4}}[A-Za-z]?,? +(?:{_CAP} ){{1,3}}(?i:{STREET})\b\.?")
+_ENGLISH = re.compile(rf"(?<![\w.\-/])\d{{1,4}}[A-Za-z]?,? +(?:{_CAP} ){{1,3}}((?i:{STREET}))\b\.?")
+_NUMBERLESS = re.compile(rf"(?<!\w)(?i:flat|unit|apt\.?|apartment|suite) ?\d{{1,4}}[A-Za-z]?,? +(?:{_CAP} ){{1,3}}(?i:{STREET})\b\.?")
+_BOX = re.compile(r"(?<!\w)(?:P\. ?O\. ?Box|PO Box|P\.O\.B\.|Post Office Box|Postfach|Apartado(?: de [Cc]orreos)?|Boîte [Pp]ostale|BP|B\.P\.) ?\d{1,5}(?: \d{2,3})*(?!\w)")
+_GERMAN_TWO = re.compile(rf"(?<![\w\-])[{UPPER}][\w\-]+ (?i:straße|strasse|weg|platz|allee|gasse|ring|damm|ufer) \d{{1,4}}(?: ?[a-z](?![\w]))?(?![\w\d])")
 _UNIT = re.compile(r"(?i)\b(?:flat|unit|apt\.?|apartment|suite|room) ?(?:\d{1,4}[A-Za-z]?,? +)?$")
-_CITY = re.compile(rf"(?:,\s*|[\r\n]+)\d{{5}} {_CAP}(?:[ \-]{_CAP})*|, {_CAP}(?:[ \-]{_CAP})?")
+_CITY = re.compile(rf"(?:,\s*|[\r\n]+)\d{{5}} {_CAP}(?:[ \-]{_CAP})*|, {_CAP}(?:[ \-](?![A-Z]{{1,2}}\d){_CAP})?(?:,? [A-Z]{{1,2}}\d[A-Z\d]? \d[A-Z]{{2}}\b|, [A-Z]{{2}} \d{{5}}(?:-\d{{4}})?(?!\d))?")
 _POSTCODE = re.compile(rf"(?:,\s*|[\r\n]+)\d{{5}} {_CAP}(?:[ \-]{_CAP})*")
 _GERMAN = re.compile(rf"(?<![\w\-])([{UPPER}][\w\-]+\.?) (\d{{1,4}}(?: ?[a-z](?![\w]))?)(?![\w\d])")
 _ON = re.compile(r"(?i)(?<!\w)(?:am|an der|an den|im|in der|auf dem|auf der|zum|zur) $")
@@ -127,10 +133,10 @@ class Model:
         at = text.find("@")
         while at >= 0:
             local, domain = _LOCAL.search(text[max(0, at - 64) : at]), _DOMAIN.match(text, at + 1)
-            if local and domain:
-                out.append((at - len(local.group().lstrip(".-+%")), domain.end(), "email", ("email:plain",)))
+            if local and domain and (name := local.group().lstrip(".-+%")):
+                self._email(text, at - len(name), domain.end(), "plain", out)
             at = text.find("@", at + 1)
-        low = text.lower() if text.isascii() else "".join(c.lower() if "A" <= c <= "Z" else c for c in text) if "[" in text or "(" in text or " at " in text or " AT " in text else ""
+        low = text.lower() if text.isascii() else "".join(c.lower() if "A" <= c <= "Z" else c for c in text) if "[" in text or "(" in text or "{" in text or " at " in text or " AT " in text else ""
         for sign in (*_HIDDEN_AT, " at "):
             at = low.find(sign)
             while at >= 0:
@@ -138,9 +144,17 @@ class Model:
                 local = _HIDDEN_LOCAL.search(text[max(0, at - 65) : at])
                 domain = (_SPOKEN_DOMAIN if sign == " at " else _HIDDEN_DOMAIN).match(text, after)
                 if local and domain:
-                    out.append((at - len(local.group()), domain.end(), "email", ("email:hidden",)))
+                    self._email(text, at - len(local.group()), domain.end(), "spoken" if sign == " at " else "hidden", out)
                 at = low.find(sign, after)
 
+    def _email(self, text: str, s: int, e: int, form: str, out: list) -> None:
+        """A span's form, the kind of its top-level domain, and what stands around it."""
+        last = _TOKEN.findall(text[max(s, e - 24) : e].lower())[-1:]
+        tld = last[0] if last else ""
+        kind = "reserved" if tld in RESERVED else "generic" if tld in GENERIC else "file" if tld in SUFFIXES else "country" if len(tld) == 2 else "other"
+        after = text[e : e + 2] if text[e : e + 1] in ":/" else ""
+        out.append((s, e, "email", ("email", f"email:form={form}", f"email:tld={kind}", f"email:form={form},tld={kind}", f"email:after={after if after in (':~', ':/', '/') or not after else ''}", f"email:numeric={text[s:e].split('@')[0].isdigit()}", f"email:one={s > 0 and text[s - 1] in '/@'}")))
+
     def _around(self, text: str, s: int, e: int) -> tuple[list[str], str, str]:
         left = _TOKEN.findall(text[max(0, s - 40) : s].lower())[-3:]
         right = _TOKEN.search(text, e, e + 24)
@@ -148,7 +162,7 @@ class Model:
 
     def _number(self, text: str, m: re.Match, types: frozenset[str], out: list) -> None:
         s, e, kind = m.start(), m.end(), m.lastgroup
-        left, right, before = self._around(text, s, e)
+        left, _, before = self._around(text, s, e)
         value = m.group()
         digits = sum(c.isdigit() for c in value)
         shape = "".join("0" if c.isdigit() else "A" if c.isalpha() else c for c in value)
@@ -158,9 +172,10 @@ class Model:
             if kind_of not in types:
                 continue
             said = any(w in LABELS[kind_of] or w.rstrip("s") in LABELS[kind_of] for w in left)
-            f = [kind_of, f"{kind_of}:kind={kind}", f"{kind_of}:label={said}", f"{kind_of}:digits={digits}", f"{kind_of}:kind={kind},label={said}", f"{kind_of}:lead={value[:2] if value[0] in '+0(1' else ''}"]
-            f += [f"{kind_of}:left={w}" for w in left[-2:]]
-            f += [f"{kind_of}:right={right}", f"{kind_of}:glued={glued}", f"{kind_of}:alone={alone}", f"{kind_of}:shape={shape}", f"{kind_of}:before={before if before in ',;|' else ''}"]
+            other = any(w in _REFERENCES for w in left[-2:])
+            f = [kind_of, f"{kind_of}:kind={kind}", f"{kind_of}:label={said}", f"{kind_of}:digits={digits}", f"{kind_of}:digits={digits},one={value[0] == '1'}", f"{kind_of}:kind={kind},label={said}", f"{kind_of}:lead={value[:2] if value[0] in '+0(1' else ''}"]
+            f += [f"{kind_of}:reference={other}", f"{kind_of}:kind={kind},reference={other}", f"{kind_of}:reference={other},label={said}"]
+            f += [f"{kind_of}:glued={glued}", f"{kind_of}:alone={alone}", f"{kind_of}:shape={shape}", f"{kind_of}:before={before if before in ',;|' else ''}"]
             out.append((s, e, kind_of, tuple(f)))
 
     def _addresses(self, text: str, out: list) -> None:
@@ -169,17 +184,26 @@ class Model:
             end = tail.end() if tail else e
             if end - s <= MAX_SPAN:
                 post = bool(tail and re.search(r"\d{5}", tail.group()))
-                out.append((s, end, "address", ("address", f"address:kind={kind}", f"address:city={bool(tail)}", f"address:post={post}")))
+                right = _TOKEN.match(text, end + 1) if text[end : end + 1] == " " else None
+                noun = bool(right and right.group()[:1].isupper())
+                out.append((s, end, "address", ("address", f"address:kind={kind}", f"address:city={bool(tail)}", f"address:post={post}", f"address:kind={kind},noun={noun}", f"address:length={min(6, text.count(' ', s, e))}")))
 
         for m in _ENGLISH.finditer(text):
             unit = _UNIT.search(text[max(0, m.start() - 24) : m.start()])
-            add(m.start() - (len(unit.group()) if unit else 0), m.end(), "english")
+            small = m[1].islower()
+            add(m.start() - (len(unit.group()) if unit else 0), m.end(), f"english,{small},{bool(unit)}")
+        for m in _NUMBERLESS.finditer(text):
+            add(m.start(), m.end(), "unit")
+        for m in _BOX.finditer(text):
+            add(m.start(), m.end(), "box")
         for m in _GERMAN.finditer(text):
             suffix = m[1].lower().rstrip(".").endswith(GERMAN)
             on = _ON.search(text[max(0, m.start() - 10) : m.start()])
             post = _POSTCODE.match(text, m.end())
             if suffix or post or on:
                 add(m.start() - (len(on.group()) if on else 0), m.end(), f"german,{suffix},{bool(post)},{bool(on)}", _POSTCODE)
+        for m in _GERMAN_TWO.finditer(text):
+            add(m.start(), m.end(), f"german two,{bool(_POSTCODE.match(text, m.end()))}", _POSTCODE)
         for m in _FRENCH.finditer(text):
             add(m.start(), m.end(), "french", _POSTCODE)
         for m in _SPANISH.finditer(text):
@@ -221,15 +245,16 @@ class Model:
                         if bare[i] != words[i]:
                             continue
                         initials = [len(w) == 2 and w[1] == "." for w in bare]
-                        if initials[j] or any(not initials[q] for q in range(i + 1, j)):
+                        if initials[j]:
                             continue
-                        self._name(text, s, e, "order", words[i], bare[j], initials[i], is_given[i], is_given[j], odds[i], odds[j], j - i, out)
+                        middle = {"initial" if initials[q] else "given" if is_given[q] else "surname" if odds[q] > 0.5 else "other" for q in range(i + 1, j)}
+                        self._name(text, s, e, "order", words[i], bare[j], initials[i], is_given[i], is_given[j], odds[i], odds[j], middle, out)
                     elif commas[0] and not any(commas[1:]):
                         if len(bare[i]) == 2 and bare[i][1] == ".":
                             continue
                         if any(not (len(bare[q]) == 2 and bare[q][1] == ".") for q in range(i + 2, j + 1)):
                             continue
-                        self._name(text, s, e, "comma", bare[i + 1], bare[i], False, is_given[i + 1], is_given[i], odds[i + 1], odds[i], j - i, out)
+                        self._name(text, s, e, "comma", bare[i + 1], bare[i], False, is_given[i + 1], is_given[i], odds[i + 1], odds[i], {"initial"} if j > i + 1 else set(), out)
         for m in _TITLED.finditer(text):
             word = re.sub(rf"^{PARTICLE}", "", m[1])
             if len(word) == 2 and word[1] == ".":
@@ -240,14 +265,14 @@ class Model:
     def _given(self, word: str) -> bool:
         return any(p.lower() in self.given or p.lower() in self.inferred for p in word.split("-"))
 
-    def _name(self, text, s, e, form, first, last, initial, first_given, last_given, first_odds, last_odds, parts, out) -> None:
+    def _name(self, text, s, e, form, first, last, initial, first_given, last_given, first_odds, last_odds, middle, out) -> None:
         left, right, before = self._around(text, s, e)
         o = min(3, max(-3, round(last_odds)))
         caller = first.lower() in self.callers and not first_given
         titled = first.lower().rstrip(".") in TITLES and not initial
         out.append((s, e, "name", (
             "name", f"name:{form}", f"name:given={first_given},initial={initial}", f"name:odds={o}", f"name:given={first_given},odds={o}", f"name:initial={initial},odds={o}",
-            f"name:lastgiven={last_given}", f"name:firstodds={min(3, max(-3, round(first_odds)))}", f"name:caller={caller}", f"name:parts={parts}",
+            f"name:lastgiven={last_given}", f"name:firstodds={min(3, max(-3, round(first_odds)))}", f"name:caller={caller}", f"name:middle={','.join(sorted(middle))}", f"name:middle={','.join(sorted(middle))},given={first_given}",
             f"name:form={form},given={first_given}", f"name:left={left[-1] if left else ''}", f"name:right={right}", f"name:title={titled}", f"name:upper={last.isupper()}",
         )))
 
@@ -342,7 +367,7 @@ class Model:
                 for s, e, _, f in self.proposals(line, frozenset(["name"])):
                     listed = "name:given=True,initial=False" in f or any(x.endswith(",initial=True") and x.startswith("name:given=") for x in f) or any("titled" in x for x in f)
                     surname = any(x in f for x in ("name:odds=1", "name:odds=2", "name:odds=3", "name:titled,odds=1", "name:titled,odds=2", "name:titled,odds=3"))
-                    if listed and surname and "name:lastgiven=True" not in f and "name:caller=True" not in f:
+                    if listed and surname and "name:lastgiven=True" not in f and "name:caller=True" not in f and not any(x.startswith("name:middle=") and "other" in x for x in f):
                         gold.add((s, e, "name"))
                     elif surname:
                         unclear = True
@@ -388,7 +413,7 @@ class Model:
                             g = gap - decay * weights[x]
                             squares[x] += g * g
                             weights[x] += rate * g / math.sqrt(squares[x])
-        self.weights = dict(weights) | {"email:plain": 8.0, "email:hidden": 4.0}
+        self.weights = dict(weights)
 
 
 def marginals(scores: list[float], back: list[int]) -> list[float]:
@@ -410,42 +435,19 @@ def _log_add(a: float, b: float) -> float:
     return high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
 
-def _digits(rng: random.Random, pattern: str) -> str:
-    return "".join(str(rng.randint(0, 9)) if c == "#" else rng.choice("ABCDFGHJKLMNPRSTVWXYZ") if c == "@" else c for c in pattern)
-
-
-# Published number formats (# a digit, @ a letter) and invented carrier sentences.
-PHONE_FORMS = ["+1 2## 555 01##", "+1-3##-555-01##", "(4##) 555-01##", "5##-555-01##", "6##.555.01##", "1###55501##", "+44 20 7946 0###", "+44 (0)1632 960 ###", "01632 960###", "020 7946 0###", "+49 (0)30 23125-###", "030/23125###", "030 23125 ###", "0049 30 23125 ###", "+33 1 99 00 ## ##", "+33 (0)1-99-00-##-##", "01 99 00 ## ##", "01.99.00.##.##", "019900####", "+34 555 0## ###", "0034-5550#####", "555 0## ###"]
-ID_FORMS = ["666-##-####", "666 ## ####", "666######", "QQ######A", "QQ ## ## ## B", "QQ ## ## ## D", "ZZ00#####", "X00#####@", "00######@", "00######-@", "L00Z#####", "00#########", "00 ### ### ###", "1####3#########", "2 ## 13 00 ### ### ##", "1 ## 13 00 ### ### ##", "2##1300########"]
-PHONE_LINES = ["Tel. {}", "tel:{}", "phone: {}", "Mobile {} or ask at the desk.", "Call {} after lunch.", "Tél. {}", "móvil {}", "Rückruf {} erbeten.", "my new number is {}, delete the old one", "reachable under {}, not before nine", "Llamar al {} por la tarde.", "{}", "({}) The other door", "fax={} ", "WhatsApp {}, evenings", "lens,{},open", "Appeler le {} avant midi.", "Erreichbar unter {}."]
-ID_LINES = ["passport/ID: {}", "SSN/NINO {}", "DNI: {}", "Steuer-ID: {}", "tax id {} was missing on the folder.", "the form shows {} twice", "Insured under {}.", "ID no. {}", "citizen number {}, checked", "\"national_id\": \"{}\",", "Ausweisnummer {}", "Die Kennnummer lautet {}.", "El número de identidad es {}.", "documento {} revisado", "pipe;{};ok", "numéro {}", "Sécurité sociale : {}"]
-DECOYS = ["ISBN-like code 000-0-736-00872-0.", "order 519-452-317 shipped.", "order 519452317 shipped.", "order 519 452 317 shipped.", "shelf=451233190 plan=118", "Total 285,126.50 for 698 units.", "commit 9fd20d9b8b", "isbn 978-0-597-00416-0", "2025-12-19T04:31:11 WARN flour", "package macro@329.4.692", "build 10.0.83.806 of the tool", "IP 192.0.2.76 answered", "TCK-2025-302821 stays open", "uuid 0000a0e28351-0081-4000-8000-1aade74", "crate 330194820 was moved", "part 12345678901 is late", "serial 80412345678 on the pump", "key=27233674 lid=188", "row 123456789 of 223456789"]
-ADDRESS_LINES = [("They moved to {} ", "100 Copper Way"), ("Deliver the router to {} ", "93B Tanner Street"), ("from {} to the store", "Unit 5, Willow Close, Ashbury"), ("Deliver the lamp to {}.", "72A Linnet Way"), ("{}", "Flat 1, 18 Willow Avenue, Oldbury"), ("visit {} on Friday", "Unit 26, Mallow Street, Sedgestead"), ("Home: {}", "125 GANNET STREET, QUERNMERE"), ("Anschrift: {}", "Kornmarkt 76, 00299 Altwiesen"), ("wohnhaft {}", "Am Anger 20"), ("Lieferung an {}.", "Birkenweg 87"), ("Livrer au {}.", "46, rue des Tilleuls, 00908 Valmory"), ("domicile {}", "114 bis chemin des Bruyères"), ("Entregar en {}.", "Camino Viejo 70, 2.º B"), ("Dirección: {}", "Plaza del Pozo, n.º 33, 00977 Valdemora"), ("{}", "Mühlgasse 158, 00885 Altwiesen"), ("domicilio {}", "Calle del Molino 122"), ("{}", "50 Orchard Street")]
-ADDRESS_DECOYS = ["5 street lamps were ordered.", "The Amber Ridge case and the North Annex printer.", "Nach 366 Minuten war Etikett verglichen.", "On Monday 12 Items", "Das Objekt Anhang wurde im Keller 3 geprüft", "Plakat Nummer 504 bleibt", "Im Quartal 3 war es still.", "Zum Termin 14 kam keiner.", "Am Montag 12 Teile gezählt", "In der Woche 40 bleibt es kalt."]
-
-
-def generated_lines(seed: int = 9) -> list[tuple[str, set, frozenset]]:
-    """Training lines for numbers and addresses, with the places of their values."""
-    rng, kinds, out = random.Random(seed), frozenset(["phone", "id_number", "address"]), []
-    for forms, carriers, kind in ((PHONE_FORMS, PHONE_LINES, "phone"), (ID_FORMS, ID_LINES, "id_number")):
-        for form in forms:
-            for carrier in carriers:
-                value = _digits(rng, form)
-                at = carrier.index("{}")
-                out.append((carrier.replace("{}", value), {(at, at + len(value), kind)}, kinds))
-            for word in ("Regards", "the crate", "nuevo", "tunnel", "on Friday", "wieder"):
-                value = _digits(rng, form)
-                out.append((f"{word} {value}", {(len(word) + 1, len(word) + 1 + len(value), kind)}, kinds))
-                out.append((f"{word}\n{value}\n{word}", {(len(word) + 1, len(word) + 1 + len(value), kind)}, kinds))
-                carrier = f"{word},{{}},open" if kind == "phone" else f"{word};{{}};ok"
-                out.append((carrier.format(value), {(len(word) + 1, len(word) + 1 + len(value), kind)}, kinds))
-    for title in ("Mr", "Mrs", "Ms", "Dr.", "Prof.", "Capt.", "Sister", "Herr", "Frau", "Madame", "La señora", "El señor"):
-        for value, rest in (("Harwell", " is away."), ("van Dorn", ", please check"), ("O'Mara", " (the lamp) called"), ("BRECHT", " hat Magnet geprüft.")):
-            out.append((f"{title} {value}{rest}", {(len(title) + 1, len(title) + 1 + len(value), "name")}, frozenset(["name"])))
-    for carrier, value in ADDRESS_LINES * 6:
-        at = carrier.index("{}")
-        out.append((carrier.replace("{}", value), {(at, at + len(value), "address")}, kinds))
-    out += [(line, set(), kinds) for line in [*DECOYS, *ADDRESS_DECOYS] * 6]
+def longer_names(lines: list[tuple[str, set]], given: set[str], seed: int = 2, most: int = 600) -> list[tuple[str, set]]:
+    """Labelled lines in which a name of two parts gets a middle name, an initial or the surname of another one."""
+    rng, out = random.Random(seed), []
+    two = [(line, next(iter(gold))) for line, gold in lines if len(gold) == 1]
+    two = [(line, s, e) for line, (s, e, kind) in two if kind == "name" and line[s:e].count(" ") == 1 and "," not in line[s:e]]
+    firsts = sorted(g.capitalize() for g in given if g.isalpha())
+    rng.shuffle(two)
+    for line, s, e in two[:most]:
+        first, last = line[s:e].split(" ")
+        other = rng.choice(two)
+        extra = rng.choice([rng.choice(firsts), rng.choice("ABCDEFGHJKLMNPRST") + ".", other[0][other[1] : other[2]].split(" ")[1]]) if firsts else rng.choice("ABCDEFGHJKLM") + "."
+        name = f"{first} {extra} {last}"
+        out.append((line[:s] + name + line[e:], {(s, s + len(name), "name")}))
     return out
 
 
@@ -473,13 +475,14 @@ def _counts(rows: DataFrame, model: Model, count, names: list[str]) -> DataFrame
     return counted.groupBy("key").agg(*(F.sum(n).alias(n) for n in names))
 
 
-def fit(documents: DataFrame, id_col: str, text_col: str, given_names: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+def fit(documents: DataFrame, id_col: str, text_col: str, given_names: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model whose surname endings, callers and given names are counted over all documents. Its weights are fitted on
-    generated lines and on a sample of at most sample_docs documents."""
-    given = {r.given_name.lower() for r in given_names.where("given_name is not null").select("given_name").distinct().limit(100_000).collect()}
+    generated lines and on the lines of a sample of at most sample_docs documents of at most sample_chars characters. The list of
+    given names is collected whole."""
+    given = {r.given_name.lower() for r in given_names.where("given_name is not null").select("given_name").distinct().toLocalIterator()}
     texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = documents.count()
-    sample = sorted(hash_sample(texts.where(F.char_length("text") < 20_000), "id", total, sample_docs).collect())[:sample_docs]
+    sample = sorted(hash_sample(texts.where(F.char_length("text") <= sample_chars), "id", total, sample_docs).collect())[:sample_docs]
     model = Model(given)
     endings = materialize(_counts(texts, model, Model.count_endings, ["p", "n"]), "endings")
     sums = endings.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
@@ -488,14 +491,18 @@ def fit(documents: DataFrame, id_col: str, text_col: str, given_names: DataFrame
     least_calls = max(2.0, 2.0 * total / SAMPLE_DOCS)
     leads = _counts(texts, model, Model.count_leads, ["lead_in", "lead_out", "calls"]).where((F.col("calls") >= least_calls) | ((F.col("lead_in") >= 2) & (F.col("lead_in") >= 0.3 * F.col("lead_out"))))
     model.learn_leads({r.key: (r.lead_in, r.lead_out, r.calls) for r in leads.toLocalIterator()}, least_calls)
-    names = model.label([r.text for r in sample])
+    model.train(training_lines(model, model.label([r.text for r in sample])))
+    model.memo.clear()
+    return model
+
+
+def training_lines(model: Model, names: list[tuple[str, set]]) -> list[tuple[str, set, frozenset]]:
+    """The labelled lines with names, as many quiet ones as go with them, names made longer, and the generated lines."""
     quiet = [x for x in names if not x[1]]
     random.Random(1).shuffle(quiet)
     named = [x for x in names if x[1]]
-    lines = [(line, gold, frozenset(["name"])) for line, gold in [*named, *quiet[: 4 * len(named) + 500]]]
-    model.train(lines + generated_lines())
-    model.memo.clear()
-    return model
+    lines = [*named, *longer_names(named, model.given), *quiet[: 4 * len(named) + 500]]
+    return [(line, gold, frozenset(["name"])) for line, gold in lines] + generated_lines()
 
 
 def personal_places(documents: DataFrame, id_col: str, text_col: str, given_names: DataFrame) -> DataFrame:

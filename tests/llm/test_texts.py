@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -6,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, personal_data as pii
+from lodestone.llm import mixing, personal_data as pii, personal_training
 from lodestone.llm.packing import fills, pack, sum_of_squares
 from lodestone.llm.scanned_text import Lexicon, mend_line, noise_places, paragraphs, readings, skeleton, whole_words
 from lodestone.llm.splitting import split, split_oversized
@@ -232,25 +233,31 @@ def model():
         texts.append(rng.choice(["Owner: {} {}", "On Monday {} {} and the box team met.", "{} {} will bring the lamp.", "The Amber Ridge case was closed.\nBoth the Lamp and {} {} were there."]).format(g, surname()))
         texts.append("Please have the Lamp repaired before the North Annex closes.")
     m = pii.Model(given_names)
-    lines = [(line, gold, frozenset(["name"])) for line, gold in m.learn_names(texts)]
-    m.train(lines + pii.generated_lines())
+    m.train(pii.training_lines(m, m.learn_names(texts)))
     return m
 
 
 CASES = [
     ("Write to a.b+c@mail.example please", [("a.b+c@mail.example", "email")]),
     ("mail a.b [at] mail [dot] example or x at y dot test", [("a.b [at] mail [dot] example", "email"), ("x at y dot test", "email")]),
-    ("build@runner-583:~$ make, package x@1.2.3, @Override", []),
+    ("build@runner-583:~$ make, package x@1.2.3, @Override, logo@2x.png", []),
     ("Tel. +44 20 7946 0123 or (252) 555-0197", [("+44 20 7946 0123", "phone"), ("(252) 555-0197", "phone")]),
-    ("order 519-452-317 shipped on 2025-02-03T10:11:12", []),
-    ("passport/ID: 666-12-3456", [("666-12-3456", "id_number")]),
-    ("Steuer-ID: 00 123 456 789", [("00 123 456 789", "id_number")]),
+    ("call +1 (212) 736-5000 now", [("+1 (212) 736-5000", "phone")]),
+    ("invoice 519-452-317 left on 2025-02-03T10:11:12", []),
+    ("passport/ID: 219-09-9999", [("219-09-9999", "id_number")]),
+    ("Steuer-ID: 86 095 742 719", [("86 095 742 719", "id_number")]),
     ("They moved to Flat 2, 17 Willow Lane, Oldbury.", [("Flat 2, 17 Willow Lane, Oldbury", "address")]),
-    ("Anschrift: Kornmarkt 76, 00299 Altwiesen", [("Kornmarkt 76, 00299 Altwiesen", "address")]),
-    ("Livrer au 46, rue des Tilleuls\n00908 Valmory.", [("46, rue des Tilleuls\n00908 Valmory", "address")]),
+    ("He lives at 10 Downing Street, London SW1A 2AA", [("10 Downing Street, London SW1A 2AA", "address")]),
+    ("Office: 1600 Pennsylvania Avenue, Washington, DC 20500", [("1600 Pennsylvania Avenue, Washington, DC 20500", "address")]),
+    ("send it to P.O. Box 118, Leeds", [("P.O. Box 118, Leeds", "address")]),
+    ("Anschrift: Kornmarkt 76, 10115 Berlin", [("Kornmarkt 76, 10115 Berlin", "address")]),
+    ("Livrer au 46, rue des Tilleuls\n75008 Paris.", [("46, rue des Tilleuls\n75008 Paris", "address")]),
     ("4 street lamps were ordered. The Amber Ridge case.", []),
     ("Owner: Grace Talondrake", [("Grace Talondrake", "name")]),
     ("Owner: Talondrake, Grace", [("Talondrake, Grace", "name")]),
+    ("Owner: Grace Nora Talondrake", [("Grace Nora Talondrake", "name")]),
+    ("Hugo B. Braneskwyn wrote", [("Hugo B. Braneskwyn", "name")]),
+    ("Oliver Morthorvald Keleskwyn wrote", [("Oliver Morthorvald Keleskwyn", "name")]),
     ("Mr Keleskwyn is away", [("Keleskwyn", "name")]),
     ("﻿Hugo Morthorvald\r\nwrites", [("Hugo Morthorvald", "name")]),
     ("", []),
@@ -321,3 +328,29 @@ def test_names_are_learnt_from_all_documents(spark):
     assert "zorvald" in pii.fit(long, "doc_id", "text", given).inferred
     # neither list nor ending knows the words
     assert (7, 16, "name") in [p[:3] for p in pii.Model(set()).proposals("We saw Xylo Qwrt today.", frozenset(["name"]))]
+
+
+def test_on_forms_that_training_left_out():
+    train, test = personal_training.held_out()
+    m = pii.Model(set())
+    m.train(train)
+    true, found, both = 0, 0, 0
+    for line, gold, _ in test:
+        got = {(s, k) for s, _, k in m.find(line) if k != "name"}
+        want = {(s, k) for s, _, k in gold if k != "name"}
+        true, found, both = true + len(want), found + len(got), both + len(want & got)
+    assert both >= 0.9 * true and both >= 0.9 * found, (true, found, both)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test tables aren't here")
+def test_nothing_is_taken_from_the_tables():
+    import pyarrow.parquet as pq
+
+    texts = "\n".join(t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t).lower()
+    sayings = [*personal_training.PHONE_SAYINGS, *personal_training.ID_SAYINGS, *personal_training.ADDRESS_SAYINGS, *personal_training.EMAIL_SAYINGS]
+    for part in (p.strip().lower() for s in sayings for p in s.split("{}")):
+        assert len(part) < 12 or part not in texts, part
+    lines = personal_training.generated_lines(per_form=6)
+    values = {line[s:e].lower() for line, gold, _ in lines for s, e, _ in gold}
+    assert not [v for v in values if len(v) > 9 and v in texts]
+    assert not [line for line, gold, _ in lines if not gold and len(line) > 20 and line.lower() in texts]
