@@ -6,18 +6,20 @@ indexed. For a vector the pairs of centroids are visited in the order of their s
 distance, taken from a heap, until the cells visited hold at least `candidates` vectors; the
 vectors of these cells are the candidates and are reranked by their cosine.
 
-Placement. A cell is handled by one task. A vector is sent to its own cell once and, as a
+Copies. Vectors with the same half-precision components are one class and count as one: cells are as large as their classes
+are many, and a class is scored once for all its ids. Of a class only its k + 1 smallest ids can be among the neighbours of
+any vector, as ties go to the smaller id. A class of more than `max_cell` rows doesn't travel at all but for
+these; the neighbours of its other ids are the first k of them.
+
+Placement. A cell is handled by tasks of bounded size. A vector is sent to its own cell once and, as a
 query, to each further cell it visits, in half precision. Within a cell all of it is matrix
 multiplication. A pair scored in a visited cell counts for both its vectors, which makes up for
-cells that only one of them visits. Large classes of equal vectors are handled before (_without_copies). A
-cell above max_cell * hot_blocks rows gets a codebook of its own, fitted on the rows of the sample in it, whose cells
-are visited in the order of their distance in its place. Cells still above `max_cell` rows are cut into blocks, and every
-pair of blocks is scored by a task of its own: no task gets more than 2 * max_cell rows of a
-cell and no pair is lost.
-
-Loss. A neighbour is missed only if neither vector visits the cell of the other; the
-tests measure it against brute force. Scores are cosines of half-precision components and differ from
-the exact ones by less than 0.001.
+cells that only one of them visits.
+A cell above max_cell * hot_blocks classes gets a codebook of its own, fitted on the rows of the sample in it, whose cells
+are visited in the order of their distance in its place. Cells still above `max_cell` rows are cut into blocks of about that many, and every
+pair of blocks is scored by a task of its own. The visitors of a cell are counted before anything is sent; above `guests` they
+are cut into parts, each of which meets each block in a task of its own. So no task gets more than two blocks or a block and
+`guests` visitors, but for the spread of a hash and a class of up to max_cell rows in a block, and no pair is lost.
 
 Nulls, vectors with all zeros, with a wrong width or with null elements take no part. Rows that
 repeat an id count once; where their vectors differ, the id has the neighbours of all of them.
@@ -141,176 +143,301 @@ def _top(ids: np.ndarray, others: np.ndarray, scores: np.ndarray, k: int) -> tup
     return part, np.take_along_axis(scores, part, 1)
 
 
-def _without_copies(usable: DataFrame, k: int, limit: int) -> tuple[int, DataFrame, DataFrame | None]:
-    """(rows, rows to index, neighbours of the others). Of a class of more than `limit` equal vectors
-    only the k + 1 smallest ids are indexed: as ties go to the smaller id, no query can
-    have others of the class among its k. The others' neighbours are the first k of these. There are fewer classes
-    of this size than rows / limit, which bounds what is broadcast."""
-    tagged = usable.withColumn("h", F.xxhash64("vec"))
-    classes = tagged.groupBy("h").count()
-    most = classes.agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
-    rows = most["rows"] or 0
-    limit = max(limit, rows // 100_000)
-    if (most["most"] or 0) <= limit:
-        return rows, usable, None
-    heavy = tagged.join(F.broadcast(classes.where(F.col("count") > limit).select("h")), "h", "left_semi").select("id", "h").distinct()
-    parts = heavy.groupBy("h", F.pmod(F.xxhash64("id"), F.lit(1024)).alias("salt")).agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("ids"))
-    kept = materialize(parts.groupBy("h").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("kept")), "kept")
-    index = tagged.join(F.broadcast(kept), "h", "left").where(F.col("kept").isNull() | F.array_contains("kept", F.col("id"))).select("id", "vec")
-    others = heavy.join(F.broadcast(kept), "h").where(~F.array_contains("kept", F.col("id")))
-    return rows, index, others.select("id", F.explode(F.slice("kept", 1, k)).alias("other"), F.lit(1.0).alias("score"))
+def _classes(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the half-precision components of each row: equal rows have equal ones."""
+    bits = half.view(np.uint16).astype(np.uint64)
+    factors = np.random.default_rng(17).integers(1, 1 << 63, (bits.shape[1], 2), dtype=np.uint64) | np.uint64(1)
+    out = []
+    for c in range(2):
+        h = (bits * factors[:, c]).sum(1, dtype=np.uint64)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append((h ^ (h >> np.uint64(29))).view(np.int64))
+    return out[0], out[1]
+
+
+def _ranked(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the first `most` rows of each owner by score, ties to the smaller id; sorted by owner."""
+    order = np.lexsort((ids, -scores, owner))
+    o = owner[order]
+    first = np.flatnonzero(np.r_[True, o[1:] != o[:-1]]) if len(o) else np.zeros(0, int)
+    rank = np.arange(len(o)) - np.repeat(first, np.diff(np.r_[first, len(o)]))
+    return order[rank < most]
+
+
+class _Side:
+    """The rows of one side of a group: its classes, and the distinct ids of each."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, same: np.ndarray):
+        order = np.lexsort((ids, same))
+        ids, same, rows = ids[order], same[order], order
+        once = np.r_[True, (same[1:] != same[:-1]) | (ids[1:] != ids[:-1])] if len(ids) else np.zeros(0, bool)
+        self.ids, same, rows = ids[once], same[once], rows[once]
+        self.first = np.flatnonzero(np.r_[True, same[1:] != same[:-1]]) if len(same) else np.zeros(0, int)
+        self.counts = np.diff(np.r_[self.first, len(same)])
+        self.x, self.least = x[rows[self.first]], self.ids[self.first]
+
+    def members(self, classes: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(position in `classes`, id) of the ids of each class, or of the smallest `most`."""
+        n = self.counts[classes] if most is None else np.minimum(self.counts[classes], most)
+        at = np.repeat(np.arange(len(classes)), n)
+        inner = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        return at, self.ids[self.first[classes][at] + inner]
+
+
+def _answers(who: _Side, owner: np.ndarray, of: _Side, near: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, other, score) for the ids of `who`, whose classes `owner` found the classes `near` of the other side."""
+    at, other = of.members(near, k + 1)
+    own, score = owner[at], scores[at]
+    keep = _ranked(own, other, score, k + 1)
+    own, other, score = own[keep], other[keep], score[keep]
+    # each id of a class takes the list of its class without itself
+    first = np.searchsorted(own, np.arange(len(who.first)), side="left")
+    length = np.searchsorted(own, np.arange(len(who.first)), side="right") - first
+    cls = np.repeat(np.arange(len(who.first)), who.counts)
+    n = length[cls]
+    row = np.repeat(np.arange(len(cls)), n)
+    src = first[cls][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    i, o, v = who.ids[row], other[src], score[src]
+    good = i != o
+    i, o, v, row = i[good], o[good], v[good], row[good]
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
+    rank = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
+    return i[rank < k], o[rank < k], v[rank < k]
+
+
+def _meet(a: _Side, b: _Side | None, k: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """What a and b find in each other, or a in itself; a is scored in strips."""
+    t = a if b is None else b
+    out: tuple[list, list, list] = ([], [], [])
+    if not len(a.first) or not len(t.first):
+        return out
+    owner, near, found = [], [], []
+    back_s, back_i = np.full((len(t.first), 0), -2.0, np.float32), np.zeros((len(t.first), 0), np.int64)
+    for s in range(0, len(a.first), 1024):
+        sim = a.x[s : s + 1024] @ t.x.T
+        pos, top = _top(a.least[s : s + 1024], t.least, sim, k + 1)
+        owner.append(np.repeat(np.arange(s, s + len(sim)), pos.shape[1]))
+        near.append(pos.ravel())
+        found.append(top.ravel())
+        if b is not None:
+            pos, top = _top(t.least, a.least[s : s + 1024], sim.T, k + 1)
+            back_s, back_i = np.concatenate([back_s, top], 1), np.concatenate([back_i, pos + s], 1)
+            keep = np.lexsort((a.least[back_i], -back_s), axis=1)[:, : k + 1]
+            back_s, back_i = np.take_along_axis(back_s, keep, 1), np.take_along_axis(back_i, keep, 1)
+    parts = [_answers(a, np.concatenate(owner), t, np.concatenate(near), np.concatenate(found), k)]
+    if b is not None:
+        parts.append(_answers(b, np.repeat(np.arange(len(t.first)), back_s.shape[1]), a, back_i.ravel(), back_s.ravel(), k))
+    for part in parts:
+        for held, v in zip(out, part):
+            held.append(v)
+    return out
 
 
-def most_similar(vectors: DataFrame, id_col: str, vec_col: str, width: int, k: int = 10, centroids: int | None = None,
-                 candidates: int = 1000, max_cell: int = 4096, sample_rows: int = SAMPLE_ROWS, hot_blocks: int = 16) -> DataFrame:
-    """The k most similar other vectors of every vector: (id, other, score).
+class Index:
+    """Codebooks, how many classes and rows each cell has, and where the rows of a cell and its visitors go."""
+
+    def __init__(self, width: int, k: int, candidates: int, max_cell: int, guests: int):
+        self.width, self.k, self.candidates, self.max_cell, self.guests = width, k, candidates, max_cell, guests
+        self.codebooks: tuple[np.ndarray, np.ndarray] = (np.zeros((0, 0)), np.zeros((0, 0)))
+        self.inner: dict[int, tuple[int, np.ndarray]] = {}
+        self.cells = 0
+        self.sizes = self.blocks = self.parts = np.zeros(0, np.int64)
+        self.heavy: np.ndarray = np.zeros(0, np.int64)  # sorted class hashes
+        self.kept: set = set()
+
+    def batch(self, b: pa.RecordBatch, all_rows: bool = False):
+        """(ids, unit vectors, half-precision ones, class hashes, distances of both halves, cell) of the rows to index."""
+        ids, x = _matrix(b, self.width)
+        half = x.astype(np.float16)
+        h1, h2 = _classes(half)
+        if len(self.heavy) and not all_rows:
+            at = np.minimum(np.searchsorted(self.heavy, h1), len(self.heavy) - 1)
+            keep = (self.heavy[at] != h1) | np.fromiter((i in self.kept for i in ids.tolist()), bool, len(ids))
+            ids, x, half, h1, h2 = ids[keep], x[keep], half[keep], h1[keep], h2[keep]
+        # what is scored is what decides: a class has one cell
+        d1, d2, home = _nearest_cells(half.astype(np.float32), self.codebooks, self.inner) if len(ids) else (x, x, np.zeros(0, np.int64))
+        return ids, half, h1, h2, d1, d2, home
+
+    def visits(self, half: np.ndarray, h1: np.ndarray, d1: np.ndarray, d2: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells that each row visits besides its own; equal vectors are traversed once."""
+        rows, cells, known = [], [], {}
+        for r in np.flatnonzero(self.sizes[home] < self.candidates).tolist():
+            found = known.get(key := int(h1[r]))
+            if found is None:
+                own = int(home[r])
+                found = known[key] = [c for c in _visits(half[r].astype(np.float32), d1[r], d2[r], self.sizes, self.inner, self.candidates) if c != own]
+            rows += [r] * len(found)
+            cells += found
+        return np.array(rows, np.int64), np.array(cells, np.int64)
+
+
+PLACED = "cell long, block_a int, block_b int, part int, mine int, id {}, vec binary"
+
+
+def placements(vectors: DataFrame, index: Index, id_type: str) -> DataFrame:
+    """Rows of (cell, block_a, block_b, part): the groups in which vectors meet. mine is the block of a row in its own cell,
+    -1 for a visitor."""
+    width = index.width
 
-    width: the length of a vector; rows of another width take no part. centroids: K of each half; by default it
-    grows with the square root of the table, from 64 to 1024. candidates: how many vectors a query visits at
-    least. sample_rows: bound of the sample that the codebooks are fitted on, 32 for each centroid at least.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-    id_type = rows.schema["id"].dataType.simpleString()
-    empty = spark.createDataFrame([], f"id {id_type}, other {id_type}, score double")
-    usable = rows.where(F.col("id").isNotNull() & (F.size("vec") == width))
-    n, usable, copies = _without_copies(usable, k, max_cell)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, half, h1, h2, d1, d2, home = index.batch(b)
+            if not len(ids):
+                continue
+            own = (h2.view(np.uint64) % index.blocks[home].astype(np.uint64)).astype(np.int64)
+            out: list[tuple[np.ndarray, ...]] = []
+            # own rows: every pair of blocks that has theirs, and every part of the visitors with theirs
+            m = index.blocks[home]
+            row = np.repeat(np.arange(len(ids)), m)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+            mine = own[row]
+            out.append((row, home[row], np.minimum(mine, other), np.maximum(mine, other), np.zeros(len(row), np.int64), mine))
+            extra = np.maximum(index.parts[home] - 1, 0)
+            row = np.repeat(np.arange(len(ids)), extra)
+            out.append((row, home[row], own[row], own[row], np.arange(len(row)) - np.repeat(np.cumsum(extra) - extra, extra) + 1, own[row]))
+            who, cell = index.visits(half, h1, d1, d2, home)
+            part = (pd.util.hash_array(ids[who]) % np.maximum(index.parts[cell], 1).astype(np.uint64)).astype(np.int64)
+            m = index.blocks[cell]
+            at = np.repeat(np.arange(len(who)), m)
+            block = np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
+            out.append((who[at], cell[at], block, block, part[at], np.full(len(at), -1)))
+            row, cell, block_a, block_b, part, mine = (np.concatenate(c) for c in zip(*out))
+            step = max(1, (64 << 20) // (2 * width))
+            for s in range(0, len(row), step):
+                take = row[s : s + step]
+                offsets = np.arange(len(take) + 1, dtype=np.int32) * (2 * width)
+                vec = pa.BinaryArray.from_buffers(pa.binary(), len(take), [None, pa.py_buffer(offsets), pa.py_buffer(half[take].tobytes())])
+                small = [pa.array(c[s : s + step].astype(np.int32)) for c in (block_a, block_b, part, mine)]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[s : s + step]), *small, pa.array(ids[take]), vec], names=["cell", "block_a", "block_b", "part", "mine", "id", "vec"])
+
+    return vectors.mapInArrow(place, PLACED.format(id_type))
+
+
+def build_index(usable: DataFrame, n: int, width: int, k: int, centroids: int | None, candidates: int, max_cell: int, sample_rows: int, hot_blocks: int, guests: int) -> tuple[Index, DataFrame | None]:
+    """(the index, neighbours of the ids of large classes that don't travel)."""
+    index = Index(width, k, candidates, max_cell, guests)
     centroids = centroids or min(1024, max(64, round((n / 75) ** 0.5)))
     sample_rows = max(sample_rows, 32 * centroids)
-    sample = hash_sample(usable, "id", n, sample_rows).toArrow()
-    parts = [_matrix(b, width)[1] for b in sample.to_batches()]
+    parts = [_matrix(b, width)[1] for b in hash_sample(usable, "id", n, sample_rows).toArrow().to_batches()]
     points = (np.concatenate(parts) if parts else np.zeros((0, width), np.float32))[:sample_rows]
     if not len(points):
-        return empty
+        return index, None
     cut = width // 2
-    codebooks = (kmeans(points[:, :cut], centroids), kmeans(points[:, cut:], centroids))
-    n_cells = len(codebooks[0]) * len(codebooks[1])
-
-    def cell_sizes(inner: dict, total_cells: int) -> np.ndarray:
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(total_cells, np.int64)
-            for b in batches:
-                _, x = _matrix(b, width)
-                if len(x):
-                    total += np.bincount(_nearest_cells(x, codebooks, inner)[2], minlength=total_cells)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
-
-        out = np.zeros(total_cells, np.int64)
-        for r in usable.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # K * K rows at most
-            out[r.cell] = r.n
-        return out
+    index.codebooks = (kmeans(points[:, :cut], centroids), kmeans(points[:, cut:], centroids))
+    index.cells = len(index.codebooks[0]) * len(index.codebooks[1])
 
-    sizes, inner, total_cells = cell_sizes({}, n_cells), {}, n_cells
-    hot = np.flatnonzero(sizes > max_cell * hot_blocks)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, _, h1, h2, _, _, home = index.batch(b)
+            if len(h1):
+                order = np.lexsort((h2, h1))
+                new = np.flatnonzero(np.r_[True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
+                yield pa.RecordBatch.from_arrays([pa.array(home[order][new]), pa.array(h1[order][new]), pa.array(h2[order][new]), pa.array(np.diff(np.r_[new, len(order)]))], names=["cell", "h1", "h2", "n"])
+
+    def cell_sizes() -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        """Classes, and the numbers of classes and of rows of each cell: at most as many numbers as cells get to the driver."""
+        classes = materialize(usable.mapInArrow(count, "cell long, h1 long, h2 long, n long").groupBy("cell", "h1", "h2").agg(F.sum("n").alias("n")), "classes")
+        got = classes.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).toArrow()
+        many, rows = np.zeros(index.cells, np.int64), np.zeros(index.cells, np.int64)
+        at = got["cell"].to_numpy()
+        many[at], rows[at] = got["c"].to_numpy(), got["n"].to_numpy()
+        return classes, many, rows
+
+    classes, index.sizes, rows = cell_sizes()
+    limit = max(max_cell, n // 100_000)  # fewer classes than 100,000 are above it
+    large = np.sort(classes.where(F.col("n") > limit).select("h1").toArrow()["h1"].to_numpy())
+    copies = None
+    if len(large):
+        index.heavy, copies = large, _large_classes(usable, index, large)
+        rows = None
+    hot = np.flatnonzero(index.sizes > max_cell * hot_blocks)
     if len(hot):
-        where = _nearest_cells(points, codebooks, {})[2]
+        whole, where = index.sizes, _nearest_cells(points, index.codebooks, {})[2]
         for cell in hot.tolist():
             mine = points[where == cell]
-            wanted = min(len(mine) // 8, -(-4 * int(sizes[cell]) // max_cell))
+            wanted = min(len(mine) // 8, -(-4 * int(whole[cell]) // max_cell))
             if wanted > 1:
-                inner[cell] = (total_cells, kmeans(mine, wanted))
-                total_cells += len(inner[cell][1])
-        whole = sizes[list(inner)]
-        sizes = cell_sizes(inner, total_cells)
-        sizes[list(inner)] = whole  # what traverse() sees of a hot cell
-    blocks = np.maximum(1, -(-sizes // max_cell))
+                index.inner[cell] = (index.cells, kmeans(mine, wanted))
+                index.cells += len(index.inner[cell][1])
+        _, index.sizes, rows = cell_sizes()
+        index.sizes[list(index.inner)] = whole[list(index.inner)]  # what traverse() sees of a hot cell
+    elif rows is None:
+        _, index.sizes, rows = cell_sizes()
+    index.blocks = np.maximum(1, -(-rows // max_cell))
+
+    def visitors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(index.cells, np.int64)
+        for b in batches:
+            _, half, h1, _, d1, d2, home = index.batch(b)
+            if len(h1):
+                total += np.bincount(index.visits(half, h1, d1, d2, home)[1], minlength=index.cells)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = usable.mapInArrow(visitors, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > guests).toArrow()
+    index.parts = np.ones(index.cells, np.int64)
+    index.parts[got["cell"].to_numpy()] = -(-got["n"].to_numpy() // guests)
+    return index, copies
+
+
+def _large_classes(usable: DataFrame, index: Index, large: np.ndarray) -> DataFrame:
+    """The neighbours of the ids of large classes but the k + 1 smallest of each, which index.kept gets."""
+    k, id_type = index.k, usable.schema["id"].dataType.simpleString()
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, x = _matrix(b, width)
-            if not len(ids):
-                continue
-            d1, d2, home = _nearest_cells(x, codebooks, inner)
-            source, cell, block_a, block_b = [], [], [], []
-            own = (pd.util.hash_array(ids) % np.uint64(1 << 30)).astype(np.int64) % blocks[home]
-            for r in range(len(ids)):
-                for c in _visits(x[r], d1[r], d2[r], sizes, inner, candidates) if sizes[home[r]] < candidates else (int(home[r]),):
-                    m = int(blocks[c])
-                    if c == home[r]:
-                        pairs = [(min(int(own[r]), o), max(int(own[r]), o)) for o in range(m)]
-                    else:
-                        pairs = [(o, o) for o in range(m)]
-                    for p in pairs:
-                        source.append(r)
-                        cell.append(c)
-                        block_a.append(p[0])
-                        block_b.append(p[1])
-            at = np.array(source)
-            half = x.astype(np.float16)
-            step = max(1, (64 << 20) // (2 * width))
-            for s in range(0, len(at), step):
-                take = at[s : s + step]
-                blob = half[take].tobytes()
-                offsets = np.arange(len(take) + 1, dtype=np.int32) * (2 * width)
-                vec = pa.BinaryArray.from_buffers(pa.binary(), len(take), [None, pa.py_buffer(offsets), pa.py_buffer(blob)])
-                c = np.array(cell[s : s + step])
-                mine = np.where(c == home[take], own[take], -1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c), pa.array(np.array(block_a[s : s + step], np.int32)), pa.array(np.array(block_b[s : s + step], np.int32)), pa.array(mine), pa.array(ids[take]), vec],
-                    names=["cell", "block_a", "block_b", "mine", "id", "vec"],
-                )
+            ids, _, h1, _, _, _, _ = index.batch(b, all_rows=True)
+            at = np.isin(h1, large)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at], b.schema.field(0).type), pa.array(h1[at])], names=["id", "h"])
+
+    heavy = materialize(usable.mapInArrow(members, f"id {id_type}, h long"), "heavy").distinct()
+    parts = heavy.groupBy("h", F.pmod(F.xxhash64("id"), F.lit(1024)).alias("salt")).agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("ids"))
+    kept = materialize(parts.groupBy("h").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("kept")), "kept")
+    index.kept = {i for r in kept.collect() for i in r.kept}  # k + 1 ids of fewer than 100,000 classes
+    others = heavy.join(F.broadcast(kept), "h").where(~F.array_contains("kept", F.col("id")))
+    return others.select("id", F.explode(F.slice("kept", 1, k)).alias("other"), F.lit(1.0).alias("score"))
+
+
+def most_similar(vectors: DataFrame, id_col: str, vec_col: str, width: int, k: int = 10, centroids: int | None = None,
+                 candidates: int = 1000, max_cell: int = 4096, sample_rows: int = SAMPLE_ROWS, hot_blocks: int = 16, guests: int = 8192) -> DataFrame:
+    """The k most similar other vectors of every vector: (id, other, score).
+
+    width: the length of a vector; rows of another width take no part. centroids: K of each half; by default it
+    grows with the square root of the table, from 64 to 1024. candidates: how many different vectors a query visits at
+    least. sample_rows: bound of the sample that the codebooks are fitted on, 32 for each centroid at least. max_cell, guests: how many rows of a
+    cell and how many visitors a task gets.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    usable = rows.where(F.col("id").isNotNull() & (F.size("vec") == width))
+    index, copies = build_index(usable, vectors.count(), width, k, centroids, candidates, max_cell, sample_rows, hot_blocks, guests)
+    if not index.cells:
+        return spark.createDataFrame([], f"id {id_type}, other {id_type}, score double")
 
     def score(key: tuple, group: pa.Table) -> pa.Table:
-        _, a, b = (v.as_py() for v in key)
-        ids = group["id"].to_numpy()
-        raw = group["vec"].combine_chunks()
-        raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
-        x = np.frombuffer(b"".join(raw.to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
-        mine = group["mine"].to_numpy()
-        # of rows that repeat an id, one stays
-        order = np.lexsort((x[:, 0], -mine, ids))
-        order = order[np.r_[True, ids[order][1:] != ids[order][:-1]]] if len(order) else order
-        ids, x, mine = ids[order], x[order], mine[order]
+        a, b, part = (v.as_py() for v in key[1:])
+        ids, mine = group["id"].to_numpy(), group["mine"].to_numpy()
+        raw = np.frombuffer(b"".join(group["vec"].to_pylist()), np.float16).reshape(-1, width)
+        _, same = np.unique(raw.view(np.dtype((np.void, 2 * width))).ravel(), return_inverse=True)
+        x = raw.astype(np.float32)
         x /= np.sqrt((x**2).sum(1))[:, None]
-        out_id, out_other, out_score = [], [], []
-
-        def emit(rows: np.ndarray, cols: np.ndarray) -> None:
-            """Score rows against cols, in strips; what it finds counts for both sides."""
-            best_s = np.full((len(cols), 0), -2.0, np.float32)
-            best_i = np.zeros((len(cols), 0), ids.dtype)
-            for s in range(0, len(rows), 1024):
-                strip = rows[s : s + 1024]
-                sim = x[strip] @ x[cols].T
-                sim[ids[strip][:, None] == ids[cols][None, :]] = -2.0
-                pos, top = _top(ids[strip], ids[cols], sim, k)
-                out_id.append(np.repeat(ids[strip], pos.shape[1]))
-                out_other.append(ids[cols][pos].ravel())
-                out_score.append(top.ravel())
-                if not same:
-                    back, back_top = _top(ids[cols], ids[strip], sim.T, k)
-                    best_s = np.concatenate([best_s, back_top], 1)
-                    best_i = np.concatenate([best_i, ids[strip][back]], 1)
-                    keep = np.argsort(-best_s, axis=1, kind="stable")[:, :k]
-                    best_s, best_i = np.take_along_axis(best_s, keep, 1), np.take_along_axis(best_i, keep, 1)
-            if not same:
-                out_id.append(np.repeat(ids[cols], best_s.shape[1]))
-                out_other.append(best_i.ravel())
-                out_score.append(best_s.ravel())
-
-        left, right, guests = np.flatnonzero(mine == a), np.flatnonzero(mine == b), np.flatnonzero(mine < 0)
-        same = a == b
-        if len(left) and len(right):
-            emit(left, right)
-        same = False
-        if a == b and len(guests) and len(left):
-            emit(guests, left)
-        if not out_id:
-            i, o, v = ids[:0], ids[:0], np.zeros(0)
-        else:
-            i, o, v = np.concatenate(out_id), np.concatenate(out_other), np.concatenate(out_score).astype(np.float64).round(6)
-            ok = v > -1.5
-            i, o, v = i[ok], o[ok], v[ok]
-            order = np.lexsort((o, -v, i))
-            i, o, v = i[order], o[order], v[order]
-            first = np.r_[0, np.flatnonzero(i[1:] != i[:-1]) + 1] if len(i) else np.zeros(0, int)
-            rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
-            i, o, v = i[rank < k], o[rank < k], v[rank < k]
-        return pa.table({"id": i, "other": o, "score": v})
-
-    placed = usable.mapInArrow(place, f"cell long, block_a int, block_b int, mine int, id {id_type}, vec binary")
-    found = placed.groupBy("cell", "block_a", "block_b").applyInArrow(score, f"id {id_type}, other {id_type}, score double")
-    # at most k rows of a vector come from each cell it was scored in; both groupings use one shuffle
+        side = lambda at: _Side(ids[at], x[at], same.ravel()[at])
+        left, guest = side(mine == a), side(mine < 0)
+        found = [_meet(guest, left, k)] if a == b else []
+        if part == 0:
+            found.append(_meet(left, None if a == b else side(mine == b), k))
+        i, o, v = (np.concatenate([c for f in found for c in f[n]] or [(ids[:0], ids[:0], np.zeros(0, np.float32))[n]]) for n in range(3))
+        v = v.astype(np.float64).round(6)
+        # a pair can be found from both sides
+        order = np.lexsort((o, i))
+        once = order[np.r_[True, (i[order][1:] != i[order][:-1]) | (o[order][1:] != o[order][:-1])]] if len(order) else order
+        i, o, v = i[once], o[once], v[once]
+        keep = _ranked(i, o, v, k)
+        return pa.table({"id": i[keep], "other": o[keep], "score": v[keep]})
+
+    found = placements(usable, index, id_type).groupBy("cell", "block_a", "block_b", "part").applyInArrow(score, f"id {id_type}, other {id_type}, score double")
+    # at most k rows of a vector come from each group it was scored in; both groupings use one shuffle
     result = (
         found.repartition("id")
         .groupBy("id", "other")

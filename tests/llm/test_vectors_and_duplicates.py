@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm.near_duplicates import MASKS, connected_components, near_duplicate_groups, shingles, similar_classes, similar_ids, signatures, text_classes
-from lodestone.llm.similar_vectors import most_similar, similar_pairs, traverse
+from lodestone.llm.similar_vectors import build_index, most_similar, placements, similar_pairs, traverse
 
 VECS = "rowid long, embedding array<float>, cell int, id string"
 
@@ -71,6 +71,42 @@ def test_a_large_class_of_equal_vectors(spark):
         assert len(got[i] & want) >= 2
 
 
+@pytest.mark.parametrize("max_cell", [4096, 40])
+def test_copies_dont_use_up_the_visits(spark, max_cell):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 16))
+    x = np.concatenate([np.repeat(base, 30, axis=0), base + 0.3 * rng.normal(size=(60, 16))]).astype(np.float32)
+    got = {}
+    df = frame(spark, range(len(x)), x)
+    for r in most_similar(df.unionByName(df.where("rowid % 7 = 0")), "rowid", "embedding", 16, k=40, centroids=6, candidates=50, max_cell=max_cell).collect():
+        got.setdefault(r.id, []).append(r.other)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 3)
+    np.fill_diagonal(s, -2)
+    near = [len({int(j) for j in got[i]} & {30 * (i - 1800) + c for c in range(30)}) for i in range(1800, 1860)]
+    assert np.mean(near) > 28 and all(len(v) == len(set(v)) == 40 for v in got.values())
+    for i in range(0, 1800, 31):  # the other copies first, then other vectors
+        assert set(got[i]) >= {30 * (i // 30) + c for c in range(30)} - {i}
+
+
+def test_a_hub_is_split(spark):
+    rng = np.random.default_rng(6)
+    hub = rng.normal(size=8)
+    # a dense hub in the middle of vectors that all visit it
+    x = np.concatenate([hub + 0.02 * rng.normal(size=(150, 8)), hub + rng.normal(size=(1500, 8))]).astype(np.float32)
+    usable = frame(spark, range(len(x)), x).selectExpr("rowid AS id", "embedding AS vec")
+    index, _ = build_index(usable, len(x), 8, 5, 12, 400, 64, 20_000, 1000, 100)
+    groups = placements(usable, index, "bigint").groupBy("cell", "block_a", "block_b", "part").agg(F.count_if(F.col("mine") < 0).alias("guests"), F.count_if(F.col("mine") >= 0).alias("own")).collect()
+    assert index.parts.max() > 4 and max(g.guests for g in groups) <= 200 and max(g.own for g in groups) <= 4 * 64
+    got = {}
+    for r in most_similar(usable, "id", "vec", 8, k=5, centroids=12, candidates=400, max_cell=64, guests=100, hot_blocks=1000).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert sum(len(got[i] & set(np.argsort(-s[i])[:5])) for i in range(len(x))) >= 0.95 * 5 * len(x)
+
+
 def jaccard_pairs(rows, words, least):
     sets = {}
     for i, t in rows:
