@@ -58,7 +58,7 @@ _HIDDEN_DOMAIN = re.compile(r" ?[\w-]+(?: ?(?:[\[({] ?(?:dot|DOT|\.) ?[\])}]|\.|
 _SPOKEN_DOMAIN = re.compile(r"[\w-]+(?: (?:dot|DOT) [\w-]+)+")
 _HIDDEN_AT = ("[at]", "(at)", "{at}", "[ at ]", "( at )", "[@]", "(@)", "{@}")
 _NUMBER = re.compile(
-    r"(?<![\w.@/\-])(?:"
+    r"(?<![\w.@/\-])(?=[+(\dA-Z])(?:"
     r"(?P<intl>(?:\+|00(?=[1-9]))\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d(?:[ .\-/]?\d){5,11})"
     r"|(?P<area>(?:1[ \-])?\(\d{2,5}\) ?\d{3}[ .\-]\d{3,4})"
     r"|(?P<trunk1>1-\d{3}-\d{3}-\d{4}(?!\d))"
@@ -78,22 +78,22 @@ _NUMBER = re.compile(
 )
 _REFERENCES = frozenset(w.lower() for r in REFERENCES for w in r.split())
 _CAP = rf"[{UPPER}][\w'’]*"
-_ENGLISH = re.compile(rf"(?<![\w.\-/])\d{{1,4}}[A-Za-z]?,? +(?:{_CAP} ){{1,3}}((?i:{STREET}))\b\.?")
-_NUMBERLESS = re.compile(rf"(?<!\w)(?i:flat|unit|apt\.?|apartment|suite) ?\d{{1,4}}[A-Za-z]?,? +(?:{_CAP} ){{1,3}}(?i:{STREET})\b\.?")
-_BOX = re.compile(r"(?<!\w)(?:P\. ?O\. ?Box|PO Box|P\.O\.B\.|Post Office Box|Postfach|Apartado(?: de [Cc]orreos)?|Boîte [Pp]ostale|BP|B\.P\.) ?\d{1,5}(?: \d{2,3})*(?!\w)")
-_GERMAN_TWO = re.compile(rf"(?<![\w\-])[{UPPER}][\w\-]+ (?i:straße|strasse|weg|platz|allee|gasse|ring|damm|ufer) \d{{1,4}}(?: ?[a-z](?![\w]))?(?![\w\d])")
+_ENGLISH = re.compile(rf"\d(?<![\w.\-/]\d)\d{{0,3}}[A-Za-z]?,? +(?:{_CAP} ){{1,3}}((?i:{STREET}))\b\.?")
+_NUMBERLESS = re.compile(rf"(?<!\w)(?=[FfUuAaSs])(?i:flat|unit|apt\.?|apartment|suite) ?\d{{1,4}}[A-Za-z]?,? +(?:{_CAP} ){{1,3}}(?i:{STREET})\b\.?")
+_BOX = re.compile(r"(?<!\w)(?=[PAB])(?:P\. ?O\. ?Box|PO Box|P\.O\.B\.|Post Office Box|Postfach|Apartado(?: de [Cc]orreos)?|Boîte [Pp]ostale|BP|B\.P\.) ?\d{1,5}(?: \d{2,3})*(?!\w)")
+_GERMAN_TWO = re.compile(rf"[{UPPER}](?<![\w\-][{UPPER}])[\w\-]+ (?i:straße|strasse|weg|platz|allee|gasse|ring|damm|ufer) \d{{1,4}}(?: ?[a-z](?![\w]))?(?![\w\d])")
 _UNIT = re.compile(r"(?i)\b(?:flat|unit|apt\.?|apartment|suite|room) ?(?:\d{1,4}[A-Za-z]?,? +)?$")
 _CITY = re.compile(rf"(?:,\s*|[\r\n]+)\d{{5}} {_CAP}(?:[ \-]{_CAP})*|, {_CAP}(?:[ \-](?![A-Z]{{1,2}}\d){_CAP})?(?:,? [A-Z]{{1,2}}\d[A-Z\d]? \d[A-Z]{{2}}\b|, [A-Z]{{2}} \d{{5}}(?:-\d{{4}})?(?!\d))?")
 _POSTCODE = re.compile(rf"(?:,\s*|[\r\n]+)\d{{5}} {_CAP}(?:[ \-]{_CAP})*")
-_GERMAN = re.compile(rf"(?<![\w\-])([{UPPER}][\w\-]+\.?) (\d{{1,4}}(?: ?[a-z](?![\w]))?)(?![\w\d])")
+_GERMAN = re.compile(rf"([{UPPER}](?<![\w\-][{UPPER}])[\w\-]+\.?) (\d{{1,4}}(?: ?[a-z](?![\w]))?)(?![\w\d])")
 _ON = re.compile(r"(?i)(?<!\w)(?:am|an der|an den|im|in der|auf dem|auf der|zum|zur) $")
-_FRENCH = re.compile(rf"(?<![\w.\-/])\d{{1,4}}(?: ?(?i:bis|ter|quater))?,? (?i:{FRENCH}) (?i:de la |de l['’]|des |du |de |d['’]|la |le )?{_CAP}(?:[ \-](?:d[eu]s? )?{_CAP})*")
-_SPANISH = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(f) for w in SPANISH for f in (w, w.capitalize(), w.upper()))}) ?(?i:de las |de los |de la |del |de )?{_CAP}(?: {_CAP})*,? (?:n\.º ?|nº ?|núm\. ?)?\d{{1,4}}(?:, ?\d{{1,2}}\.º(?: ?[A-Z]\b)?)?")
+_FRENCH = re.compile(rf"\d(?<![\w.\-/]\d)\d{{0,3}}(?: ?(?i:bis|ter|quater))?,? (?i:{FRENCH}) (?i:de la |de l['’]|des |du |de |d['’]|la |le )?{_CAP}(?:[ \-](?:d[eu]s? )?{_CAP})*")
+_SPANISH = re.compile(rf"(?<!\w)(?=[CPARTcpart])(?:{'|'.join(re.escape(f) for w in SPANISH for f in (w, w.capitalize(), w.upper()))}) ?(?i:de las |de los |de la |del |de )?{_CAP}(?: {_CAP})*,? (?:n\.º ?|nº ?|núm\. ?)?\d{{1,4}}(?:, ?\d{{1,2}}\.º(?: ?[A-Z]\b)?)?")
 _WORD = rf"(?:[{UPPER}][{LOWER}]+|[{UPPER}]{{2,}})"
 _PART = rf"(?:(?:O['’]|D['’])?{_WORD}(?:-(?:O['’])?{_WORD})*|[{UPPER}]\.)"
 _RUN = re.compile(rf"(?<![\w@.'’\-])(?:{PARTICLE})?{_PART}(?:,? (?:{PARTICLE})?{_PART})+(?![\w@]|['’](?!s\b))")
-_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join([t.capitalize() for t in sorted(TITLES - {'m'}, key=len, reverse=True)] + ['MRS', 'MR', 'MS', 'DR', 'PROF', 'HERR', 'FRAU', 'MADAME', 'señora', 'señor', 'doña', 'don', 'monsieur', 'madame', 'sra', 'sr'])})\.? ((?:{PARTICLE})?{_PART})")
-_TOKEN = re.compile(r"\w+", re.UNICODE)
+_TITLED = re.compile(rf"(?<!\w)(?=[A-Zdsm])(?:{'|'.join([t.capitalize() for t in sorted(TITLES - {'m'}, key=len, reverse=True)] + ['MRS', 'MR', 'MS', 'DR', 'PROF', 'HERR', 'FRAU', 'MADAME', 'señora', 'señor', 'doña', 'don', 'monsieur', 'madame', 'sra', 'sr'])})\.? ((?:{PARTICLE})?{_PART})")
+_TOKEN, _DIGIT = re.compile(r"\w+", re.UNICODE), re.compile(r"\d")
 _AFTER = re.compile(rf"(?<![\w\-])((?:{_WORD})(?:-{_WORD})*) (?:[{UPPER}]\. )?(?:{PARTICLE})?((?:O['’])?{_WORD}(?:-(?:O['’])?{_WORD})*)(?!\w)")
 _CAPITALISED = re.compile(rf"(?<!\w){_WORD}")
 _LEADING = re.compile(rf"(?<![\w\-]){_WORD}")
@@ -101,6 +101,24 @@ _LEADS = re.compile(rf"(?<![\w\-])({_WORD})[.:]? (?=({_WORD})(?!\w))")
 _SPLIT = re.compile(rf"(,?) (?:{PARTICLE})?(?=[{UPPER}])")
 
 
+def _lines_with_digits(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the stretches of lines that hold a digit: nothing else can hold a number or an address."""
+    start = end = -1
+    m = _DIGIT.search(text)
+    while m:
+        a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
+        b = len(text) if b < 0 else b
+        if start < 0:
+            start = a
+        elif a > end + 1:
+            yield start, end
+            start = a
+        end = b
+        m = _DIGIT.search(text, b)
+    if start >= 0:
+        yield start, end
+
+
 class Model:
     """Weights and what the sample told about names."""
 
@@ -119,11 +137,14 @@ class Model:
         out: list[tuple[int, int, str, tuple[str, ...]]] = []
         if "email" in types:
             self._emails(text, out)
+        blocks = list(_lines_with_digits(text)) if types & {"phone", "id_number", "address"} else []
         if "phone" in types or "id_number" in types:
-            for m in _NUMBER.finditer(text):
-                self._number(text, m, types, out)
+            for a, b in blocks:
+                for m in _NUMBER.finditer(text, a, b):
+                    self._number(text, m, types, out)
         if "address" in types:
-            self._addresses(text, out)
+            for a, b in blocks:
+                self._addresses(text, a, b, out)
         if "name" in types:
             self._names(text, out)
         return out
@@ -178,7 +199,9 @@ class Model:
             f += [f"{kind_of}:glued={glued}", f"{kind_of}:alone={alone}", f"{kind_of}:shape={shape}", f"{kind_of}:before={before if before in ',;|' else ''}"]
             out.append((s, e, kind_of, tuple(f)))
 
-    def _addresses(self, text: str, out: list) -> None:
+    def _addresses(self, text: str, a: int, b: int, out: list) -> None:
+        """The addresses whose first line lies in text[a:b]; a place and its postcode may follow on the next."""
+
         def add(s: int, e: int, kind: str, city: re.Pattern = _CITY) -> None:
             tail = city.match(text, e)
             end = tail.end() if tail else e
@@ -188,25 +211,25 @@ class Model:
                 noun = bool(right and right.group()[:1].isupper())
                 out.append((s, end, "address", ("address", f"address:kind={kind}", f"address:city={bool(tail)}", f"address:post={post}", f"address:kind={kind},noun={noun}", f"address:length={min(6, text.count(' ', s, e))}")))
 
-        for m in _ENGLISH.finditer(text):
+        for m in _ENGLISH.finditer(text, a, b):
             unit = _UNIT.search(text[max(0, m.start() - 24) : m.start()])
             small = m[1].islower()
             add(m.start() - (len(unit.group()) if unit else 0), m.end(), f"english,{small},{bool(unit)}")
-        for m in _NUMBERLESS.finditer(text):
+        for m in _NUMBERLESS.finditer(text, a, b):
             add(m.start(), m.end(), "unit")
-        for m in _BOX.finditer(text):
+        for m in _BOX.finditer(text, a, b):
             add(m.start(), m.end(), "box")
-        for m in _GERMAN.finditer(text):
+        for m in _GERMAN.finditer(text, a, b):
             suffix = m[1].lower().rstrip(".").endswith(GERMAN)
             on = _ON.search(text[max(0, m.start() - 10) : m.start()])
             post = _POSTCODE.match(text, m.end())
             if suffix or post or on:
                 add(m.start() - (len(on.group()) if on else 0), m.end(), f"german,{suffix},{bool(post)},{bool(on)}", _POSTCODE)
-        for m in _GERMAN_TWO.finditer(text):
+        for m in _GERMAN_TWO.finditer(text, a, b):
             add(m.start(), m.end(), f"german two,{bool(_POSTCODE.match(text, m.end()))}", _POSTCODE)
-        for m in _FRENCH.finditer(text):
+        for m in _FRENCH.finditer(text, a, b):
             add(m.start(), m.end(), "french", _POSTCODE)
-        for m in _SPANISH.finditer(text):
+        for m in _SPANISH.finditer(text, a, b):
             add(m.start(), m.end(), "spanish", _POSTCODE)
 
     def _surname(self, word: str) -> float:
