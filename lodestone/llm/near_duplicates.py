@@ -10,11 +10,12 @@ signatures differ in at most 3 * groups - 1 coordinates collides in some table:
 has at most two of them. At similarity 0.5 a group collides with probability 0.28 and twelve
 groups with 0.98, at 0.55 with 0.996, at 0.6 with 0.9996, at 0.7 and above with more than 0.999999.
 
-Candidates are then checked exactly, on the sets of their word sequences. Texts with the same words form one class and are handled once, so a
-group of copies costs as much as one text. Tables are buckets of key ranges; their number follows the table.
+Candidates are then checked exactly, on the sets of their word sequences (64-bit hashes of them). Texts with the same words form one
+class, a 64-bit hash, and are handled once, so a group of copies costs as much as one text: among ten billion different texts three of 5 * 10^19 pairs
+are expected to share one. Tables are buckets of key ranges; their number follows the table.
 
 A key shared by more than CROWD classes isn't written out in pairs. Its classes are joined exactly
-instead, on the rarest part of their sequences: of two sets above the threshold each has one of its
+instead (a task that sees such a key passes on no more than it takes to see it there), on the rarest part of their sequences: of two sets above the threshold each has one of its
 n - ceil(threshold * n) + 1 rarest sequences among those of the other, whatever the order of rareness.
 
 Nulls and texts with fewer words than a sequence take no part. Repeated rows of an id count once.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.incremental import salted_lookup
-from ..session import materialize
+from ..session import discard, materialize
 
 U64 = np.uint64
 _WORD_LIMIT = 0x32400
@@ -146,8 +147,9 @@ def candidate_pairs(texts: DataFrame, id_col: str, text_col: str, words: int, gr
     """Distinct pairs (class_a, class_b) of classes that collide in a table; of a key that more than
     `crowd` classes share, each class with itself.
 
-    An entry takes ten bytes: seven of the class and three of the key, of which the bucket holds
-    the rest. Entries of a bucket travel as one value per input batch.
+    An entry takes eleven bytes: the class and three of the key, of which the bucket holds
+    the rest. Entries of a bucket travel as one value per input batch. Of a key that more than `crowd` classes of a batch share,
+    crowd + 1 go to its bucket; the others are named under a negative bucket, which any task may take.
     """
     rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     n = texts.count()
@@ -165,14 +167,22 @@ def candidate_pairs(texts: DataFrame, id_col: str, text_col: str, words: int, gr
             _, once = np.unique(cls, return_index=True)
             keys, cls = keys[once], cls[once]
             flat, owner = keys.ravel(), np.repeat(cls, keys.shape[1])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+            size = np.diff(np.r_[first, len(flat)])
+            if size.max() > crowd:
+                rank = np.arange(len(flat)) - np.repeat(first, size)
+                more = np.unique(owner[rank > crowd])
+                flat, owner = flat[rank <= crowd], owner[rank <= crowd]
+                where = -1 - (more % U64(1 << bits)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(where), pa.array([c.tobytes() for c in more], pa.binary())], names=["bucket", "entries"])
             bucket = (flat >> U64(64 - bits)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
-            packed = np.empty((len(order), 10), np.uint8)
-            packed[:, :3] = flat[order].view(np.uint8).reshape(-1, 8)[:, :3]
-            packed[:, 3:] = owner[order].view(np.uint8).reshape(-1, 8)[:, :7]
+            packed = np.empty((len(flat), 11), np.uint8)
+            packed[:, :3] = flat.view(np.uint8).reshape(-1, 8)[:, :3]
+            packed[:, 3:] = owner.view(np.uint8).reshape(-1, 8)
             at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            offsets = (at * 10).astype(np.int32)
+            offsets = (at * 11).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket[at[:-1]]), pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(packed.tobytes())])],
                 names=["bucket", "entries"],
@@ -182,7 +192,7 @@ def candidate_pairs(texts: DataFrame, id_col: str, text_col: str, words: int, gr
         for _, texts_ in _batches(source):
             doc, seq, classes = shingles(texts_, words)
             who, sig = signatures(doc, seq, 7 * groups)
-            held.append((table_keys(sig, groups), classes[who] & U64((1 << 56) - 1)))
+            held.append((table_keys(sig, groups), classes[who]))
             waiting += len(who)
             if waiting >= 20_000:
                 yield from flush()
@@ -193,10 +203,14 @@ def candidate_pairs(texts: DataFrame, id_col: str, text_col: str, words: int, gr
         now, blobs = None, []
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 10)
-            key, cls = np.zeros((len(raw), 4), np.uint8), np.zeros((len(raw), 8), np.uint8)
-            key[:, :3], cls[:, :7] = raw[:, :3], raw[:, 3:]
-            key, cls = key.view(np.uint32).ravel(), cls.view(np.int64).ravel()
+            if now < 0:
+                c = np.unique(np.frombuffer(b"".join(blobs), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(c)], names=["class_a", "class_b"])
+                return
+            raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 11)
+            key = np.zeros((len(raw), 4), np.uint8)
+            key[:, :3] = raw[:, :3]
+            key, cls = key.view(np.uint32).ravel(), np.ascontiguousarray(raw[:, 3:]).view(np.int64).ravel()
             order = np.lexsort((cls, key))
             key, cls = key[order], cls[order]
             new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
@@ -231,9 +245,26 @@ def candidate_pairs(texts: DataFrame, id_col: str, text_col: str, words: int, gr
     return met.distinct()
 
 
-def text_classes(texts: DataFrame, id_col: str, text_col: str, words: int, sets: bool = False) -> DataFrame:
+class Filter:
+    """A bitmap of a fixed size over the hashes of a set, shared with all tasks. It lets every member pass and of the rest a share
+    that grows with the set, up to all: it only spares work, whatever the size of the set."""
+
+    def __init__(self, classes: DataFrame, bits: int = 27):
+        # 64 bits a row: at most 1 << (bits - 6) rows come to the driver
+        at = F.shiftrightunsigned(F.col("class"), 64 - bits)
+        words = classes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(class, {64 - bits}) & 63 as int))")).alias("mask")).toArrow()
+        table = np.zeros(1 << (bits - 6), np.int64)
+        table[words["word"].to_numpy()] = words["mask"].to_numpy()
+        self.bits, self.shared = bits, classes.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def holds(self, classes: np.ndarray) -> np.ndarray:
+        at = classes >> U64(64 - self.bits)
+        return (self.shared.value[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
+
+
+def text_classes(texts: DataFrame, id_col: str, text_col: str, words: int, sets: bool = False, wanted: "Filter | None" = None) -> DataFrame:
     """(id, class) of the texts with at least one sequence; with sets: (class, seqs), the distinct
-    sequences as 32-bit values."""
+    sequences. wanted: a filter that classes must pass, before their sets leave the task."""
     id_type = texts.schema[id_col].dataType.simpleString()
 
     def classify(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,19 +272,19 @@ def text_classes(texts: DataFrame, id_col: str, text_col: str, words: int, sets:
         for ids, texts_ in _batches(source):
             doc, seq, classes = shingles(texts_, words)
             if sets and len(doc):  # a class once for each task, so that copies don't meet in one
-                fresh = np.zeros(len(texts_), bool)
-                for i in np.unique(doc):
+                fresh, present = np.zeros(len(texts_), bool), np.unique(doc)
+                for i in present[wanted.holds(classes[present])] if wanted else present:
                     if (c := int(classes[i])) not in seen:
                         fresh[i] = True
                         seen.add(c)
                 seen = seen if len(seen) < 1_000_000 else set()
                 doc, seq = doc[fresh[doc]], seq[fresh[doc]]
             who = doc[np.r_[True, doc[1:] != doc[:-1]]] if len(doc) else doc
-            cls = pa.array((classes[who] & U64((1 << 56) - 1)).astype(np.int64))
+            cls = pa.array(classes[who].view(np.int64))
             if not sets:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in who], b_type), cls], names=["id", "class"])
                 continue
-            value = (seq >> U64(16)).astype(np.uint32).view(np.int32)
+            value = seq.view(np.int64)
             order = np.lexsort((value, doc))
             doc, value = doc[order], value[order]
             new = np.r_[True, (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])] if len(doc) else np.zeros(0, bool)
@@ -263,7 +294,7 @@ def text_classes(texts: DataFrame, id_col: str, text_col: str, words: int, sets:
 
     b_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type, pa.int64())
     rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    return rows.mapInArrow(classify, "class long, seqs array<int>" if sets else f"id {id_type}, class long")
+    return rows.mapInArrow(classify, "class long, seqs array<bigint>" if sets else f"id {id_type}, class long")
 
 
 def rare_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -285,11 +316,11 @@ def similar_classes(texts: DataFrame, id_col: str, text_col: str, words: int = 5
     pairs = met.where("class_a <> class_b")
     crowded = met.where("class_a = class_b").select(F.col("class_a").alias("class"))
     if not crowded.isEmpty():
-        sets = text_classes(texts, id_col, text_col, words, sets=True).join(crowded, "class", "left_semi").dropDuplicates(["class"])
+        sets = text_classes(texts, id_col, text_col, words, sets=True, wanted=Filter(crowded)).join(crowded, "class", "left_semi").dropDuplicates(["class"])
         pairs = materialize(pairs.unionByName(rare_pairs(materialize(sets, "crowded"), threshold)).distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
-    # of a class at most one row a task gets here
-    sets = text_classes(texts, id_col, text_col, words, sets=True).join(nodes, "class", "left_semi").dropDuplicates(["class"])
+    # of a class at most one row a task gets here, and few classes that no pair has
+    sets = text_classes(texts, id_col, text_col, words, sets=True, wanted=Filter(nodes)).join(nodes, "class", "left_semi").dropDuplicates(["class"])
     a = sets.select(F.col("class").alias("class_a"), F.col("seqs").alias("seqs_a"))
     b = sets.select(F.col("class").alias("class_b"), F.col("seqs").alias("seqs_b"))
     both = F.size(F.array_intersect("seqs_a", "seqs_b"))
@@ -359,7 +390,8 @@ def _all_pairs(links: DataFrame, members: DataFrame, classes: DataFrame, large:
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) of the undirected edges (a, b); a component's name is its smallest node.
-    Large-star and small-star alternate until nothing changes; each round is written to the shared folder."""
+    Large-star and small-star alternate until nothing changes; each round is written to the shared folder and the one before removed.
+    If that takes more than `rounds`, it is an error: no half-made component gets out."""
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         # (u, v): for large-star both directions, for small-star the greater node has its lesser neighbours
@@ -373,13 +405,18 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         return out.where(F.col("u") != F.col("v")).distinct()
 
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct()
-    before = None
+    before = last = None
     for _ in range(rounds):
         now = materialize(star(star(now, True), False), "components")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if last is not None:
+            discard(last)
+        last = now
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"the components weren't complete after {rounds} rounds")
     named = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return named.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(named, "node", "left_anti"))
 

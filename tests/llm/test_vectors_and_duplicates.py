@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.near_duplicates import MASKS, connected_components, near_duplicate_groups, shingles, similar_classes, similar_ids, signatures, text_classes
+from lodestone.llm.near_duplicates import MASKS, Filter, candidate_pairs, connected_components, near_duplicate_groups, shingles, similar_classes, similar_ids, signatures, text_classes
 from lodestone.llm.similar_vectors import build_index, most_similar, placements, similar_pairs, traverse
 
 VECS = "rowid long, embedding array<float>, cell int, id string"
@@ -187,6 +187,28 @@ def test_crowded_keys_are_joined_exactly(spark):
     assert {p for p in want if p[0] in ids.values() and p[1] in ids.values()} == got
 
 
+def test_a_key_that_very_many_share_is_not_sent_to_one_task(spark):
+    rows = [(i, f"one two three four five six seven eight nine ten eleven twelve x{i}") for i in range(400)] + [(900, "other words that are nowhere else at all")]
+    df = spark.createDataFrame(rows, "id long, content string").coalesce(2)
+    met = candidate_pairs(df, "id", "content", 3, 12, crowd=5).collect()
+    assert all(r.class_a == r.class_b for r in met) and len({r.class_a for r in met}) == 400
+    got = [(r.id_a, r.id_b) for r in similar_ids(df, "id", "content", 3, 0.5, whole=True).collect()]
+    assert len(got) == len(set(got)) == 400 * 399 // 2
+
+
+def test_the_filter_lets_all_members_pass(spark):
+    rng = np.random.default_rng(9)
+    members = rng.integers(-(1 << 63), 1 << 63, 500)
+    f = Filter(spark.createDataFrame([(int(m),) for m in members], "class long"), bits=14)
+    assert f.holds(members.view(np.uint64)).all() and f.holds(rng.integers(0, 1 << 63, 2000).astype(np.uint64)).mean() < 0.1
+
+
+def test_components_that_dont_converge_are_an_error(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError, match="complete"):
+        connected_components(edges, rounds=2)
+
+
 def test_many_copies_are_linked_to_the_first(spark):
     text = "one two three four five six seven"
     df = spark.createDataFrame([(i, text) for i in range(40)] + [(99, text + " eight"), (98, text.upper())], "id long, content string")
