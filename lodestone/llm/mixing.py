@@ -1,6 +1,6 @@
 """Mixing sources to target weights, by soft membership and projected-gradient least squares.
 
-1. Membership. A document whose source is a known label belongs to it. For all others a
+1. Membership. A document whose source is a label belongs to it. For all others a
    multinomial naive Bayes classifier over hashed words, fitted on a bounded sample of labelled
    documents with a temperature fitted on held-out ones, gives the posterior of every domain.
 2. Rates. Document d gets a nonnegative rate r_d, at most its cap (the expected max_repeats of its
@@ -29,7 +29,7 @@ from .near_duplicates import word_hashes
 from .tokens import VOCABULARY, token_counts
 
 FEATURES = 1 << 14
-SAMPLE_PER_LABEL = 1_000
+SAMPLE_PER_LABEL, MOST_LABELS = 1_000, 200
 
 
 def _rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,16 +84,21 @@ def normal_label(source: str = "source"):
     return F.lower(F.trim(F.regexp_replace(source, r"\s+", " ")))
 
 
-def memberships(documents: DataFrame, targets: list[tuple[str, float, int]], vocabulary: str = VOCABULARY, seed: int = 3) -> DataFrame:
+def memberships(documents: DataFrame, targets: list[tuple[str, float, int]], vocabulary: str = VOCABULARY, seed: int = 3, sample_per_label: int = SAMPLE_PER_LABEL, most_labels: int = MOST_LABELS) -> DataFrame:
     """(id, label, n_tokens, p array<double>, cap) of the documents with tokens and some share in a
-    target; p follows the order of targets. label is null where the classifier gave p."""
+    target; p follows the order of targets. label is null where the classifier gave p, which is where there is no label. A label that isn't
+    a target is another source, however many there are. The classifier is fitted on at most sample_per_label documents of each
+    target and of the most_labels most frequent other labels."""
     docs = documents.select("doc_id", "text", normal_label().alias("label")).where(F.col("text").isNotNull() & (F.col("text") != "") & F.col("doc_id").isNotNull())
     known = docs.where(F.col("label") != "")
-    # per label at most SAMPLE_PER_LABEL documents, those with the smallest hashes
-    counts = {r.label: r["count"] for r in known.groupBy("label").count().orderBy(F.desc("count")).limit(200).collect()}
+    # per label at most sample_per_label documents, those with the smallest hashes
+    names_of = [t for t, _, _ in targets]
+    sizes = known.groupBy("label").count()
+    others = sizes.where(~F.col("label").isin(names_of)).orderBy(F.desc("count"), "label").limit(most_labels)
+    counts = {r.label: r["count"] for r in sizes.where(F.col("label").isin(names_of)).unionByName(others).collect()}
     rate = F.lit(0.0)
     for label, n in counts.items():
-        rate = F.when(F.col("label") == label, min(1.0, SAMPLE_PER_LABEL / n)).otherwise(rate)
+        rate = F.when(F.col("label") == label, min(1.0, sample_per_label / n)).otherwise(rate)
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) < rate * 1_000_003).select("label", "text").toPandas()
     labels = sorted(set(sample.label))
     index = {s: i for i, s in enumerate(labels)}
@@ -104,7 +109,7 @@ def memberships(documents: DataFrame, targets: list[tuple[str, float, int]], voc
     names = ["doc_id", "label", "n_tokens", "p", "cap"]
     id_type = documents.schema["doc_id"].dataType.simpleString()
     # documents of a known source that isn't a target have no share and aren't tokenised
-    wanted = docs.where(F.col("label").isNull() | (F.col("label") == "") | F.col("label").isin(list(place)) | ~F.col("label").isin(list(counts)))
+    wanted = docs.where(F.col("label").isNull() | (F.col("label") == "") | F.col("label").isin(list(place)))
     counted = token_counts(wanted, "doc_id", "text", ["label", F.when(F.col("label").isin(list(place)), F.lit(None)).otherwise(F.col("text")).alias("soft")], vocabulary).where(F.col("n_tokens") > 0)
 
     def assign(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,11 +167,17 @@ def _sums(members: DataFrame, n: int, of) -> np.ndarray:
 
 
 def fit_rates(members: DataFrame, targets: list[tuple[str, float, int]], total: float | None = None, rounds: int = 40, tolerance: float = 1e-4) -> tuple[float, list[np.ndarray], np.ndarray]:
-    """(first rate, steps, goal of each target in tokens)."""
+    """(first rate, steps, goal of each target in tokens). Documents of one label have one membership and one cap, hence one rate: they are
+    added up once and iterated as one row each. Only documents whose membership the classifier gave are read at every step."""
     n = len(targets)
     pad = lambda v, m: np.r_[v, np.zeros(m - len(v))]
     both = pad(_sums(members, n, lambda t, p, cap, b: np.r_[(t * cap) @ p, t @ p]), 2 * n)
     most, once = both[:n], both[n:]
+    labelled, soft = members.where("label is not null"), members.where("label is null")
+    tokens = pad(_sums(labelled, n, lambda t, p, cap, b: t @ p), n)
+    soft = materialize(soft, "soft")
+    any_soft = not soft.isEmpty()
+    caps = np.array([c for _, _, c in targets], float)
     share = np.array([s for _, s, _ in targets]) * (most > 0)
     if not share.sum():
         return 0.0, [], np.zeros(n)
@@ -177,7 +188,9 @@ def fit_rates(members: DataFrame, targets: list[tuple[str, float, int]], total:
     start = size / max(once.sum(), 1.0)
     steps: list[np.ndarray] = []
     for _ in range(rounds):
-        reached = pad(_sums(members, n, lambda t, p, cap, b: (t * _replay(p, cap, start, steps)) @ p), n)
+        reached = tokens * _replay(np.eye(n), caps, start, steps)
+        if any_soft:
+            reached = reached + pad(_sums(soft, n, lambda t, p, cap, b: (t * _replay(p, cap, start, steps)) @ p), n)
         off = reached - goal
         if np.abs(off).max() <= tolerance * size:
             break

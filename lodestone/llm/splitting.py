@@ -6,7 +6,8 @@ after a clause, 1 at a space, 0 inside a run that had to be cut. Adjacent pairs
 (strength, joint size) and the weakest boundary is merged first, as long as the joint size
 plus the overlap fits the limit. What remains are the pieces. Each piece but the first is
 preceded by an overlap: the end of the piece before it, of at most `overlap` code points, from a
-boundary of atoms on where there is one, and less where the limit leaves no room.
+boundary of atoms on where there is one. Runs that must be cut are cut so that the overlap fits; it is shorter
+only before a run that the limit holds whole, but not together with the overlap.
 
 Only a run without space, tab, CR or LF longer than the limit is cut inside; its text's kind is
 'hard', that of all others 'boundary'. Lines count line feeds.
@@ -26,14 +27,15 @@ _ATOM = re.compile(r"[^ \t\r\n]+|[ \t\r\n]+")
 _SENTENCE, _CLAUSE = re.compile(r"[.!?。！？…][\"'”’»)\]]*$"), re.compile(r"[,;:，；：、)\]}]$")
 
 
-def atoms(text: str, limit: int) -> tuple[list[int], list[int], bool]:
-    """(start of each atom, strength of the boundary before it, whether a run was cut inside)."""
+def atoms(text: str, limit: int, room: int) -> tuple[list[int], list[int], bool]:
+    """(start of each atom, strength of the boundary before it, whether a run was cut inside). Runs above the limit are cut into atoms of
+    `room`, what the limit leaves beside the overlap."""
     starts, strengths, hard, before = [0], [9], False, ""
     for m in _ATOM.finditer(text):
         at, run = m.start(), m.group()
         if run[0] in " \t\r\n":
             # long white space is cut too, but never between CR and LF
-            for k in range(limit, len(run), limit):
+            for k in range(room, len(run), room) if len(run) > limit else ():
                 cut = at + k - (run[k - 1 : k + 1] == "\r\n")
                 if cut > starts[-1]:
                     starts.append(cut)
@@ -48,7 +50,7 @@ def atoms(text: str, limit: int) -> tuple[list[int], list[int], bool]:
                 strengths.append(5)
         else:
             before = run[-4:]
-            for k in range(limit, len(run), limit):
+            for k in range(room, len(run), room) if len(run) > limit else ():
                 starts.append(at + k)
                 strengths.append(0)
                 hard = True
@@ -63,22 +65,30 @@ def split(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, int
     n = len(text)
     if n <= limit:
         return ([(0, 0, n)] if n else []), False
-    starts, strengths, hard = atoms(text, limit)
+    room = limit - overlap
+    starts, strengths, hard = atoms(text, limit, room)
     ends = starts[1:] + [n]
-    # an atom and the white space behind it may exceed the limit together: the white space is cut off
+    # an atom and the white space behind it may exceed their room together: the white space is cut off
     fixed_s, fixed_k = [], []
     for s, e, k in zip(starts, ends, strengths):
         fixed_s.append(s)
         fixed_k.append(k)
-        while e - s > limit:
-            solid = s + len(text[s:e].rstrip(" \t\r\n"))
-            cut = solid if s < solid <= s + limit else s + limit - (text[s + limit - 1 : s + limit + 1] == "\r\n")
-            s = max(cut, s + 1)
+        while True:
+            solid = len(text[s:e].rstrip(" \t\r\n"))
+            bound = room if solid <= room else limit
+            if e - s <= bound:
+                break
+            cut = s + (solid if 0 < solid <= bound else bound)
+            if text[cut - 1 : cut + 1] == "\r\n":
+                cut += -1 if cut - 1 > s else 1
+            if cut >= e:
+                break
+            s = cut
             fixed_s.append(s)
             fixed_k.append(1)
     starts, strengths = fixed_s, fixed_k
     ends = starts[1:] + [n]
-    count, room = len(starts), limit - overlap
+    count = len(starts)
     nxt, prev, end, alive = list(range(1, count + 1)), list(range(-1, count - 1)), ends[:], [True] * count
     heap = [(strengths[i + 1], end[i + 1] - starts[i], i, end[i + 1]) for i in range(count - 1)]
     heapq.heapify(heap)

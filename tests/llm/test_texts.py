@@ -36,6 +36,13 @@ def test_boundaries_are_natural():
         split("x", 5, 5)
 
 
+def test_pieces_of_a_long_run_overlap():
+    pieces, hard = split("x" * 1700, 500, 50)
+    assert hard and [b - s for s, b, _ in pieces] == [0, 50, 50, 50] and [e - s for s, _, e in pieces[1:-1]] == [500, 500]
+    pieces, _ = split("some words before " + "y" * 1000 + " and some after", 500, 50)
+    assert all(b - s == 50 for s, b, e in pieces[2:3]) and "".join(("some words before " + "y" * 1000 + " and some after")[b:e] for _, b, e in pieces) == "some words before " + "y" * 1000 + " and some after"
+
+
 def test_split_table(spark):
     rows = [(1, "x" * 1200, 7), (2, None, 1), (3, "", 1), (4, "short", 1), (5, "line one is here\n" * 60, 10), (5, "line one is here\n" * 60, 10), (6, "word " * 200, None), (7, " " * 1100, 1), (8, "a" * 499 + "\n" + "b" * 100, 3)]
     df = spark.createDataFrame(rows, "id long, content string, start_line int").withColumn("kind", F.lit("clash"))
@@ -150,6 +157,13 @@ def test_mix_reaches_the_shares(spark):
     assert mixing.mix(docs.limit(0), targets).count() == 0 and mixing.mix(docs, targets.limit(0)).count() == 0
 
 
+def test_labels_beyond_the_bound_are_still_other_sources(spark):
+    rows = [(i, "note todo idea list plan the", f"other {i % 5}") for i in range(50)] + [(100 + i, "note todo idea list plan and", "notes") for i in range(3)] + [(200, "note todo idea", None), (201, "note plan idea", " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    members = mixing.memberships(docs, [("notes", 1.0, 2)], most_labels=1)
+    assert sorted(r.doc_id for r in members.collect()) == [100, 101, 102, 200, 201]
+
+
 def test_a_total_beyond_the_supply_exhausts_it(spark):
     targets = spark.createDataFrame([("notes", 0.5, 1), ("rare", 0.5, 2)], "source string, target_share double, max_repeats int")
     docs = documents(spark, 200)
