@@ -1,20 +1,24 @@
 """Repair of text from scanned pages: running headers, page numbers, cut words, misread characters.
 
-Furniture. Lines that look like a title are compared, within their file, with other title-like
-lines that share a word (digits masked, page numbers cut off); a near copy makes both a running header. Number
+Furniture. Lines that look like a title are compared within their file by their skeleton (below) with numbers masked and page
+numbers cut off. Equal ones, or such as differ by a character and by spaces, make each other running headers; that is found
+by grouping what is left of titles that lose a character, never by pairs of titles. Number
 lines in any of the usual styles are page numbers; bare numbers from 1000 on need a neighbour of the
 sequence close by, since tables break into lines of bare numbers too.
 
 Words. All words of the corpus are counted. Frequent forms (a relative frequency
 bounds their number) are grouped by skeleton, in which glyphs that scanners confuse are the same. A
 word is misread where its group has a far more frequent form that the neighbouring words support at least
-as well, or where it becomes a known prefix and a frequent word by undoing one confusion.
+as well, or where it becomes a known prefix and a frequent word by undoing one confusion. How often the word itself stands in the corpus
+is known exactly however rare it is, and so is, for the words in question, how often they and their forms stand beside
+their neighbours: these pairs are counted over all texts and joined to the lines.
 
 Cut words. A word at the end of a line and the first word of the next body line are joined, also across
 page furniture and chunks. The mark stays where the corpus knows the hyphenated form better.
 
 Reflow. SQL windows over blocks of a file give each line its predecessor and successor and the
-paragraph it belongs to; no window holds more than BLOCK chunks of a file.
+paragraph it belongs to. No window holds more than BLOCK chunks of a file; what a block needs of the one before or after
+is taken from one row a block, so that the size of the blocks decides nothing. Only a paragraph that runs on over a whole block is cut.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.incremental import salted_lookup
 from ..session import materialize
+from .near_duplicates import Filter
 
 BLOCK = 4096
 # Glyphs that scanners confuse. Single characters share a class; pairs stand for one letter, or one glyph for a pair.
@@ -72,11 +79,36 @@ def readings(word: str) -> list[str]:
     return out
 
 
+_M64, _STEP, _MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+
+
+@lru_cache(maxsize=300_000)
+def _word_key(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def pair_key(a: str, b: str) -> int:
+    """A signed 64-bit hash of two neighbouring words."""
+    x = (_word_key(a) * _STEP + _word_key(b)) & _M64
+    x = ((x ^ (x >> 32)) * _MIX) & _M64
+    x ^= x >> 29
+    return x - (1 << 64) if x >> 63 else x
+
+
+def pair_keys(words: list[str]) -> np.ndarray:
+    """pair_key() of each two neighbours, unsigned."""
+    h = np.fromiter(map(_word_key, words), np.uint64, len(words))
+    x = h[:-1] * np.uint64(_STEP) + h[1:]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(_MIX)
+    return x ^ (x >> np.uint64(29))
+
+
 class Lexicon:
-    """Frequent forms of the corpus by skeleton, productive prefixes and pairs of frequent neighbours."""
+    """Frequent forms of the corpus by skeleton and productive prefixes. rare: how often a word that isn't frequent, but may be taken for
+    a frequent form, stands in the corpus, where that is three times or more."""
 
-    def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int]):
-        self.counts, self.pairs = counts, pairs
+    def __init__(self, counts: dict[str, int], rare: dict[str, int] | None = None):
+        self.counts, self.rare = counts, rare or {}
         self.forms: dict[str, list[str]] = defaultdict(list)
         for w in counts:
             if w.isalpha() and len(w) > 1:
@@ -93,6 +125,9 @@ class Lexicon:
         self.heads = {w.split("-")[0] for w in counts if "-" in w}
         self.memo: dict[str, tuple[list[str], str | None]] = {}
 
+    def own(self, word: str) -> int:
+        return self.counts.get(word) or self.rare.get(word, 0)
+
     def compound(self, word: str) -> bool:
         return any(word[:c] in self.prefixes and word[c:] in self.counts for c in range(2, len(word) - 3))
 
@@ -102,7 +137,7 @@ class Lexicon:
             return known
         forms, compound = [], None
         if len(word) > 1 and not word.isdigit():
-            own, alien, reads = self.counts.get(word, 0), not word.isalpha(), readings(word)
+            own, alien, reads = self.own(word), not word.isalpha(), readings(word)
             least = 2 * own + 1 if alien else max(20 * own, 1)
             forms = list(dict.fromkeys(f for r in reads for f in self.forms.get(skeleton(r), ()) if f != word and self.counts[f] >= least))
             if not forms and (alien or not own) and len(word) > 4 and (alien or not self.compound(word)):
@@ -119,28 +154,41 @@ class Lexicon:
         self.memo[word] = forms, compound
         return forms, compound
 
-    def right_form(self, word: str, before: str, after: str) -> str | None:
-        """The form that a lower-case word was misread from, or None where it seems right."""
+    def right_form(self, word: str, before: str, after: str, context: dict[int, int] = {}) -> str | None:
+        """The form that a lower-case word was misread from, or None where it seems right. context: how often pairs of
+        neighbours stand in the corpus."""
         forms, compound = self._choices(word)
         if not forms:
             return compound
-        own, alien = self.counts.get(word, 0), not word.isalpha()
-        against = self.pairs.get((before, word), 0) + self.pairs.get((word, after), 0)
+        own, alien = self.own(word), not word.isalpha()
+        beside = lambda w: (context.get(pair_key(before, w), 0) if before else 0) + (context.get(pair_key(w, after), 0) if after else 0)
+        against = beside(word)
         best, best_score = None, 0.0
         for form in forms:
-            n, support = self.counts[form], self.pairs.get((before, form), 0) + self.pairs.get((form, after), 0)
-            if (alien or support > against or own == 0 or (support == against and n >= 200 * own)) and n * (1 + support) > best_score:
+            n, support = self.counts[form], beside(form)
+            # a word that stands once or twice has stood beside its neighbours here
+            if (alien or support > against or own < 3 and support >= against - 2 or (support == against and n >= 200 * own)) and n * (1 + support) > best_score:
                 best, best_score = form, n * (1 + support)
         return best
 
-
-def _frequent(rows: DataFrame, total: int) -> DataFrame:
-    """Forms above a relative frequency, at most 1 / LEAST_SHARE of them, whatever the corpus."""
-    return rows.where(F.col("n") >= max(3.0, LEAST_SHARE * total))
+    def in_question(self, line: str) -> Iterator[tuple[str, str]]:
+        """The pairs of neighbours that right_form() asks for in a line."""
+        lows = [w.lower() for w in _WORD.findall(line)]
+        for k, low in enumerate(lows):
+            parts = low.split("-")
+            for p, part in enumerate(parts):
+                forms = self._choices(part)[0]
+                for w in (part, *forms) if forms else ():
+                    if p == 0 and k:
+                        yield lows[k - 1], w
+                    if p == len(parts) - 1 and k + 1 < len(lows):
+                        yield w, lows[k + 1]
 
 
 def build_lexicon(texts: DataFrame, text_col: str) -> Lexicon:
-    """Counts over all texts, each counted within its task before anything is shuffled."""
+    """Counts over all texts, each counted within its task before anything is shuffled. Frequent is a form with a share of LEAST_SHARE
+    or more of all words, of which there are 1 / LEAST_SHARE at most. (A form must stand twenty times as often as what is
+    taken for it, so one that stands once or twice needs no place.)"""
     rows = texts.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
 
     def words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,40 +210,68 @@ def build_lexicon(texts: DataFrame, text_col: str) -> Lexicon:
 
     counted = materialize(rows.mapInArrow(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     total = counted.agg(F.sum("n")).first()[0] or 0
-    counts = {r.w: r.n for r in _frequent(counted, total).toLocalIterator()}
-    names = sorted(w for w, n in counts.items() if n >= 50 * LEAST_SHARE * total)  # at most 1 / (50 * LEAST_SHARE)
-    common = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
+    least = max(3.0, LEAST_SHARE * total)
+    lexicon = Lexicon({r.w: r.n for r in counted.where(F.col("n") >= least).toLocalIterator()})
+    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
+
+    def confusable(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            words, n = b.column(0).to_pylist(), b.column(1)
+            keep = [k for k, w in enumerate(words) if any(skeleton(r) in shared.value.forms for r in readings(w))]
+            yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in keep], pa.string()), n.take(pa.array(keep, pa.int64()))], names=["w", "n"])
+
+    between = counted.where((F.col("n") >= 3) & (F.col("n") < least))
+    lexicon.rare = {r.w: r.n for r in between.mapInArrow(confusable, "w string, n long").toLocalIterator()}
+    return lexicon
+
+
+def context_counts(lines: DataFrame, texts: DataFrame, text_col: str, lexicon: Lexicon) -> DataFrame:
+    """(id, line_no, context): for each line with words in question, how often the pairs of neighbours that matter stand in all texts."""
+    shared = lines.sparkSession.sparkContext.broadcast(lexicon)
+
+    def ask(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            at, keys = [], []
+            for k, line in enumerate(b.column(2).to_pylist()):
+                found = {pair_key(x, y) for x, y in shared.value.in_question(line)}
+                at += [k] * len(found)
+                keys += found
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(keys, pa.int64())], names=["id", "line_no", "class"])
 
-    def neighbours(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held, size = common.value, [], 0
+    asked = materialize(lines.select("id", "line_no", "line").mapInArrow(ask, f"id {lines.schema['id'].dataType.simpleString()}, line_no int, class long"), "asked")
+    wanted = Filter(asked)
+
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["pair", "n"])
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["class", "n"])
 
         for b in source:
             for text in b.column(0).to_pylist():
-                ids = np.array([place.get(w, -1) for w in whole_words(text)], np.int64)
-                held.append((ids[:-1] * len(place) + ids[1:])[(ids[:-1] >= 0) & (ids[1:] >= 0)])
-                size += len(ids)
+                keys = pair_keys(whole_words(text))
+                held.append(keys[wanted.holds(keys)])
+                size += len(held[-1])
             if size > 2_000_000:
                 yield out()
                 held, size = [], 0
         if held:
             yield out()
 
-    met = rows.mapInArrow(neighbours, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = {(names[r.pair // len(names)], names[r.pair % len(names)]): r.n for r in _frequent(met, total).toLocalIterator()} if names else {}
-    return Lexicon(counts, pairs)
+    met = texts.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).mapInArrow(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
+    return asked.join(met, "class").groupBy("id", "line_no").agg(F.collect_list(F.struct("class", "n")).alias("context"))
 
 
 def scanned_lines(chunks: DataFrame, files: DataFrame, suffix: str = ".pdf") -> DataFrame:
-    """(file_id, chunk_index, id, line_no, line) of the chunks of files with this suffix, split at
+    """(file_id, chunk_index, id, line_no, line, last) of the chunks of files with this suffix, split at
     line feeds. Repeated rows of chunks and files count once; null contents have no lines."""
     wanted = files.where(F.lower("path").endswith(suffix)).select(F.col("id").alias("file_id")).distinct()
     rows = chunks.where(F.col("content").isNotNull()).select("id", "file_id", F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"), "content")
     rows = salted_lookup(rows, wanted, "file_id", F.col("id")).dropDuplicates(["id"])
-    return rows.select("file_id", "chunk_index", "id", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    split = rows.select("file_id", "chunk_index", "id", F.split("content", "\n", -1).alias("all"))
+    return split.select("file_id", "chunk_index", "id", F.size("all").alias("n"), F.posexplode("all").alias("line_no", "line")).select("file_id", "chunk_index", "id", (F.col("line_no") + 1).alias("line_no"), "line", (F.col("line_no") + 1 == F.col("n")).alias("last"))
 
 
 # The ways in which page numbers are written; 9 stands for digits, also misread ones.
@@ -207,6 +283,26 @@ SMALL_WORDS = r"(?:^|[ .])\p{Ll}[^ .]*[ .](?:.*[ .])?\p{Ll}"
 TITLE_NUMBER = rf"^{DIGITS}\s{{2,}}|\s{{2,}}{DIGITS}$|^(?:[0-9]{{1,4}})\s*[|·–-]\s+|\s+[|·–-]\s*(?:[0-9]{{1,4}})$"
 
 
+def title_skeleton(title):
+    """Lower case, numbers masked, and glyphs that scanners confuse made the same."""
+    return _same_glyphs(F.regexp_replace(F.lower(title), r"(?<![\p{L}0-9])[0-9]+(?![\p{L}0-9])", "#"))
+
+
+def _same_glyphs(text):
+    for pair, letter in sorted(PAIRS.items(), key=lambda x: x[0] == "ri"):  # ri comes last, for ii and rn share its letters
+        if len(pair) >= len(letter):
+            text = F.replace(text, F.lit(pair), F.lit(letter))
+    return F.translate(text, "".join(CLASSES), "".join(CLASSES.values()))
+
+
+def near_title_marks(key):
+    """Hashes that two titles share if they differ by a character, spaces aside: the title without its spaces, and that without
+    one of its characters."""
+    whole = _same_glyphs(F.replace(key, F.lit(" "), F.lit("")))
+    without = F.transform(F.sequence(F.lit(1), F.length(whole)), lambda k: F.xxhash64(F.concat(F.substring(whole, F.lit(1), k - 1), whole.substr(k + 1, F.length(whole)))))
+    return F.array_distinct(F.concat(without, F.array(F.xxhash64(whole))))
+
+
 def furniture(lines: DataFrame) -> DataFrame:
     """(id, line_no, noise) of headers and page numbers."""
     short = (
@@ -235,16 +331,20 @@ def furniture(lines: DataFrame) -> DataFrame:
     plain = F.col("s").rlike("[0-9]")
     value = F.when(F.col("s").rlike(BARE) & (plain | ~F.col("s").rlike(ROMAN)), digits.try_cast("int")).otherwise(roman("i", 1) + roman("v", 5) + roman("x", 10) + roman("l", 50) + roman("c", 100) - minus)
     numbers = numbers.withColumn("v", value).withColumn("roman", ~plain & F.col("s").rlike(ROMAN)).where(F.col("v").isNotNull())
-    near = numbers.select("file_id", "roman", F.col("chunk_index").alias("c2"), F.explode(F.array(F.col("v") - 1, F.col("v") + 1)).alias("v")).distinct()
-    joined = numbers.join(near, ["file_id", "roman", "v"], "left").where(F.col("c2").isNull() | (F.abs(F.col("c2") - F.col("chunk_index")) <= 12))
+    # a number meets those of its stretch of twelve chunks and the two beside it, not all of its file
+    numbers = numbers.withColumn("stretch", F.floor(F.col("chunk_index") / 12).cast("int"))
+    near = (
+        numbers.select("file_id", "roman", F.col("chunk_index").alias("c2"), "v", F.explode(F.array(F.col("stretch") - 1, F.col("stretch"), F.col("stretch") + 1)).alias("stretch"))
+        .select("file_id", "roman", "c2", "stretch", F.explode(F.array(F.col("v") - 1, F.col("v") + 1)).alias("v")).distinct()
+    )
+    joined = numbers.join(near, ["file_id", "roman", "v", "stretch"], "left").where(F.col("c2").isNull() | (F.abs(F.col("c2") - F.col("chunk_index")) <= 12))
     supported = joined.groupBy("id", "line_no").agg(F.count("c2").alias("n"))
     sequence = numbers.join(supported, ["id", "line_no"], "left").where((F.coalesce("n", F.lit(0)) > 0) | F.when(F.col("roman"), F.col("v") <= 50).otherwise(plain & (F.col("v") < 1000)))
-    titled = short.where("title").withColumn("key", F.lower(F.regexp_replace("t", r"[0-9]+", "0")))
+    titled = short.where("title").withColumn("key", title_skeleton(F.col("t")))
     times = titled.groupBy("file_id", "key").agg(F.count(F.lit(1)).alias("n"))
-    pieces = times.select("file_id", "key", F.explode(F.array_distinct(F.filter(F.split("key", r"[ .,]"), lambda w: F.length(w) >= 3))).alias("w"))
-    other = pieces.withColumnRenamed("key", "key2")
-    allowed = F.greatest(F.lit(1), (F.length("key") * 0.12).cast("int"))
-    alike = pieces.join(other, ["file_id", "w"]).where((F.col("key") != F.col("key2")) & (F.levenshtein("key", "key2") <= allowed)).select("file_id", "key").distinct()
+    marks = times.select("file_id", "key", F.explode(near_title_marks(F.col("key"))).alias("mark"))
+    shared = marks.groupBy("file_id", "mark").agg((F.min("key") != F.max("key")).alias("several")).where("several").select("file_id", "mark")
+    alike = marks.join(shared, ["file_id", "mark"], "left_semi").select("file_id", "key")
     headers = titled.join(times.where("n > 1").select("file_id", "key").unionByName(alike).distinct(), ["file_id", "key"], "left_semi")
     found = (
         styled.select("id", "line_no", F.lit("page_number").alias("noise"))
@@ -270,7 +370,7 @@ def _first_word(line: str) -> str:
     return m.group() if m and not line[: m.start()].strip() else ""
 
 
-def mend_line(line: str, before: str | None, after: str | None, lexicon: Lexicon) -> tuple[set[str], str, bool]:
+def mend_line(line: str, before: str | None, after: str | None, lexicon: Lexicon, context: dict[int, int] = {}) -> tuple[set[str], str, bool]:
     """(noises, repaired line, whether it takes the first word of the next line). before and after are the
     neighbouring body lines. Where the line before was cut, its first word is dropped, as that line has it."""
     noises: set[str] = set()
@@ -301,7 +401,7 @@ def mend_line(line: str, before: str | None, after: str | None, lexicon: Lexicon
             low = part.lower()
             prev = lows[k - 1] if p == 0 and k else ""
             nxt = lows[k + 1] if p == len(parts) - 1 and k + 1 < len(lows) else ""
-            form = lexicon.right_form(low, prev, nxt)
+            form = lexicon.right_form(low, prev, nxt, context)
             if form:
                 noises.add("misread")
                 part = form.upper() if part.isupper() and len(part) > 1 else form.capitalize() if part[:1].isupper() else form
@@ -339,17 +439,39 @@ def mend_line(line: str, before: str | None, after: str | None, lexicon: Lexicon
     return noises, body, bool(cut)
 
 
-def _body(lines: DataFrame, marks: DataFrame) -> DataFrame:
-    """Body lines with their neighbours within a block of the file, and whether space precedes them."""
-    kept = lines.join(marks.select("id", "line_no"), ["id", "line_no"], "left_anti")
-    kept = kept.withColumn("block", (F.col("chunk_index") / BLOCK).cast("int")).withColumn("blank", F.trim(F.regexp_replace("line", "[\r\t]", " ")) == "")
-    order = Window.partitionBy("file_id", "block").orderBy("chunk_index", "id", "line_no")
+def _body(lines: DataFrame, marks: DataFrame, context: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Body lines with the lines before and after them in their file, whether blank lines precede them, and
+    para, where their paragraph starts: (block, chunk_index, id, line_no)."""
+    info = marks.select("id", "line_no", "noise").join(context, ["id", "line_no"], "full_outer")
+    kept = lines.join(info, ["id", "line_no"], "left").where(F.col("noise").isNull()).drop("noise")
     # the last element after the split of a chunk that ends in a line feed isn't a line
-    last = Window.partitionBy("id")
-    kept = kept.withColumn("ends", (F.col("line") == "") & (F.col("line_no") == F.max("line_no").over(last)))
-    kept = kept.where(~F.col("ends")).withColumn("gap", F.lag("blank", 1, True).over(order))
-    body = kept.where(~F.col("blank"))
-    return body.withColumn("before", F.lag("line").over(order)).withColumn("after", F.lead("line").over(order))
+    kept = kept.where((F.col("line") != "") | ~F.col("last")).withColumn("block", F.floor(F.col("chunk_index") / block).cast("int")).withColumn("blank", F.trim(F.regexp_replace("line", "[\r\t]", " ")) == "")
+    kept = kept.select("file_id", "block", "chunk_index", "id", "line_no", "line", "blank", "context").repartition("file_id", "block")
+    place = F.struct("chunk_index", "id", "line_no")
+    order = Window.partitionBy("file_id", "block").orderBy("chunk_index", "id", "line_no")
+    # one row a block: its first and last body line, and whether it ends blank
+    edges = kept.groupBy("file_id", "block").agg(
+        F.min_by(F.when(~F.col("blank"), F.col("line")), F.when(~F.col("blank"), place)).alias("first"), F.max_by(F.when(~F.col("blank"), F.col("line")), F.when(~F.col("blank"), place)).alias("last"), F.max_by("blank", place).alias("ends_blank")
+    )
+    along = Window.partitionBy("file_id").orderBy("block")
+    earlier, later = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    edges = edges.select("file_id", "block", F.last("last", True).over(earlier).alias("came"), F.first("first", True).over(later).alias("comes"), F.lag("ends_blank").over(along).alias("came_blank"))
+    body = kept.withColumn("gap", F.lag("blank").over(order)).where(~F.col("blank"))
+    body = body.withColumn("before", F.lag("line").over(order)).withColumn("after", F.lead("line").over(order)).join(edges, ["file_id", "block"])
+    return body.select("file_id", "block", "chunk_index", "id", "line_no", "line", F.coalesce("gap", "came_blank", F.lit(True)).alias("gap"), F.coalesce("before", "came").alias("before"), F.coalesce("after", "comes").alias("after"), "context")
+
+
+def _numbered(body: DataFrame) -> DataFrame:
+    """With para: a paragraph's number in its file, the hash of where it starts."""
+    starts = (F.col("gap") & ~F.coalesce(F.col("before").rlike(rf"[{MARKS}][ \t\r]*$"), F.lit(False))) | F.col("line").rlike(r"^\s{2,}\S") | F.col("before").isNull()
+    marked = body.withColumn("start", F.when(starts, F.struct("block", "chunk_index", "id", "line_no")))
+    order = Window.partitionBy("file_id", "block").orderBy("chunk_index", "id", "line_no")
+    marked = marked.withColumn("own", F.last("start", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = marked.groupBy("file_id", "block").agg(F.max("own").alias("last_start"), F.min(F.struct("block", "chunk_index", "id", "line_no")).alias("first_line"))
+    along = Window.partitionBy("file_id").orderBy("block")
+    # the block before this one: its last paragraph, or all of it where it runs on over the whole block
+    carried = ends.select("file_id", "block", F.lag(F.coalesce("last_start", "first_line")).over(along).alias("carried"))
+    return marked.join(carried, ["file_id", "block"]).withColumn("para", F.coalesce("own", "carried"))
 
 
 def _mended(body: DataFrame, lexicon: Lexicon, schema: str, rows) -> DataFrame:
@@ -362,47 +484,52 @@ def _mended(body: DataFrame, lexicon: Lexicon, schema: str, rows) -> DataFrame:
     return body.mapInArrow(mend, schema)
 
 
-def noise_places(chunks: DataFrame, files: DataFrame, suffix: str = ".pdf") -> DataFrame:
+def _prepared(chunks: DataFrame, files: DataFrame, suffix: str, block: int) -> tuple[Lexicon, DataFrame, DataFrame]:
+    """(lexicon, furniture, body lines)."""
+    lexicon = build_lexicon(chunks, "content")
+    lines = materialize(scanned_lines(chunks, files, suffix), "lines")
+    marks = materialize(furniture(lines), "furniture")
+    context = materialize(context_counts(lines, chunks, "content", lexicon), "context")
+    return lexicon, marks, _body(lines, marks, context, block)
+
+
+def _context(rows: list | None) -> dict[int, int]:
+    return {r["class"]: r["n"] for r in rows} if rows else {}
+
+
+def noise_places(chunks: DataFrame, files: DataFrame, suffix: str = ".pdf", block: int = BLOCK) -> DataFrame:
     """(id, line_no, noise) of all noise; see TESTDATA.md for its kinds.
 
     Nulls in content or path: no rows. Repeated rows count once. Empty tables give an empty result.
     Words are counted over all chunks, also those of other files. Extra columns are not read.
     """
-    lexicon = build_lexicon(chunks, "content")
-    lines = materialize(scanned_lines(chunks, files, suffix), "lines")
-    marks = materialize(furniture(lines), "furniture")
+    lexicon, marks, body = _prepared(chunks, files, suffix, block)
 
     def rows(b: pa.RecordBatch, lex: Lexicon) -> pa.RecordBatch:
         out: list[tuple] = []
-        for i, n, line, before, after in zip(*(c.to_pylist() for c in b.columns)):
-            for noise in sorted(mend_line(line, before, after, lex)[0]):
+        for i, n, line, before, after, context in zip(*(c.to_pylist() for c in b.columns)):
+            for noise in sorted(mend_line(line, before, after, lex, _context(context))[0]):
                 out.append((i, n, noise))
         cols = list(zip(*out)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], names=["id", "line_no", "noise"])
 
-    body = _body(lines, marks).select(F.col("id").cast("long").alias("id"), "line_no", "line", "before", "after")
+    body = body.select(F.col("id").cast("long").alias("id"), "line_no", "line", "before", "after", "context")
     return marks.select(F.col("id").cast("long").alias("id"), "line_no", "noise").unionByName(_mended(body, lexicon, "id long, line_no int, noise string", rows))
 
 
-def paragraphs(chunks: DataFrame, files: DataFrame, suffix: str = ".pdf") -> DataFrame:
+def paragraphs(chunks: DataFrame, files: DataFrame, suffix: str = ".pdf", block: int = BLOCK) -> DataFrame:
     """(file_id, first_id, first_line, text): the repaired paragraphs, with the chunk and the line they
-    start in. A paragraph starts after a blank line, at an indented line and at a block of BLOCK chunks."""
-    lexicon = build_lexicon(chunks, "content")
-    lines = materialize(scanned_lines(chunks, files, suffix), "lines")
-    marks = materialize(furniture(lines), "furniture")
-    body = _body(lines, marks)
-    order = Window.partitionBy("file_id", "block").orderBy("chunk_index", "id", "line_no")
-    starts = body.withColumn("starts", (F.col("gap") & ~F.coalesce(F.col("before").rlike(rf"[{MARKS}][ \t\r]*$"), F.lit(False))) | F.col("line").rlike(r"^\s{2,}\S") | F.col("before").isNull())
-    numbered = starts.withColumn("paragraph", F.sum(F.col("starts").cast("int")).over(order))
+    start in. A paragraph starts after a blank line and at an indented line; one that runs on over a whole block of chunks is cut at blocks."""
+    lexicon, _, body = _prepared(chunks, files, suffix, block)
 
     def rows(b: pa.RecordBatch, lex: Lexicon) -> pa.RecordBatch:
-        text = [mend_line(line, before, after, lex)[1].strip() for line, before, after in zip(*(b.column(k).to_pylist() for k in (6, 7, 8)))]
-        return pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(text, pa.string())], names=["file_id", "block", "paragraph", "chunk_index", "id", "line_no", "text"])
+        text = [mend_line(line, before, after, lex, _context(context))[1].strip() for line, before, after, context in zip(*(b.column(k).to_pylist() for k in (5, 6, 7, 8)))]
+        return pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(text, pa.string())], names=["file_id", "para", "chunk_index", "id", "line_no", "text"])
 
-    mended = _mended(numbered.select("file_id", "block", "paragraph", "chunk_index", "id", "line_no", "line", "before", "after"), lexicon,
-                     "file_id long, block int, paragraph long, chunk_index int, id long, line_no int, text string", rows)
+    numbered = _numbered(body).select("file_id", F.to_json("para").alias("para"), "chunk_index", "id", "line_no", "line", "before", "after", "context")
+    mended = _mended(numbered, lexicon, "file_id long, para string, chunk_index int, id long, line_no int, text string", rows)
     return (
-        mended.groupBy("file_id", "block", "paragraph")
+        mended.groupBy("file_id", "para")
         .agg(F.sort_array(F.collect_list(F.struct("chunk_index", "id", "line_no", "text"))).alias("parts"))
         .select("file_id", F.col("parts")[0]["id"].alias("first_id"), F.col("parts")[0]["line_no"].alias("first_line"),
                 F.array_join(F.filter(F.transform("parts", lambda p: p["text"]), lambda t: t != ""), " ").alias("text"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, personal_data as pii, personal_training
 from lodestone.llm.packing import fills, pack, sum_of_squares
-from lodestone.llm.scanned_text import Lexicon, mend_line, noise_places, paragraphs, readings, skeleton, whole_words
+from lodestone.llm.scanned_text import Lexicon, mend_line, near_title_marks, noise_places, pair_key, pair_keys, paragraphs, readings, skeleton, title_skeleton, whole_words
 from lodestone.llm.splitting import split, split_oversized
 from lodestone.llm.tokens import VOCABULARY, encoding, token_counts
 
@@ -191,7 +191,7 @@ def lexicon(*texts):
     for t in texts * 40:
         for w in whole_words(t):
             counts[w] = counts.get(w, 0) + 1
-    return Lexicon(counts, {})
+    return Lexicon(counts)
 
 
 LEX = lexicon("the quick modern barrel was delivered before the well-known harbour opened and nobody noticed window clerk")
@@ -233,6 +233,36 @@ def test_noise_and_paragraphs(spark):
     assert noise_places(chunks.limit(0), files).count() == 0 and noise_places(chunks, files.limit(0)).count() == 0 and paragraphs(chunks.limit(0), files).count() == 0
 
 
+def test_blocks_decide_nothing(spark):
+    chunks, files = pdf(spark)
+    one, many = ({tuple(r) for r in noise_places(chunks, files, block=b).collect()} for b in (1, 4096))
+    assert one == many and one
+    # paragraphs that start in one chunk and end in the next
+    later = chunks.withColumn("content", F.replace("content", F.lit("opened and"), F.lit("opened.\n  And")))
+    a, b = (sorted((r.first_id, r.first_line, r.text) for r in paragraphs(later, files, block=b).collect()) for b in (1, 4096))
+    assert a == b and len(a) == 6
+
+
+def test_context_and_exact_counts(spark):
+    # 'bat' is a rare but real word, and no misread 'hat': it stands beside its own neighbours
+    rows = [(k, 2, k, "she wore the red hat today and the red hat tomorrow\n" * 10) for k in range(30)] + [(100 + k, 2, 100 + k, "the wooden bat broke\n") for k in range(4)]
+    rows += [(900, 1, 0, "the wooden bat broke\nshe wore the red bat today\n")]
+    chunks = spark.createDataFrame(rows, "id long, file_id long, chunk_index int, content string")
+    files = spark.createDataFrame([(1, "/s.pdf"), (2, "/n.md")], "id long, path string")
+    assert [(r.id, r.line_no, r.noise) for r in noise_places(chunks, files).collect()] == [(900, 2, "misread")]
+    words = ["one", "two", "thr\u00e9e"]
+    assert [int(k) for k in pair_keys(words).view(np.int64)] == [pair_key("one", "two"), pair_key("two", "thr\u00e9e")]
+
+
+def test_titles_with_misread_characters(spark):
+    titles = ["Harbour Notes Weekly", "Harhour Nofes Weekly", "HarbourNotes Weekly", "Harbour Nxtes Weekly", "Modern Times Today", "Another Title Entirely"]
+    df = spark.createDataFrame([(t,) for t in titles], "t string").select("t", title_skeleton(F.col("t")).alias("k")).withColumn("m", near_title_marks(F.col("k")))
+    got = {r.t: (r.k, set(r.m)) for r in df.collect()}
+    base = got[titles[0]]
+    assert got[titles[1]][0] == base[0] and base[1] & got[titles[2]][1] and base[1] & got[titles[3]][1]
+    assert not base[1] & got[titles[4]][1] and not base[1] & got[titles[5]][1]
+
+
 # -- personal data
 
 
