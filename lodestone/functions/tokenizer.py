@@ -6,7 +6,8 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 # Code point ranges of CJK ideographs.
@@ -32,7 +33,7 @@ class WordPiece:
             raise ValueError("max_length must leave room for a token between [CLS] and [SEP]")
         self.vocab, self.max_length, self.lowercase, self.clean, self.cjk, self.max_word = vocab, max_length, lowercase, clean, cjk, max_word
         self.strip = lowercase if strip_accents is None else strip_accents
-        self._known: dict[str, list[str]] = {}
+        self._known: dict[str, list[int]] = {}
 
     @classmethod
     def load(cls, path: str) -> "WordPiece":
@@ -102,33 +103,49 @@ class WordPiece:
             at = end
         return out
 
+    def _pieces_of(self, word: str) -> list[int]:
+        found = self._known.get(word)
+        if found is None:
+            if len(self._known) > 200_000:
+                self._known.clear()
+            found = self._known[word] = [self.vocab[t] for t in self.pieces(word)]
+        return found
+
     def tokens(self, text: str) -> list[str]:
-        out: list[str] = []
-        for w in self.words(self.normalize(text)):
-            found = self._known.get(w)
-            if found is None:
-                if len(self._known) > 200_000:
-                    self._known.clear()
-                found = self._known[w] = self.pieces(w)
-            out += found
-        return out
+        return [t for w in self.words(self.normalize(text)) for t in self.pieces(w)]
 
     def count(self, text: str) -> int:
-        return len(self.tokens(text))
+        return sum(len(self._pieces_of(w)) for w in self.words(self.normalize(text)))
+
+    def ids(self, text: str) -> list[int]:
+        """The ids of a text between [CLS] and [SEP], as many as max_length has room for."""
+        out, room = [self.vocab["[CLS]"]], self.max_length - 1
+        for w in self.words(self.normalize(text)):
+            out += self._pieces_of(w)
+            if len(out) >= room:
+                break
+        return [*out[:room], self.vocab["[SEP]"]]
 
     def encode(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """(ids, attention mask, type ids), each of max_length."""
-        ids = [self.vocab["[CLS]"], *(self.vocab[t] for t in self.tokens(text)[: self.content_budget]), self.vocab["[SEP]"]]
+        ids = self.ids(text)
         pad = self.max_length - len(ids)
         return ids + [self.vocab["[PAD]"]] * pad, [1] * len(ids) + [0] * pad, [0] * self.max_length
 
 
 def encode_column(text: Column, tokenizer: WordPiece) -> Column:
     """struct(ids, mask, type_ids) by an Arrow batch at a time; null stays null."""
-
-    @F.pandas_udf("struct<ids:array<bigint>,mask:array<bigint>,type_ids:array<bigint>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([tokenizer.encode(t if t is not None else "") for t in s], columns=["ids", "mask", "type_ids"])
+    length = tokenizer.max_length
+
+    @F.arrow_udf("struct<ids:array<bigint>,mask:array<bigint>,type_ids:array<bigint>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            ids = np.full((len(texts), length), tokenizer.vocab["[PAD]"], np.int64)
+            mask = np.zeros((len(texts), length), np.int64)
+            for r, t in enumerate(texts.to_pylist()):
+                row = tokenizer.ids(t or "")
+                ids[r, : len(row)], mask[r, : len(row)] = row, 1
+            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * length)
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (ids, mask, np.zeros_like(ids))], names=["ids", "mask", "type_ids"])
 
     return F.when(text.isNotNull(), run(text))

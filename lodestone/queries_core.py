@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .embed import HashEmbedder, embed_column
 from .functions.paths import DEFAULT_MB, MB_BY_TYPE, MEDIA_EXTENSIONS, TEXT_EXTENSIONS, GitignoreRule, base_name, classify, directories, extension, gitignored, hidden_or_ignored, matches_any, size_limit, too_large
-from .functions.text import clean_extracted, clean_text, elapsed, file_uri, label, page_marked, pre_tokens, snippet, space_out_cjk
+from .functions.text import CJK, clean_extracted, clean_text, elapsed, file_uri, label, page_marked, pre_tokens, snippet, space_out_cjk
 from .functions.tokenizer import WordPiece, encode_column
 from .functions.vectors import l2_normalize, score
 from .operators.chunking import fixed_chunks, token_chunks
 from .operators.incremental import VersionedTarget, chunk_target, latest_sighting, replay_chunks, replay_runs
 from .operators.knn import diversify, join_chunks, join_media, mean_vectors, nearest, nearest_batch, post_filter
-from .operators.store import missing_files, replace_children, unchanged, upsert_files
-from .plans.index import run_stats
+from .operators.store import IndexStore, missing_files, replace_children, unchanged, upsert_files
+from .plans.index import index_directory, run_stats
+from .plans.search import Options, search
 from .session import scratch_path, table
 
 
@@ -155,10 +160,10 @@ def chunk_hashes(spark, sf_dir):
 
 def chunk_token_aware(spark, sf_dir):
     """Chunks that also keep within 126 words."""
-    return token_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", _words, 126).withColumnRenamed("id", "doc_id")
+    return token_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", _count_words, 126).withColumnRenamed("id", "doc_id")
 
 
-def _words(text: str) -> int:
+def _count_words(text: str) -> int:
     return len(text.split())
 
 
@@ -185,12 +190,15 @@ def pre_token_counts(spark, sf_dir):
 
 
 def word_pieces(spark, sf_dir):
-    """Encodings of chunk contents with a small vocabulary of letters and frequent endings."""
-    tokens = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz0123456789.,-", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789"), "the", "and", "##ing", "##ed"]
-    tokenizer = WordPiece({t: i for i, t in enumerate(tokens)})
-    rows = table(spark, sf_dir, "chunks").where("content is not null")
+    """Encodings of chunk contents with a small vocabulary of letters and frequent endings: all ids but the padding."""
+    tokenizer = WordPiece({t: i for i, t in enumerate(PIECES)})
+    rows = table(spark, sf_dir, "chunks").where("content is not null").select("id", "content").dropDuplicates(["id"])
     encoded = rows.select("id", encode_column(F.col("content"), tokenizer).alias("e"))
-    return encoded.select("id", F.aggregate("e.mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_ids"), F.slice("e.ids", 1, 8).alias("first_ids")).distinct()
+    n = F.aggregate("e.mask", F.lit(0), lambda s, x: s + x.cast("int"))
+    return encoded.select("id", n.cast("long").alias("n_ids"), F.array_join(F.slice("e.ids", F.lit(1), n), " ").alias("ids"))
+
+
+PIECES = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz0123456789.,-", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789"), "the", "and", "##ing", "##ed"]
 
 
 def hash_embedding_norms(spark, sf_dir):
@@ -211,6 +219,55 @@ def index_documents(spark, sf_dir):
     return per_document.join(rows.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum("n").alias("n_chunks"), F.round(F.sum("norm") / F.sum("n"), 4).alias("mean_norm"))
 
 
+def _tree(spark: SparkSession, sf_dir: str) -> IndexStore:
+    """The documents written out as files of a tree in the shared folder, scanned, extracted, chunked, embedded and stored; then a
+    fifth of them changed and the tree indexed again."""
+    base = scratch_path(spark, "tree")
+    if not base.startswith(("file:", "/")):
+        raise ValueError("the tree must lie on a file system that is mounted everywhere")
+    root = base.removeprefix("file://")
+
+    def put(rows: DataFrame) -> None:
+        def write(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in source:
+                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    folder = f"{root}/files/{i % 97}"
+                    os.makedirs(folder, exist_ok=True)
+                    with open(f"{folder}/{i}.txt", "wb") as f:
+                        f.write(text.encode())
+                    if text.startswith("CHANGED "):
+                        os.utime(f"{folder}/{i}.txt", (1, 1))  # so that the time differs within a second too
+                yield b.select([0])
+
+        rows.mapInArrow(write, "doc_id long").write.format("noop").mode("overwrite").save()
+
+    documents = table(spark, sf_dir, "documents").where("text is not null and doc_id is not null").select("doc_id", "text")
+    os.makedirs(f"{root}/files", exist_ok=True)
+    put(documents)
+    store = IndexStore(spark, f"file://{root}/index")
+    index_directory(spark, f"{root}/files", store, HashEmbedder())
+    put(documents.where("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("CHANGED "), "text")))
+    index_directory(spark, f"{root}/files", store, HashEmbedder())
+    return store
+
+
+def indexed_tree(spark, sf_dir):
+    """What the index of that tree holds, by file and chunk."""
+    store = _tree(spark, sf_dir)
+    files = store.read("files").select(F.col("id").alias("file_id"), base_name(F.col("path")).alias("name"))
+    chunks = store.read("chunks").join(files, "file_id").join(store.read("vec_chunks").select(F.col("rowid").alias("id")), "id", "left_semi")
+    return chunks.select("name", "chunk_index", "content", "start_line", "end_line", (F.lower(F.hex("content_hash")) == F.sha2("content", 256)).alias("is_hashed"))
+
+
+def found_in_tree(spark, sf_dir):
+    """The scores of the five results for the first eight words of the first long document, with two results of a file at most."""
+    store = _tree(spark, sf_dir)
+    words = F.filter(F.split("text", r"[\s\x1C-\x1F\x85\p{Z}]+"), lambda w: w != "")
+    query = table(spark, sf_dir, "documents").where((F.size(words) >= 8) & (F.col("doc_id") % 5 != 0)).agg(F.min_by(F.array_join(F.slice(words, 1, 8), " "), "doc_id")).first()[0]
+    scores = search(store, query, HashEmbedder(), Options(max=5, per_file=2)).files
+    return scores.select(F.round("score", 4).alias("score"))
+
+
 # -- files -------------------------------------------------------------------------------------
 
 
@@ -355,7 +412,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_pool, knn_post_filter, knn_restrict, knn_diversified, media_search, knn_batch, orphan_vectors, stale_models, file_mean_vectors, chunk_fixed, chunk_hashes, chunk_token_aware, snippets, clean_text_lines,
-        page_marked_text, pre_token_counts, word_pieces, hash_embedding_norms, index_documents, classify_files, size_limits, pruned_directories, ignored_names, gitignored_files, marker_pruned, unchanged_files, upserted_files, replaced_chunks,
+        page_marked_text, pre_token_counts, word_pieces, hash_embedding_norms, index_documents, indexed_tree, found_in_tree, classify_files, size_limits, pruned_directories, ignored_names, gitignored_files, marker_pruned, unchanged_files, upserted_files, replaced_chunks,
         files_without_chunks, missing_from_run, run_counters, file_uris, run_durations, vectors_to_delete, todo_files, file_errors, path_parts, json_jobs, folder_sizes, p2_found,
     )
 }
@@ -381,6 +438,34 @@ _DIRS = "list_filter(string_split(path, '/')[:-2], lambda x: x <> '')"
 _LABEL = "path || ':' || start_line || '-' || end_line"
 _FLAT = "trim(regexp_replace({0}, '[\\s\\x0B\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
 
+
+
+def _words(x: str) -> str:
+    return r"list_filter(regexp_split_to_array($X, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+'), lambda w: w <> '')".replace("$X", x)
+
+
+def _cut(rows: str) -> str:
+    """Chunks of (doc_id, text): pos, n is the candidate; it stands once it has 126 words pos most, else it shrinks."""
+    return r"""RECURSIVE cut AS (
+  SELECT doc_id AS id, text, CAST(1 AS BIGINT) AS pos, CAST(least(500, length(text)) AS BIGINT) AS n, 0 AS k, CAST(1 AS BIGINT) AS line, len($FIRST) AS w FROM $ROWS WHERE length(text) > 0
+  UNION ALL
+  SELECT id, text, pos, n, k, line, len($NEXT) FROM (
+    SELECT id, text, CASE WHEN stands THEN pos + n ELSE pos END AS pos, CASE WHEN stands THEN least(500, length(text) - (pos + n - 1)) ELSE greatest(1, least(n - 1, n * 126 // w)) END AS n, CASE WHEN stands THEN k + 1 ELSE k END AS k,
+           CASE WHEN stands THEN line + length(substring(text, pos, n)) - length(replace(substring(text, pos, n), chr(10), '')) ELSE line END AS line
+    FROM (SELECT *, n <= 1 OR w <= 126 AS stands FROM cut)) WHERE n > 0
+), pieces AS (SELECT id, CAST(k AS INTEGER) AS chunk_index, substring(text, pos, n) AS content, CAST(line AS INTEGER) AS start_line, w,
+  CAST(line + length(substring(text, pos, n)) - length(replace(substring(text, pos, n), chr(10), '')) AS INTEGER) AS end_line FROM cut WHERE n <= 1 OR w <= 126)""".replace("$FIRST", _words("substring(text, 1, 500)")).replace("$NEXT", _words("substring(text, pos, n)")).replace("$ROWS", rows)
+
+
+def _pre_tokens(x: str) -> str:
+    """The words and marks of a text in lower case, with control characters dropped and spaces around ideographs."""
+    clean = r"regexp_replace(regexp_replace(regexp_replace($X, '([$CJK])', ' \1 ', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{FFFD}]', '', 'g'), '[\t\n\r\p{Zs}]', ' ', 'g')".replace("$X", x).replace("$CJK", CJK)
+    return r"list_filter(string_split(regexp_replace($X, '([!-/:-@\[-`{-~\p{P}])', ' \1 ', 'g'), ' '), lambda x: x <> '')".replace("$X", clean)
+
+
+_TREE = _cut("(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'CHANGED ' || text ELSE text END AS text FROM documents)")
+_CUT = _cut("documents")
+
 ORACLES = {
     "p2_found": P2_FOUND_SQL,
     "knn_pool": _TEXT + "SELECT rid AS rowid, round(distance, 6) AS distance, round(1 - distance * distance / 2, 6) AS score FROM pool",
@@ -412,6 +497,28 @@ WITH c AS (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 500.0) AS
 p AS (SELECT doc_id, k, substring(text, k * 500 + 1, 500) AS content, length(substring(text, 1, k * 500)) - length(replace(substring(text, 1, k * 500), chr(10), '')) AS before FROM c)
 SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, content, CAST(1 + before AS INTEGER) AS start_line, CAST(1 + before + length(content) - length(replace(content, chr(10), '')) AS INTEGER) AS end_line FROM p""",
     "chunk_hashes": "SELECT DISTINCT id, sha256(content) AS sha256_hex, sha256(content) = lower(hex(content_hash)) AS is_stored FROM chunks",
+    "chunk_token_aware": f"WITH {_CUT} SELECT id AS doc_id, chunk_index, content, start_line, end_line FROM pieces",
+    "hash_embedding_norms": f"SELECT doc_id, CASE WHEN len({_words('text')}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents WHERE text IS NOT NULL",
+    "index_documents": f"""WITH {_CUT}
+SELECT lower(trim(d.lang)) AS lang, count(*) AS n_chunks, round(count(*) FILTER (w > 0) / count(*), 4) AS mean_norm FROM pieces p JOIN documents d ON d.doc_id = p.id GROUP BY 1""",
+    "indexed_tree": f"WITH {_TREE} SELECT id || '.txt' AS name, chunk_index, content, start_line, end_line, true AS is_hashed FROM pieces",
+    "found_in_tree": f"""WITH {_TREE},
+q AS (SELECT list_slice({_words('text')}, 1, 8) AS ws FROM documents WHERE len({_words('text')}) >= 8 AND doc_id % 5 <> 0 ORDER BY doc_id LIMIT 1),
+words AS (SELECT id, chunk_index, unnest({_words('lower(content)')}) AS word FROM pieces UNION ALL SELECT -1, 0, unnest({_words("lower(array_to_string(ws, ' '))")}) FROM q),
+h AS (SELECT id, chunk_index, CAST('0x' || left(md5(word), 16) AS UBIGINT) AS h FROM words),
+v AS (SELECT id, chunk_index, h % 384 AS dim, sum(CASE WHEN h >= 9223372036854775808 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM h GROUP BY 1, 2, 3),
+n AS (SELECT id, chunk_index, sqrt(sum(x * x)) AS n FROM v GROUP BY 1, 2),
+s AS (SELECT a.id, a.chunk_index, sum(a.x * b.x) AS dot FROM v a JOIN v b ON b.id = -1 AND a.dim = b.dim WHERE a.id >= 0 GROUP BY 1, 2),
+c AS (SELECT s.id, s.chunk_index, s.dot / n.n / (SELECT n FROM n WHERE id = -1) AS score FROM s JOIN n USING (id, chunk_index) WHERE n.n > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, chunk_index) AS rif FROM c)
+SELECT round(r.score, 4) AS score FROM r WHERE rif <= 2 ORDER BY r.score DESC LIMIT 5""",
+    "pre_token_counts": f"SELECT doc_id, len({_pre_tokens('lower(text)')}) AS n_tokens FROM documents WHERE text IS NOT NULL",
+    # greedy longest pieces of a word are the leftmost matches of one pattern
+    "word_pieces": r"""WITH p AS (SELECT DISTINCT id, $TOKENS AS ws FROM chunks WHERE content IS NOT NULL),
+e AS (SELECT id, flatten(list_transform(ws, lambda w: CASE WHEN length(w) <= 100 AND regexp_full_match(w, '(the|and|[a-z0-9.,-])(ing|ed|[a-z0-9])*')
+  THEN list_prepend(regexp_extract(w, '^(the|and|[a-z0-9.,-])'), list_transform(regexp_extract_all(regexp_replace(w, '^(the|and|[a-z0-9.,-])', ''), 'ing|ed|[a-z0-9]'), lambda x: '##' || x)) ELSE ['[UNK]'] END)) AS ts FROM p)
+SELECT id, CAST(least(len(ts), 126) + 2 AS BIGINT) AS n_ids, array_to_string(list_concat([2], list_transform(list_slice(ts, 1, 126), lambda t: list_position([$PIECES], t) - 1), [3]), ' ') AS ids FROM e""".replace(
+        "$TOKENS", _pre_tokens("strip_accents(lower(content))")).replace("$PIECES", ", ".join(f"'{t}'" for t in PIECES)),
     "snippets": f"SELECT doc_id, CASE WHEN length({_FLAT.format('text')}) > 150 THEN left({_FLAT.format('text')}, 150) || '...' ELSE {_FLAT.format('text')} END AS snippet FROM documents WHERE text IS NOT NULL",
     "clean_text_lines": """WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: rtrim(x, ' ' || chr(9))) AS l FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, array_to_string(list_filter(l, lambda x, i: x <> '' OR i = 1 OR l[i - 1] <> ''), chr(10)) AS text FROM l""",
