@@ -26,7 +26,6 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -82,9 +81,16 @@ def readings(word: str) -> list[str]:
 _M64, _STEP, _MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
-@lru_cache(maxsize=300_000)
+_KEYS: dict[str, int] = {}
+
+
 def _word_key(word: str) -> int:
-    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    key = _KEYS.get(word)
+    if key is None:
+        if len(_KEYS) > 500_000:
+            _KEYS.clear()
+        key = _KEYS[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return key
 
 
 def pair_key(a: str, b: str) -> int:
@@ -97,7 +103,8 @@ def pair_key(a: str, b: str) -> int:
 
 def pair_keys(words: list[str]) -> np.ndarray:
     """pair_key() of each two neighbours, unsigned."""
-    h = np.fromiter(map(_word_key, words), np.uint64, len(words))
+    known = _KEYS.get
+    h = np.array([known(w) or _word_key(w) for w in words], np.uint64)
     x = h[:-1] * np.uint64(_STEP) + h[1:]
     x = (x ^ (x >> np.uint64(32))) * np.uint64(_MIX)
     return x ^ (x >> np.uint64(29))
@@ -250,10 +257,18 @@ def context_counts(lines: DataFrame, texts: DataFrame, text_col: str, lexicon: L
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["class", "n"])
 
         for b in source:
+            words, ends = [], []  # of all texts of a batch, with a mark after each text
             for text in b.column(0).to_pylist():
-                keys = pair_keys(whole_words(text))
-                held.append(keys[wanted.holds(keys)])
-                size += len(held[-1])
+                words += whole_words(text)
+                ends.append(len(words))
+                words.append("")
+            keys, within = pair_keys(words), np.ones(max(len(words) - 1, 0), bool)
+            at = np.array(ends, np.int64)
+            within[at[at > 0] - 1] = False
+            within[at[at < len(within)]] = False
+            keys = keys[within]
+            held.append(keys[wanted.holds(keys)])
+            size += len(held[-1])
             if size > 2_000_000:
                 yield out()
                 held, size = [], 0
