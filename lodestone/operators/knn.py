@@ -113,33 +113,45 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, width: in
 
 
 def mean_vectors(rows: DataFrame, key: str, vec_col: str) -> DataFrame:
-    """(key, mean): the mean vector of each key, in double precision. Each task sums its own rows of a key first,
-    so a key with very many rows sends one vector a task."""
+    """(key, mean): the mean vector of each key, in double precision. Each task sums its own rows of a key before the shuffle and
+    each partition the sums of its keys after it, a batch at a time, so neither a key with very many rows nor very many keys cost more."""
     key_type = rows.schema[key].dataType.simpleString()
 
+    def summed(keys: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        names, at = np.unique(keys, return_inverse=True)
+        sums, counts = np.zeros((len(names), x.shape[1])), np.zeros(len(names), np.int64)
+        np.add.at(sums, at, x)
+        np.add.at(counts, at, n)
+        return names, sums, counts
+
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
     def partial(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
             keys, vec = b.column(0), b.column(1)
-            good = np.flatnonzero(vec.is_valid().to_numpy(zero_copy_only=False) & keys.is_valid().to_numpy(zero_copy_only=False))
-            if not len(good):
-                continue
-            k = keys.take(pa.array(good)).to_numpy(zero_copy_only=False)
-            flat = vec.take(pa.array(good))
-            x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), -1)
-            names, at = np.unique(k, return_inverse=True)
-            sums, counts = np.zeros((len(names), x.shape[1])), np.bincount(at, minlength=len(names))
-            np.add.at(sums, at, x)
-            offsets = np.arange(len(names) + 1, dtype=np.int32) * x.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel())), pa.array(counts)], names=[key, "total", "n"])
-
-    def whole(_: tuple, group: pa.Table) -> pa.Table:
-        totals = group["total"].combine_chunks()
-        total = totals.flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1).sum(0)
-        mean = total / group["n"].to_numpy().sum()
-        return pa.table({key: group[key].slice(0, 1), "mean": pa.array([mean.tolist()], pa.list_(pa.float64()))})
+            good = pa.array(np.flatnonzero(vec.is_valid().to_numpy(zero_copy_only=False) & keys.is_valid().to_numpy(zero_copy_only=False)))
+            if len(good):
+                k, flat = keys.take(good).to_numpy(zero_copy_only=False), vec.take(good).flatten().to_numpy(zero_copy_only=False)
+                names, sums, counts = summed(k, flat.astype(np.float64).reshape(len(good), -1), np.ones(len(good), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(names), lists(sums), pa.array(counts)], names=[key, "total", "n"])
+
+    def whole(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows come sorted by key: only the last key of a batch may go on in the next
+        for b in source:
+            k, n = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(k), -1)
+            if held is not None:
+                k, x, n = np.concatenate([held[0], k]), np.concatenate([held[1], x]), np.concatenate([held[2], n])
+            names, sums, counts = summed(k, x, n)
+            held = names[-1:], sums[-1:], counts[-1:]
+            if len(names) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(names[:-1]), lists(sums[:-1] / counts[:-1, None])], names=[key, "mean"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0]), lists(held[1] / held[2][:, None])], names=[key, "mean"])
 
     sums = rows.select(key, vec_col).mapInArrow(partial, f"{key} {key_type}, total array<double>, n long")
-    return sums.groupBy(key).applyInArrow(whole, f"{key} {key_type}, mean array<double>")
+    return sums.repartition(key).sortWithinPartitions(key).mapInArrow(whole, f"{key} {key_type}, mean array<double>")
 
 
 def join_chunks(pool: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:

@@ -135,9 +135,9 @@ def stale_models(spark, sf_dir):
 
 def file_mean_vectors(spark, sf_dir):
     """The mean vector of each file, of length 1, as rows (file_id, dim, value)."""
-    vectors = table(spark, sf_dir, "vec_chunks").where("embedding is not null").dropDuplicates(["rowid"])
+    # one shuffle of the vectors, by rowid, for both the repeated rows and the join; partial sums leave a task, not one row for each element
+    vectors = table(spark, sf_dir, "vec_chunks").where("embedding is not null").repartition("rowid").dropDuplicates(["rowid"])
     of_file = table(spark, sf_dir, "chunks").select(F.col("id").alias("rowid"), "file_id").dropDuplicates(["rowid"])
-    # partial sums of whole vectors leave a task, not one row for each element
     joined = vectors.join(of_file, "rowid")
     means = mean_vectors(joined.select("file_id", "embedding"), "file_id", "embedding")
     return means.select("file_id", F.posexplode(l2_normalize(F.col("mean"))).alias("dim", "value")).select("file_id", "dim", F.round("value", 6).alias("value"))
