@@ -77,7 +77,7 @@ def run(args: list[str]) -> int:
     if command == "config":
         return _config(config, path, positional)
     from .operators.store import IndexStore
-    from .session import build_session
+    from .session import build_session, scratch
 
     if command == "clean":
         if positional:
@@ -96,7 +96,7 @@ def run(args: list[str]) -> int:
         spark = build_session()
         began = time.time()
         images = _media(config)
-        with Progress(spark):
+        with Progress(spark), scratch(spark):
             stats = index_directory(spark, cfg.expand_home(positional[0]) if positional else ".", IndexStore(spark, "file://" + config.db.path), _embedder(config), _rules(config), recursive, image_function(images) if images else None, command == "sync")
         print(summary(stats, time.time() - began) if saw_anything(stats) else "no files found")
         return 0

@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,9 +40,27 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_open: list[list[str]] = []  # the paths made within each scratch()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """All paths made within it are removed at its end, so that a driver that lives long doesn't fill the shared folder. What is
+    computed within must be written or collected before it ends."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, which is removed when the driver ends."""
+    """A new path in the shared folder, which is removed when the driver ends, or the scratch() it was made in."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path

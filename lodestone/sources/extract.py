@@ -11,6 +11,8 @@ from xml.parsers import expat
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .pdf import pages
+
 _VALID = re.compile(
     rb"[\x00-\x7f]+|(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+"
 )
@@ -72,13 +74,15 @@ def docx_text(raw: bytes) -> str:
 
 
 def pdf_text(raw: bytes) -> str:
-    """'--- page N ---' and the cleaned text of each page; needs pypdf."""
+    """'--- page N ---' and the cleaned text of each page, by pypdf where it is installed, else by the reader of this package.
+    A page that can't be read fails the file."""
     try:
         import pypdf
-    except ImportError as e:
-        raise RuntimeError("PDF files need the optional package pypdf") from e
-    pages = enumerate(pypdf.PdfReader(io.BytesIO(raw)).pages, 1)
-    return "".join(f"--- page {n} ---\n{clean_text(page.extract_text() or '')}\n" for n, page in pages)
+    except ImportError:
+        found = pages(raw)
+    else:
+        found = (page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(raw)).pages)
+    return "".join(f"--- page {n} ---\n{clean_text(text)}\n" for n, text in enumerate(found, 1))
 
 
 def extract_text(path: str, raw: bytes) -> str:

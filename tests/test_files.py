@@ -1,6 +1,7 @@
 import io
 import os
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from lodestone.plans.index import index_directory, summary
 from lodestone.plans.search import Options, printed, search
 from lodestone.sources import config as cfg
 from lodestone.sources.extract import docx_text, extract_text
+from lodestone.sources.pdf import pages
 from lodestone.sources.listing import Rules, classify, listing, match, scan, size_limit
 
 
@@ -118,6 +120,35 @@ def test_docx():
             docx_text(bad)
 
 
+def pdf(contents: list[bytes], compressed: bool, font: bytes = b"") -> bytes:
+    """A file of one page for each content."""
+    n = len(contents)
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count %d /Kids [%s] /Resources << /Font << /F1 %d 0 R >> >> >>" % (n, b" ".join(b"%d 0 R" % (3 + 2 * k) for k in range(n)), 3 + 2 * n)]
+    for k, c in enumerate(contents):
+        data = zlib.compress(c) if compressed else c
+        objects += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (4 + 2 * k), b"<< /Length %d %s>>\nstream\n%s\nendstream" % (len(data), b"/Filter /FlateDecode " if compressed else b"", data)]
+    objects.append(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica %s>>" % (b"/ToUnicode %d 0 R " % (4 + 2 * n) if font else b""))
+    if font:
+        objects.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(font), font))
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf():
+    one = b"BT /F1 12 Tf 72 700 Td (First \\(line\\) \\351) Tj 0 -14 Td [(Sec) 20 (ond) -300 (line  )] TJ ET"
+    two = b"BT /F1 12 Tf (Page) Tj T* (two) ' ET"
+    for compressed in (False, True):
+        assert list(pages(pdf([one, two], compressed))) == ["First (line) \xe9\nSecond line  \n", "Page\n\ntwo\n"]
+        assert extract_text("/x/Y.PDF", pdf([one, two], compressed)) == "--- page 1 ---\nFirst (line) \xe9\nSecond line\n\n--- page 2 ---\nPage\n\ntwo\n\n"
+    cmap = b"1 begincodespacerange <00> <ff> endcodespacerange 2 beginbfchar <01> <0048> <02> <20AC> endbfchar 1 beginbfrange <10> <12> <0061> endbfrange"
+    assert list(pages(pdf([b"BT /F1 9 Tf <0102101112> Tj ET"], True, cmap))) == ["H\u20acabc\n"]
+    broken = pdf([one, two], True).replace(zlib.compress(two), b"x" * len(zlib.compress(two)))
+    with pytest.raises(ValueError, match="page 2"):
+        list(pages(broken))
+    for bad in (b"no pdf", b"%PDF-1.4\n", pdf([one], False) + b"/Encrypt 9 0 R"):
+        with pytest.raises(ValueError):
+            list(pages(bad))
+
+
 def test_store_pieces(spark):
     files = spark.createDataFrame([(1, "/a", 5, b"x", "failed", "no"), (2, "/b", 6, b"y", "ok", None)], "id long, path string, modified_at long, file_hash binary, status string, last_error string")
     new = spark.createDataFrame([("/a", 7, b"z"), ("/c", 8, b"w"), ("/c", 8, b"w")], "path string, modified_at long, file_hash binary")
