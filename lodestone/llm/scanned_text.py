@@ -169,12 +169,12 @@ class Lexicon:
             return compound
         own, alien = self.own(word), not word.isalpha()
         beside = lambda w: (context.get(pair_key(before, w), 0) if before else 0) + (context.get(pair_key(w, after), 0) if after else 0)
-        against = beside(word)
+        # the pairs of this place don't speak for the word
+        against = max(0, beside(word) - bool(before) - bool(after))
         best, best_score = None, 0.0
         for form in forms:
             n, support = self.counts[form], beside(form)
-            # a word that stands once or twice has stood beside its neighbours here
-            if (alien or support > against or own < 3 and support >= against - 2 or (support == against and n >= 200 * own)) and n * (1 + support) > best_score:
+            if (alien or support > against or (support == against and (own < 3 or n >= 200 * own))) and n * (1 + support) > best_score:
                 best, best_score = form, n * (1 + support)
         return best
 
