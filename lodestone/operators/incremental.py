@@ -11,6 +11,7 @@ stay pending, and a run that is repeated after it finds nothing left to do.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -137,10 +138,8 @@ def replay_runs(target: VersionedTarget, scans: DataFrame, runs: list[tuple[int,
             if published % compact_every == 0:
                 target.compact()
         found.append(pending.withColumn(run_col, F.lit(run)))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+    none = parts.where(F.lit(False)).select(*target.keys, target.version, F.lit(0).alias(run_col))  # the result where there is no run
+    return reduce(DataFrame.unionByName, found, none)
 
 
 def salted_lookup(big: DataFrame, small: DataFrame, key: str, spread: F.Column, salts: int = 16) -> DataFrame:
@@ -166,13 +165,12 @@ def replay_chunks(target: VersionedTarget, chunk_scans: DataFrame, chunks: DataF
     seen = latest_sighting(chunk_scans, ["run_id", "path", "chunk_index"], "content_hash", ["scanned_at", "scan_id"])
     parts = materialize_parts(seen, "chunk-sightings", "run_id")
     target.publish(0, stored_chunks(chunks, files, parts), source="stored")
-    out = None
+    out = parts.where(F.lit(False)).select("path", "chunk_index", F.col("run_id").cast("int").alias("run_id"))
     for run, status in sorted(runs):
         pending = materialize(target.pending(parts.where(F.col("run_id") == run)), "pending-chunks")
         if status == "ok":
             target.publish(run, pending.select("path", "content_hash").distinct())
-        part = pending.select("path", "chunk_index", F.col("run_id").cast("int").alias("run_id"))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(pending.select("path", "chunk_index", F.col("run_id").cast("int").alias("run_id")))
     return out
 
 

@@ -122,13 +122,26 @@ def unchanged(listing: DataFrame, files: DataFrame) -> DataFrame:
     return listing.join(stored, "path", "left").withColumn("unchanged", F.coalesce(F.col("__stored") == F.col("modified_at"), F.lit(False))).drop("__stored")
 
 
+def _directories_above(path: str = "path"):
+    """All directories that a path lies below, from the top one ('') down."""
+    parts = F.split(path, "/", -1)
+    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def below_marked(paths: DataFrame, is_marker) -> DataFrame:
+    """(path, is_pruned) of the paths of a table: whether a directory above it holds a marker file. A path joins the marked ones of its own
+    directories; the root isn't one, as what was named to be indexed is never pruned."""
+    rows = paths.select("path").distinct()
+    marked = rows.where(is_marker).select(F.element_at(_directories_above(), -1).alias("__above")).where("__above <> ''").distinct()
+    below = rows.where(F.size(F.split("path", "/", -1)) > 1).select("path", F.explode(_directories_above()).alias("__above")).join(marked, "__above").select("path").distinct()
+    return rows.join(below.withColumn("__m", F.lit(True)), "path", "left").select("path", F.coalesce("__m", F.lit(False)).alias("is_pruned"))
+
+
 def missing_files(files: DataFrame, listing: DataFrame) -> DataFrame:
     """Stored files that the listing no longer has. What lies below a folder that couldn't be read isn't missing."""
     gone = files.join(listing.select("path").distinct(), "path", "left_anti")
     if "outcome" not in listing.columns:
         return gone
     blocked = listing.where("outcome = 'unreadable'").select(F.col("path").alias("__above")).distinct()
-    parts = F.split("path", "/", -1)
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    below = gone.select("path", F.explode(above).alias("__above")).join(blocked, "__above").select("path").distinct()
+    below = gone.select("path", F.explode(_directories_above()).alias("__above")).join(blocked, "__above").select("path").distinct()
     return gone.join(below, "path", "left_anti")

@@ -16,7 +16,7 @@ from .functions.vectors import l2_normalize, score
 from .operators.chunking import fixed_chunks, token_chunks
 from .operators.incremental import VersionedTarget, chunk_target, latest_sighting, replay_chunks, replay_runs
 from .operators.knn import diversify, join_chunks, join_media, mean_vectors, nearest, nearest_batch, post_filter
-from .operators.store import IndexStore, missing_files, replace_children, unchanged, upsert_files
+from .operators.store import IndexStore, below_marked, missing_files, replace_children, unchanged, upsert_files
 from .plans.index import index_directory, run_stats
 from .plans.search import Options, search
 from .session import scratch_path, table
@@ -32,7 +32,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(F.col("run_id") > 1)
         .select(F.lit("file").alias("level"), F.col("run_id").cast("int").alias("run_id"), "path", F.lit(-1).alias("chunk_index"))
     )
-    cut = replay_chunks(chunk_target(spark, scratch_path(spark, "p2-chunks")), table(spark, sf_dir, "chunk_scans"), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "files"), [r for r in runs if r[0] == 8])
+    cut = replay_chunks(chunk_target(spark, scratch_path(spark, "p2-chunks")), table(spark, sf_dir, "chunk_scans"), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "files"), [r for r in runs if r[0] == 8] or [(8, "running")])
     return files.unionByName(cut.select(F.lit("chunk").alias("level"), "run_id", "path", F.col("chunk_index").cast("int").alias("chunk_index")))
 
 
@@ -304,13 +304,8 @@ def gitignored_files(spark, sf_dir):
 
 
 def marker_pruned(spark, sf_dir):
-    """Files below a directory that holds a marker file: here any README or a .toml."""
-    rows = _paths(spark, sf_dir).withColumn("dir", F.expr("left(path, char_length(path) - char_length(substring_index(path, '/', -1)) - 1)"))
-    marked = rows.where(extension(F.col("path")) == ".toml").select(F.col("dir").alias("above")).distinct()
-    parts = F.split("dir", "/", -1)
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    below = rows.select("path", F.explode(above).alias("above")).join(marked, "above").select("path").distinct()
-    return rows.select("path").join(below.withColumn("m", F.lit(True)), "path", "left").select("path", F.coalesce("m", F.lit(False)).alias("is_pruned"))
+    """Files below a directory that holds a marker file: here any .toml."""
+    return below_marked(_paths(spark, sf_dir), extension(F.col("path")) == ".toml")
 
 
 def _last_seen(spark, sf_dir, run: int) -> DataFrame:

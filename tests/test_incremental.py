@@ -1,4 +1,5 @@
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -59,6 +60,20 @@ def test_two_runs_at_once(spark, tmp_path):
     assert a.rows().count() == 1
 
 
+def test_no_runs(spark, tmp_path):
+    out = replay_runs(target(spark, tmp_path), scans(spark, [(1, "a", "1", 0)]), [], "run_id", ["scanned_at"])
+    assert out.count() == 0 and set(out.columns) == {"path", "file_hash", "run_id"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the test tables aren't here")
+def test_p2_found_on_empty_tables(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    for name in ("index_runs", "file_scans", "chunk_scans", "chunks", "files"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert entry.queries()["p2_found"](spark, str(tmp_path)).count() == 0
+
+
 def run_rows(spark, run, *rows):
     return latest_sighting(scans(spark, [(run, p, h, run) for p, h in rows]), ["path"], "file_hash", ["scanned_at"])
 
