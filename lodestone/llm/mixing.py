@@ -194,7 +194,7 @@ def fit_rates(members: DataFrame, targets: list[tuple[str, float, int]], total:
             reached = reached + pad(_sums(soft, n, lambda t, p, cap, b: (t * _replay(p, cap, start, steps)) @ p), n)
         off = reached - goal
         # met, or as near as documents that serve several targets allow: the totals don't move any more
-        if np.abs(off).max() <= tolerance * size or (before is not None and np.abs(reached - before).max() <= 0.1 * tolerance * size):
+        if np.abs(off).max() <= tolerance * size or (before is not None and np.abs(reached - before).max() <= tolerance * size):
             break
         before = reached
         step = np.where(once > 0, off / np.maximum(once, 1.0), 0.0)
