@@ -63,24 +63,27 @@ def half_distances(x: np.ndarray, codebooks: tuple[np.ndarray, np.ndarray]) -> t
 
 
 def traverse(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, candidates: int) -> list[int]:
-    """Cells in the order of d1[i] + d2[j] until they hold `candidates` vectors. A pair enters
-    the heap when both its predecessors in the two sorted orders have left it. Empty cells are
-    passed over."""
+    """Cells in the order of d1[i] + d2[j] until they hold `candidates` vectors. The heap holds the next filled cell of each
+    first-half centroid i, which enters once no cell of it can come before those in the heap; empty cells never enter."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    width = len(d2)
-    heap, pushed, got, cells = [(float(d1[o1[0]] + d2[o2[0]]), 0, 0)], {(0, 0)}, 0, []
-    done: set[tuple[int, int]] = set()
-    while heap and got < candidates:
-        _, i, j = heapq.heappop(heap)
-        done.add((i, j))
-        cell = int(o1[i]) * width + int(o2[j])
-        if sizes[cell]:
-            cells.append(cell)
-            got += int(sizes[cell])
-        for a, b in ((i + 1, j), (i, j + 1)):
-            if a < len(d1) and b < width and (a, b) not in pushed and (a == 0 or (a - 1, b) in done) and (b == 0 or (a, b - 1) in done):
-                pushed.add((a, b))
-                heapq.heappush(heap, (float(d1[o1[a]] + d2[o2[b]]), a, b))
+    width, least = len(d2), float(d2[o2[0]])
+    heap: list[tuple] = []
+    cells, got, entered = [], 0, 0
+    while got < candidates:
+        while entered < len(o1) and (not heap or float(d1[o1[entered]]) + least <= heap[0][0]):
+            i = int(o1[entered])
+            filled = o2[np.flatnonzero(sizes[i * width : (i + 1) * width][o2])]
+            if len(filled):
+                heapq.heappush(heap, (float(d1[i] + d2[filled[0]]), entered, 0, i, filled))
+            entered += 1
+        if not heap:
+            break
+        _, rank, k, i, filled = heapq.heappop(heap)
+        cell = i * width + int(filled[k])
+        cells.append(cell)
+        got += int(sizes[cell])
+        if k + 1 < len(filled):
+            heapq.heappush(heap, (float(d1[i] + d2[filled[k + 1]]), rank, k + 1, i, filled))
     return cells
 
 
