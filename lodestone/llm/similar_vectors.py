@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialize
 from .sampling import hash_sample
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS, TASK_BYTES = 20_000, 16 << 20
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -243,7 +243,7 @@ class Index:
         self.width, self.k, self.candidates, self.max_cell, self.guests = width, k, candidates, max_cell, guests
         self.codebooks: tuple[np.ndarray, np.ndarray] = (np.zeros((0, 0)), np.zeros((0, 0)))
         self.inner: dict[int, tuple[int, np.ndarray]] = {}
-        self.cells = 0
+        self.cells = self.placed = 0
         self.sizes = self.blocks = self.parts = np.zeros(0, np.int64)
         self.heavy: np.ndarray = np.zeros(0, np.int64)  # sorted class hashes
         self.kept: set = set()
@@ -377,9 +377,11 @@ def build_index(usable: DataFrame, n: int, width: int, k: int, centroids: int |
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    got = usable.mapInArrow(visitors, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > guests).toArrow()
-    index.parts = np.ones(index.cells, np.int64)
-    index.parts[got["cell"].to_numpy()] = -(-got["n"].to_numpy() // guests)
+    got = usable.mapInArrow(visitors, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    visits = np.zeros(index.cells, np.int64)
+    visits[got["cell"].to_numpy()] = got["n"].to_numpy()
+    index.parts = np.maximum(1, -(-visits // guests))
+    index.placed = int((rows * (index.blocks + index.parts - 1) + visits * index.blocks).sum())
     return index, copies
 
 
@@ -439,7 +441,10 @@ def most_similar(vectors: DataFrame, id_col: str, vec_col: str, width: int, k: i
         keep = _ranked(i, o, v, k)
         return pa.table({"id": i[keep], "other": o[keep], "score": v[keep]})
 
-    found = placements(usable, index, id_type).groupBy("cell", "block_a", "block_b", "part").applyInArrow(score, f"id {id_type}, other {id_type}, score double")
+    # tasks of a size that the table doesn't change, whatever the session's number of partitions
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-index.placed * 2 * width // TASK_BYTES))
+    placed = placements(usable, index, id_type).repartition(tasks, "cell", "block_a", "block_b", "part")
+    found = placed.groupBy("cell", "block_a", "block_b", "part").applyInArrow(score, f"id {id_type}, other {id_type}, score double")
     # at most k rows of a vector come from each group it was scored in; both groupings use one shuffle
     result = (
         found.repartition("id")
