@@ -476,16 +476,23 @@ def _body(lines: DataFrame, marks: DataFrame, context: DataFrame, block: int = B
 
 
 def _numbered(body: DataFrame) -> DataFrame:
-    """With para: a paragraph's number in its file, the hash of where it starts."""
+    """With para: where a line's paragraph starts in its block, null for lines that go on from the block before."""
     starts = (F.col("gap") & ~F.coalesce(F.col("before").rlike(rf"[{MARKS}][ \t\r]*$"), F.lit(False))) | F.col("line").rlike(r"^\s{2,}\S") | F.col("before").isNull()
-    marked = body.withColumn("start", F.when(starts, F.struct("block", "chunk_index", "id", "line_no")))
     order = Window.partitionBy("file_id", "block").orderBy("chunk_index", "id", "line_no")
-    marked = marked.withColumn("own", F.last("start", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = marked.groupBy("file_id", "block").agg(F.max("own").alias("last_start"), F.min(F.struct("block", "chunk_index", "id", "line_no")).alias("first_line"))
-    along = Window.partitionBy("file_id").orderBy("block")
-    # the block before this one: its last paragraph, or all of it where it runs on over the whole block
-    carried = ends.select("file_id", "block", F.lag(F.coalesce("last_start", "first_line")).over(along).alias("carried"))
-    return marked.join(carried, ["file_id", "block"]).withColumn("para", F.coalesce("own", "carried"))
+    start = F.when(starts, F.struct("chunk_index", "id", "line_no"))
+    return body.withColumn("para", F.last(start, True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _joined_blocks(pieces: DataFrame) -> DataFrame:
+    """Paragraphs of (file_id, block, para, first_id, first_line, text): what goes on from the block before is put to its last
+    paragraph. There is one such piece a block at most, and none where a block has no start before it."""
+    last = pieces.groupBy("file_id", "block").agg(F.max("para").alias("last"))
+    carried = last.select("file_id", "block", F.lag("last").over(Window.partitionBy("file_id").orderBy("block")).alias("to"))
+    heads = pieces.where("para is null").join(carried, ["file_id", "block"])
+    more = heads.where("to is not null").select("file_id", F.col("to").alias("para"), F.col("text").alias("more"))
+    whole = pieces.where("para is not null").join(more, ["file_id", "para"], "left")
+    whole = whole.select("file_id", "first_id", "first_line", F.array_join(F.filter(F.array("text", "more"), lambda t: t != ""), " ").alias("text"))
+    return whole.unionByName(heads.where("to is null").select("file_id", "first_id", "first_line", "text"))
 
 
 def _mended(body: DataFrame, lexicon: Lexicon, schema: str, rows) -> DataFrame:
@@ -537,14 +544,16 @@ def paragraphs(chunks: DataFrame, files: DataFrame, suffix: str = ".pdf", block:
     lexicon, _, body = _prepared(chunks, files, suffix, block)
 
     def rows(b: pa.RecordBatch, lex: Lexicon) -> pa.RecordBatch:
-        text = [mend_line(line, before, after, lex, _context(context))[1].strip() for line, before, after, context in zip(*(b.column(k).to_pylist() for k in (5, 6, 7, 8)))]
-        return pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(text, pa.string())], names=["file_id", "para", "chunk_index", "id", "line_no", "text"])
-
-    numbered = _numbered(body).select("file_id", F.to_json("para").alias("para"), "chunk_index", "id", "line_no", "line", "before", "after", "context")
-    mended = _mended(numbered, lexicon, "file_id long, para string, chunk_index int, id long, line_no int, text string", rows)
-    return (
-        mended.groupBy("file_id", "para")
+        text = [mend_line(line, before, after, lex, _context(context))[1].strip() for line, before, after, context in zip(*(b.column(k).to_pylist() for k in (6, 7, 8, 9)))]
+        return pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(text, pa.string())], names=["file_id", "block", "para", "chunk_index", "id", "line_no", "text"])
+
+    numbered = _numbered(body).select("file_id", "block", "para", "chunk_index", "id", "line_no", "line", "before", "after", "context")
+    kind = numbered.schema["para"].dataType.simpleString()
+    mended = _mended(numbered, lexicon, f"file_id long, block int, para {kind}, chunk_index int, id long, line_no int, text string", rows)
+    pieces = (
+        mended.groupBy("file_id", "block", "para")
         .agg(F.sort_array(F.collect_list(F.struct("chunk_index", "id", "line_no", "text"))).alias("parts"))
-        .select("file_id", F.col("parts")[0]["id"].alias("first_id"), F.col("parts")[0]["line_no"].alias("first_line"),
+        .select("file_id", "block", "para", F.col("parts")[0]["id"].alias("first_id"), F.col("parts")[0]["line_no"].alias("first_line"),
                 F.array_join(F.filter(F.transform("parts", lambda p: p["text"]), lambda t: t != ""), " ").alias("text"))
     )
+    return _joined_blocks(materialize(pieces, "pieces"))
