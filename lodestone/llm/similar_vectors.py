@@ -5,6 +5,11 @@ centroids give K * K cells. The codebooks are fitted on a bounded sample; every
 indexed. For a vector the pairs of centroids are visited in the order of their summed
 distance, taken from a heap, until the cells visited hold at least `candidates` vectors; the
 vectors of these cells are the candidates and are reranked by their cosine.
+A count alone finds ever fewer close neighbours as a table grows: its cells fill up, and a neighbour just across the border of
+a full one isn't visited. So the cells that a neighbour with a cosine of NEAR may be in are visited too, however full the others
+are: such a neighbour is off by sqrt(2 - 2 NEAR), which in a direction without preference shifts the difference between the
+distances to two cells by a deviation of 2 sqrt(2 - 2 NEAR) / sqrt(width) times that between their centroids. Cells whose
+distance is greater than that of the home by at most MARGIN such deviations are visited; a pair has this chance from both sides.
 
 Copies. Vectors with the same half-precision components are one class and count as one: cells are as large as their classes
 are many, and a class is scored once for all its ids. Of a class only its k + 1 smallest ids can be among the neighbours of
@@ -40,6 +45,8 @@ from ..session import materialize
 from .sampling import hash_sample
 
 SAMPLE_ROWS, TASK_BYTES = 20_000, 16 << 20
+NEAR, MARGIN, COARSE = 0.80, 1.0, 64
+STRIP = 4 << 20  # scores at a time
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -56,6 +63,43 @@ def kmeans(points: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.nda
     return centroids
 
 
+def split(points: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
+    """k centroids at one distance from the mean, in the directions of spherical k-means. Where points scatter alike in all
+    directions, Lloyd's iterations end with one centroid at the mean that gets nearly all of them; these share them."""
+    mean = points.mean(0, keepdims=True)
+    off = points - mean
+    norm = np.sqrt((off**2).sum(1, keepdims=True))
+    unit = (off / np.maximum(norm, 1e-12))[norm[:, 0] > 1e-6]
+    if k < 2 or len(unit) <= k:
+        return mean
+    ways = unit[np.random.default_rng(seed).choice(len(unit), k, replace=False)].copy()
+    for _ in range(rounds):
+        nearest = (unit @ ways.T).argmax(1)
+        sums = np.zeros_like(ways)
+        np.add.at(sums, nearest, unit)
+        length = np.sqrt((sums**2).sum(1))
+        ways[length > 0] = sums[length > 0] / length[length > 0, None]
+    return mean + np.float32(max(0.0, float((off @ ways.T).max(1).mean()))) * ways
+
+
+def codebook(points: np.ndarray, k: int) -> np.ndarray:
+    """About k centroids: those of kmeans() up to COARSE, beyond it each of these split by its share of the points."""
+    coarse = kmeans(points, min(k, COARSE))
+    if k <= COARSE or len(coarse) < COARSE:
+        return coarse
+    nearest = (points @ coarse.T - 0.5 * (coarse**2).sum(1)).argmax(1)
+    counts = np.bincount(nearest, minlength=len(coarse))
+    return np.concatenate([split(points[nearest == c], min(round(k * n / len(points)), n // 4)) if k * n >= 1.5 * len(points) else coarse[c : c + 1] for c, n in enumerate(counts.tolist())])
+
+
+def _gaps(centroids: np.ndarray) -> np.ndarray:
+    """Squared distances between centroids."""
+    norm = (centroids**2).sum(1)
+    gaps = np.maximum(norm[:, None] + norm - 2 * centroids @ centroids.T, 0)
+    np.fill_diagonal(gaps, 0)
+    return gaps
+
+
 def half_distances(x: np.ndarray, codebooks: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances of both halves to their codebooks, up to a constant per row."""
     cut = codebooks[0].shape[1]
@@ -170,14 +214,19 @@ def _ranked(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, most: int) -
 class _Side:
     """The rows of one side of a group: its classes, and the distinct ids of each."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, same: np.ndarray):
+    def __init__(self, ids: np.ndarray, half: np.ndarray, same: np.ndarray):
         order = np.lexsort((ids, same))
         ids, same, rows = ids[order], same[order], order
         once = np.r_[True, (same[1:] != same[:-1]) | (ids[1:] != ids[:-1])] if len(ids) else np.zeros(0, bool)
         self.ids, same, rows = ids[once], same[once], rows[once]
         self.first = np.flatnonzero(np.r_[True, same[1:] != same[:-1]]) if len(same) else np.zeros(0, int)
         self.counts = np.diff(np.r_[self.first, len(same)])
-        self.x, self.least = x[rows[self.first]], self.ids[self.first]
+        self.half, self.least = half[rows[self.first]], self.ids[self.first]
+
+    def vectors(self, start: int = 0, end: int | None = None) -> np.ndarray:
+        """The unit vectors of some classes."""
+        x = self.half[start:end].astype(np.float32)
+        return x / np.sqrt((x**2).sum(1))[:, None]
 
     def members(self, classes: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(position in `classes`, id) of the ids of each class, or of the smallest `most`."""
@@ -216,14 +265,15 @@ def _meet(a: _Side, b: _Side | None, k: int) -> tuple[list[np.ndarray], list[np.
         return out
     owner, near, found = [], [], []
     back_s, back_i = np.full((len(t.first), 0), -2.0, np.float32), np.zeros((len(t.first), 0), np.int64)
-    for s in range(0, len(a.first), 1024):
-        sim = a.x[s : s + 1024] @ t.x.T
-        pos, top = _top(a.least[s : s + 1024], t.least, sim, k + 1)
+    against, step = t.vectors().T, max(64, STRIP // len(t.first))
+    for s in range(0, len(a.first), step):
+        sim = a.vectors(s, s + step) @ against
+        pos, top = _top(a.least[s : s + step], t.least, sim, k + 1)
         owner.append(np.repeat(np.arange(s, s + len(sim)), pos.shape[1]))
         near.append(pos.ravel())
         found.append(top.ravel())
         if b is not None:
-            pos, top = _top(t.least, a.least[s : s + 1024], sim.T, k + 1)
+            pos, top = _top(t.least, a.least[s : s + step], sim.T, k + 1)
             back_s, back_i = np.concatenate([back_s, top], 1), np.concatenate([back_i, pos + s], 1)
             keep = np.lexsort((a.least[back_i], -back_s), axis=1)[:, : k + 1]
             back_s, back_i = np.take_along_axis(back_s, keep, 1), np.take_along_axis(back_i, keep, 1)
@@ -242,6 +292,8 @@ class Index:
     def __init__(self, width: int, k: int, candidates: int, max_cell: int, guests: int):
         self.width, self.k, self.candidates, self.max_cell, self.guests = width, k, candidates, max_cell, guests
         self.codebooks: tuple[np.ndarray, np.ndarray] = (np.zeros((0, 0)), np.zeros((0, 0)))
+        self.gaps = self.codebooks
+        self.reach = MARGIN * 2 * (2 - 2 * NEAR) ** 0.5 / width**0.5
         self.inner: dict[int, tuple[int, np.ndarray]] = {}
         self.cells = self.placed = 0
         self.sizes = self.blocks = self.parts = np.zeros(0, np.int64)
@@ -262,7 +314,7 @@ class Index:
         return ids, half, h1, h2, d1, d2, home
 
     def visits(self, half: np.ndarray, h1: np.ndarray, d1: np.ndarray, d2: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of the cells that each row visits besides its own; equal vectors are traversed once."""
+        """(row, cell) of the cells that each row visits besides its own, by count and by margin; equal vectors are traversed once."""
         rows, cells, known = [], [], {}
         for r in np.flatnonzero(self.sizes[home] < self.candidates).tolist():
             found = known.get(key := int(h1[r]))
@@ -271,7 +323,45 @@ class Index:
                 found = known[key] = [c for c in _visits(half[r].astype(np.float32), d1[r], d2[r], self.sizes, self.inner, self.candidates) if c != own]
             rows += [r] * len(found)
             cells += found
-        return np.array(rows, np.int64), np.array(cells, np.int64)
+        both = [np.array(rows, np.int64) * self.cells + np.array(cells, np.int64)]
+        for s in range(0, len(home), 1024):
+            row, cell = self.near_cells(half[s : s + 1024], d1[s : s + 1024], d2[s : s + 1024])
+            other = (self.sizes[cell] > 0) & (cell != home[row + s])
+            both.append((row[other] + s) * self.cells + cell[other])
+        return np.divmod(np.unique(np.concatenate(both)), max(self.cells, 1))
+
+    def near_cells(self, half: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells within the margin, of a hot one its inner cells within theirs."""
+        m1, m2 = d1 - d1.min(1, keepdims=True), d2 - d2.min(1, keepdims=True)
+        g1, g2 = (self.reach**2 * gaps[d.argmin(1)] for gaps, d in zip(self.gaps, (d1, d2)))
+        # what one half leaves over counts for the other, so these hold all pairs with m1 + m2 <= sqrt(g1 + g2)
+        over1, over2 = np.sqrt(g1) - m1, np.sqrt(g2) - m2
+        r1, c1 = np.nonzero(over1 >= -over2.max(1, keepdims=True))
+        r2, c2 = np.nonzero(over2 >= -over1.max(1, keepdims=True))
+        n2 = np.bincount(r2, minlength=len(half))
+        n = n2[r1]
+        row, i = np.repeat(r1, n), np.repeat(c1, n)
+        j = c2[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + (np.cumsum(n2) - n2)[row]]
+        keep = (m1[row, i] + m2[row, j]) ** 2 <= g1[row, i] + g2[row, j]
+        row, cell = row[keep], i[keep] * d2.shape[1] + j[keep]
+        if not self.inner:
+            return row, cell
+        rows, cells, hot = [], [], np.zeros(len(cell), bool)
+        for c, (first, centroids) in self.inner.items():
+            at = np.flatnonzero(cell == c)
+            if len(at):
+                hot[at] = True
+                d = _inner_distances(half[row[at]].astype(np.float32), centroids)
+                r, sub = np.nonzero((d - d.min(1, keepdims=True)) ** 2 <= self.reach**2 * _gaps(centroids)[d.argmin(1)])
+                rows.append(row[at][r])
+                cells.append(first + sub)
+        return np.concatenate([row[~hot], *rows]), np.concatenate([cell[~hot], *cells])
+
+
+def _bytes(values: pa.BinaryArray) -> np.ndarray:
+    """The bytes of all values, one after the other, without a copy."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]]
 
 
 PLACED = "cell long, block_a int, block_b int, part int, mine int, id {}, vec binary"
@@ -326,7 +416,8 @@ def build_index(usable: DataFrame, n: int, width: int, k: int, centroids: int |
     if not len(points):
         return index, None
     cut = width // 2
-    index.codebooks = (kmeans(points[:, :cut], centroids), kmeans(points[:, cut:], centroids))
+    index.codebooks = (codebook(points[:, :cut], centroids), codebook(points[:, cut:], centroids))
+    index.gaps = (_gaps(index.codebooks[0]), _gaps(index.codebooks[1]))
     index.cells = len(index.codebooks[0]) * len(index.codebooks[1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +451,7 @@ def build_index(usable: DataFrame, n: int, width: int, k: int, centroids: int |
             mine = points[where == cell]
             wanted = min(len(mine) // 8, -(-4 * int(whole[cell]) // max_cell))
             if wanted > 1:
-                index.inner[cell] = (index.cells, kmeans(mine, wanted))
+                index.inner[cell] = (index.cells, split(mine, wanted))
                 index.cells += len(index.inner[cell][1])
         _, index.sizes, rows = cell_sizes()
         index.sizes[list(index.inner)] = whole[list(index.inner)]  # what traverse() sees of a hot cell
@@ -404,12 +495,12 @@ def _large_classes(usable: DataFrame, index: Index, large: np.ndarray) -> DataFr
 
 
 def most_similar(vectors: DataFrame, id_col: str, vec_col: str, width: int, k: int = 10, centroids: int | None = None,
-                 candidates: int = 1000, max_cell: int = 4096, sample_rows: int = SAMPLE_ROWS, hot_blocks: int = 16, guests: int = 8192) -> DataFrame:
+                 candidates: int = 1000, max_cell: int = 16384, sample_rows: int = SAMPLE_ROWS, hot_blocks: int = 4, guests: int = 32768) -> DataFrame:
     """The k most similar other vectors of every vector: (id, other, score).
 
     width: the length of a vector; rows of another width take no part. centroids: K of each half; by default it
     grows with the square root of the table, from 64 to 1024. candidates: how many different vectors a query visits at
-    least. sample_rows: bound of the sample that the codebooks are fitted on, 32 for each centroid at least. max_cell, guests: how many rows of a
+    least; cells within the margin of a near neighbour come on top. sample_rows: bound of the sample that the codebooks are fitted on, 32 for each centroid at least. max_cell, guests: how many rows of a
     cell and how many visitors a task gets.
     """
     spark = vectors.sparkSession
@@ -423,11 +514,9 @@ def most_similar(vectors: DataFrame, id_col: str, vec_col: str, width: int, k: i
     def score(key: tuple, group: pa.Table) -> pa.Table:
         a, b, part = (v.as_py() for v in key[1:])
         ids, mine = group["id"].to_numpy(), group["mine"].to_numpy()
-        raw = np.frombuffer(b"".join(group["vec"].to_pylist()), np.float16).reshape(-1, width)
+        raw = np.concatenate([_bytes(c) for c in group["vec"].chunks if len(c)]).view(np.float16).reshape(-1, width)
         _, same = np.unique(raw.view(np.dtype((np.void, 2 * width))).ravel(), return_inverse=True)
-        x = raw.astype(np.float32)
-        x /= np.sqrt((x**2).sum(1))[:, None]
-        side = lambda at: _Side(ids[at], x[at], same.ravel()[at])
+        side = lambda at: _Side(ids[at], raw[at], same.ravel()[at])
         left, guest = side(mine == a), side(mine < 0)
         found = [_meet(guest, left, k)] if a == b else []
         if part == 0:

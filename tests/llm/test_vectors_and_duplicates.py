@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm.near_duplicates import MASKS, Filter, candidate_pairs, connected_components, near_duplicate_groups, shingles, similar_classes, similar_ids, signatures, text_classes
-from lodestone.llm.similar_vectors import build_index, most_similar, placements, similar_pairs, traverse
+from lodestone.llm.similar_vectors import Index, _gaps, build_index, codebook, half_distances, kmeans, most_similar, placements, similar_pairs, traverse
 
 VECS = "rowid long, embedding array<float>, cell int, id string"
 
@@ -107,6 +107,53 @@ def test_a_hub_is_split(spark):
     assert sum(len(got[i] & set(np.argsort(-s[i])[:5])) for i in range(len(x))) >= 0.95 * 5 * len(x)
 
 
+def scattered(n, width, topics, seed):
+    """Unit vectors that scatter alike in all directions around a few topics, and a neighbour of each with a cosine of 0.82 to 0.95."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(0.55 * unit(rng.normal(size=(topics, width)))[rng.integers(0, topics, n)] + 0.83 * unit(rng.normal(size=(n, width))))
+    aside = rng.normal(size=x.shape)
+    aside = unit(aside - (aside * x).sum(1, keepdims=True) * x)
+    cosine = rng.uniform(0.82, 0.95, (n, 1))
+    return np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * aside]).astype(np.float32)
+
+
+@pytest.mark.parametrize("max_cell, hot_blocks", [(4096, 16), (100, 2)])
+def test_near_neighbours_are_found_when_cells_are_full(spark, max_cell, hot_blocks):
+    # every cell alone holds more than `candidates`, as in a large table
+    n = 3000
+    x = scattered(n, 64, 3, 11)
+    got = {}
+    for r in most_similar(frame(spark, range(2 * n), x), "rowid", "embedding", 64, k=5, centroids=12, candidates=10, max_cell=max_cell, hot_blocks=hot_blocks).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    assert sum(i + n in got.get(i, ()) or i in got.get(i + n, ()) for i in range(n)) >= 0.99 * n
+
+
+def test_cells_within_the_margin():
+    x = scattered(200, 16, 3, 12)
+    index = Index(16, 5, 10, 64, 100)
+    index.codebooks = (codebook(x[:, :8], 7), codebook(x[:, 8:], 9))
+    index.gaps, index.cells, index.sizes = tuple(map(_gaps, index.codebooks)), 63, np.ones(63, int)
+    d1, d2 = half_distances(x, index.codebooks)
+    got = sorted(zip(*(v.tolist() for v in index.near_cells(x, d1, d2))))
+    want = []
+    for r in range(len(x)):
+        h, g = int(d1[r].argmin()), int(d2[r].argmin())
+        for i, j in itertools.product(range(7), range(9)):
+            apart = ((index.codebooks[0][h] - index.codebooks[0][i]) ** 2).sum() + ((index.codebooks[1][g] - index.codebooks[1][j]) ** 2).sum()
+            off = d1[r, i] + d2[r, j] - d1[r, h] - d2[r, g] - index.reach * apart**0.5
+            if off <= 1e-5:
+                want.append((r, i * 9 + j, off))
+    assert {p[:2] for p in want if p[2] < -1e-5} | {(r, int(d1[r].argmin()) * 9 + int(d2[r].argmin())) for r in range(len(x))} <= set(got) <= {p[:2] for p in want}
+    assert len(got) == len(set(got)) > 2 * len(x)
+
+
+def test_a_codebook_divides_what_scatters():
+    x = scattered(10_000, 192, 30, 13)[:10_000]
+    most = [np.bincount((x @ c.T - 0.5 * (c**2).sum(1)).argmax(1), minlength=len(c)).max() for c in (kmeans(x, 160), codebook(x, 160))]
+    assert most[1] < 0.5 * most[0] and 128 <= len(codebook(x, 160)) <= 192
+
+
 def jaccard_pairs(rows, words, least):
     sets = {}
     for i, t in rows:
